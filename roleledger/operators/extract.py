@@ -55,32 +55,42 @@ def split_nested_listings(pages: DataFrame, tag: str, css_class: str) -> DataFra
     return pages.select("*", F.posexplode(blocks).alias("pos", "fragment")).drop("html")
 
 
-def embedded_json(pages: DataFrame) -> DataFrame:
-    """Pages with ``results``, the listings of the JSON they embed, and ``reject_reason`` if they lack it.
+def _with_job_cards(pages: DataFrame) -> DataFrame:
+    """``_script``, ``_json`` and ``results`` of a page, each null where it is not there.
 
-    The JSON ends at the ``};`` that ends a line, not at one inside a text.
+    The JSON ends at the ``};`` that ends a line, not at one inside a text. JSON that is cut short
+    would parse in part, so it counts only when the whole of it is well formed.
     """
-    script = first_match(F.col("html"), rf'(?is)<script[^>]*\bid="{JOBCARDS_SCRIPT_ID}"[^>]*>(.*?)</script>')
+    script = rf'(?is)<script[^>]*\bid="{JOBCARDS_SCRIPT_ID}"[^>]*>(.*?)</script>'
     assigned = rf'(?s)\["{JOBCARDS_KEY}"\]\s*=\s*(\{{.*?\}});[ \t]*(?:[\r\n]|$)'
     model = f"struct<metaData:struct<mosaicProviderJobCardsModel:struct<results:array<{LISTING_JSON.simpleString()}>>>>"
-    df = pages.withColumn("_script", script)
-    df = df.withColumn("_json", first_match(F.col("_script"), assigned))
-    df = df.withColumn("_model", F.from_json("_json", model))
-    results = F.col("_model.metaData.mosaicProviderJobCardsModel.results")
-    # A text that is no JSON at all still parses to a row of nulls, so ask for an object's start.
+    none = F.lit("")
+    df = pages.withColumn("_script", F.nullif(F.regexp_extract("html", script, 1), none))
+    df = df.withColumn("_json", F.nullif(F.regexp_extract("_script", assigned, 1), none))
+    parsed = F.from_json("_json", model)["metaData"]["mosaicProviderJobCardsModel"]["results"]
+    well_formed = F.try_parse_json("_json").isNotNull()
+    return df.withColumns({"_well_formed": well_formed, "results": F.when(well_formed, parsed)}).drop("html")
+
+
+def embedded_json(pages: DataFrame) -> DataFrame:
+    """Pages with ``results``, the listings of the JSON they embed, and ``reject_reason`` if they lack it."""
     reason = (
         F.when(F.col("_script").isNull(), "no script")
         .when(F.col("_json").isNull(), "no job cards")
-        .when(F.try_parse_json("_json").isNull(), "bad JSON")
-        .when(F.coalesce(F.size(results), F.lit(0)) < 1, "no results")
+        .when(~F.col("_well_formed"), "bad JSON")
+        .when(F.coalesce(F.size("results"), F.lit(0)) < 1, "no results")
     )
-    return df.withColumns({"results": results, "reject_reason": reason}).drop("_script", "_json", "_model", "html")
+    judged = _with_job_cards(pages).withColumn("reject_reason", reason)
+    return judged.drop("_script", "_json", "_well_formed")
 
 
 def embedded_json_rows(pages: DataFrame) -> DataFrame:
-    """One row per listing of the embedded JSON: ``pos`` and ``listing``."""
-    good = embedded_json(pages).where(F.col("reject_reason").isNull()).drop("reject_reason")
-    return good.select("*", F.posexplode("results").alias("pos", "listing")).drop("results")
+    """One row per listing of the embedded JSON: ``pos`` and ``listing``; pages without it give none."""
+    cards = _with_job_cards(pages).drop("_script", "_json", "_well_formed")
+    # The outer form, since for the inner one the optimizer would add a filter that parses every page
+    # a second time.
+    each = cards.select("*", F.posexplode_outer("results").alias("pos", "listing")).drop("results")
+    return each.where(F.col("pos").isNotNull())
 
 
 def json_fields(listings: DataFrame) -> DataFrame:
