@@ -65,6 +65,14 @@ SELECT doc_id, key_id, status, concat(title, ' load {k}') AS title, company, loc
 FROM {{postings}} WHERE doc_id % {k + 2} = 0"""
         for k in range(3)
     ),
+    # Key matches of the overlap, and several new postings that repeat the text of one on record.
+    "sample_matches": """
+SELECT key_id AS original_key_id, key_id AS duplicate_key_id, 'KEY_ID' AS dup_type, CAST(NULL AS DOUBLE) AS similarity
+FROM {postings_incoming} WHERE doc_id % 2 = 0
+UNION ALL
+SELECT o.key_id, i.key_id, 'NEW_TFIDF', CAST(0.9 AS DOUBLE)
+FROM {postings_incoming} i JOIN {postings_master} o ON o.doc_id = i.doc_id - i.doc_id % 6
+WHERE i.doc_id % 2 = 1 AND i.doc_id % 6 < 5""",
     # Some keys on two pages, and some claimed by two providers.
     "duplicate_keys": """
 SELECT *, 1 AS page_no, 1 AS provider_rank, doc_id AS pos FROM {postings}
