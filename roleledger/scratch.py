@@ -12,7 +12,7 @@ _local_dirs: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only for a local master without one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId

@@ -52,11 +52,10 @@ def master_rows(postings: DataFrame) -> DataFrame:
     return postings.select(*[by_name[c].alias(c) for c in MASTER_CSV_COLUMNS])
 
 
-def write_master(postings: DataFrame, path: str, one_file: bool = False) -> None:
-    """Write part files; ``one_file`` for an export that a person opens."""
-    rows = master_rows(postings)
+def write_master(postings: DataFrame, path: str) -> None:
+    """Write a folder of part files, each with the header, so that any of them opens on its own."""
     (
-        (rows.coalesce(1) if one_file else rows)
+        master_rows(postings)
         .write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')

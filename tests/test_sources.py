@@ -50,7 +50,7 @@ def test_master_of_an_old_version(spark, tmp_path):
 
 def test_master_round_trip(spark, tmp_path):
     rows = table(spark, [posting("a", description=' "odd", \\ text\n\nwith lines '), posting("b", tags=["x", "y z"])])
-    master_csv.write_master(rows, str(tmp_path / "m"), one_file=True)
+    master_csv.write_master(rows, str(tmp_path / "m"))
     back = master_csv.read_master(spark, str(tmp_path / "m"))
     got = {r["key_id"]: r for r in back.collect()}
     assert got["a"]["description"] == ' "odd", \\ text\n\nwith lines '
