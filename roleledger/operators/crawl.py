@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from roleledger.operators.running import running_index, running_total
 from roleledger.schema import DEFAULT_MAX_LISTING_DAYS, DEFAULT_RADIUS, DOMAIN_BY_LOCALE, PAGE_SIZE
+from roleledger.scratch import staged
 
 # ---- Fixed values -------------------------------------------------------------------------
 # Sites and the locales they are collected for.
@@ -272,6 +273,7 @@ def pacing_offsets(requests: DataFrame, pacing: Pacing, host: str = "host", orde
     ``order`` is a whole number of 0 or more, different for every request of a host. Positions and
     sums are built from short blocks, so no task ever orders all requests of one busy host.
     """
-    placed = running_index(requests, host, order, "position", total="n_requests")
+    # Written once: the sums below read it twice, and one of these reads takes two columns only.
+    placed = staged(running_index(requests, host, order, "position", total="n_requests"), "positions")
     delayed = placed.withColumn("delay", pacing.delay(F.col("position"), F.col("n_requests"), F.col(host)))
     return running_total(delayed, host, order, "delay", "offset").drop("n_requests")
