@@ -76,7 +76,7 @@ def _paced(pacing: crawl.Pacing):
         )
         paced = crawl.pacing_offsets(requests, pacing)
         return paced.select(
-            "host", "ordinal", "position", F.round("delay", 3).alias("delay"), F.round("offset", 2).alias("offset")
+            "host", "ordinal", "position", F.round("delay", 3).alias("delay"), F.round("offset", 3).alias("offset")
         )
 
     return query
@@ -148,7 +148,7 @@ def _paced_sql(curve: str) -> str:
         + """ AS v FROM placed),
   delayed AS (SELECT host, ordinal, position, CASE WHEN position = 0 THEN 0.0::DOUBLE ELSE round(greatest(v, 1.0::DOUBLE), 3) END AS delay FROM curve)
   SELECT host, ordinal, position, delay,
-    round(sum(delay) OVER (PARTITION BY host ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS "offset" FROM delayed"""
+    round(sum(delay) OVER (PARTITION BY host ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS "offset" FROM delayed"""
     )
 
 
