@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roleledger.llm import byte_bpe, jaccard_join, line_templates, packing, quality, toxicity, url_filter, version_sketch
+from roleledger.llm import byte_bpe, jaccard_join, line_templates, packing, passages, quality, toxicity, url_filter, version_sketch
 from roleledger.llm.tables import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -19,6 +19,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(documents(spark, sf_dir))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(documents(spark, sf_dir))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
@@ -54,6 +58,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_passages": op2_passages,
     "op3_url_filter": op3_url_filter,
     "op4_version_sketch": op4_version_sketch,
     "op5_toxicity": op5_toxicity,
