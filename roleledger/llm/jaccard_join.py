@@ -7,9 +7,14 @@ prefix that may share one token of each part without sharing a pair has to be lo
 part, and that is how far it is extended. Whoever shares an indexed token or pair is a candidate, and
 candidates are compared by their whole sets.
 
-Candidates under one index entry are not paired with each other. All are compared with the smallest of
-them first; what the links so found already connect needs no further look, and only members of
-different components that share an entry are compared after that.
+An entry of a rare token also says how many tokens of its set do not come before it, and one of a pair how
+many tokens of its set are frequent. If the entry is the first that two sets share, they share no more
+tokens than the smaller of these numbers, and where this falls short the entry need not pair them.
+
+Candidates under one index entry are not all paired with each other. Each is compared with the smallest
+of them first, then with others chosen by a hash of entry and round; what the links so found already
+connect needs no further look. After these rounds all members of an entry that are still in different
+components are compared, so that no link between components is missed.
 """
 
 from __future__ import annotations
@@ -20,22 +25,26 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from roleledger.llm.components import components
 from roleledger.llm.tables import bounded, members, staged
 from roleledger.llm.words import mixed, shingles, word_hashes
 
 THRESHOLD = Fraction(75, 100)
-# A shingle in more than this share of the documents is frequent.
-FREQUENT_SHARE = 1 / 256
+# A shingle in more than this share of the documents is frequent. The number of such shingles is at most
+# the mean size of a set divided by this share, however many documents there are.
+FREQUENT_SHARE = 1 / 2048
 MAX_FREQUENT = 1_000_000
-# Shingles counted at a time inside a task.
-CHUNK = 1_000_000
+# Shingles counted at a time inside a task, and how many documents of them must hold a frequent one.
+CHUNK = 4_000_000
+MIN_COUNT = 4
 # Tokens of a part, were all tokens of the smallest document of a size class frequent.
 PART = 4
 # Index entries of frequent tokens are split among so many tasks.
 SALTS = 16
+# Further rounds of comparing the members of an entry with one of them.
+ROUNDS = 1
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -54,17 +63,17 @@ def size_classes(largest: int, threshold: Fraction) -> list[int]:
     return starts
 
 
-def index_entries(tokens: np.ndarray, frequent: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of a sorted token set: those of rare tokens, and those of frequent tokens or their pairs."""
+def index_entries(tokens: np.ndarray, frequent: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, int]:
+    """Entries of a sorted token set: of rare tokens, and of frequent tokens or their pairs; how many are frequent."""
     n = len(tokens)
     needed = n - -(-n * threshold.numerator // threshold.denominator) + 1
     if n == 0:
-        return tokens, tokens
+        return tokens, tokens, 0
     found = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
     common = frequent[found] == tokens if len(frequent) else np.zeros(n, bool)
     rare, usual = tokens[~common], tokens[common]
     if len(rare) >= needed:
-        return rare[:needed], tokens[:0]
+        return rare[:needed], tokens[:0], len(usual)
     needed -= len(rare)
     starts = size_classes(n, threshold)
     own = int(np.searchsorted(starts, n, "right")) - 1
@@ -85,7 +94,7 @@ def index_entries(tokens: np.ndarray, frequent: np.ndarray, threshold: Fraction)
             if not same.any():
                 break
             entries.append(mixed(mixed(chosen[:-lag][same] + np.uint64(scheme + 1)) ^ chosen[lag:][same]))
-    return rare, np.unique(np.concatenate(entries))
+    return rare, np.unique(np.concatenate(entries)), len(usual)
 
 
 def _profile(width: int, share: float):
@@ -98,7 +107,7 @@ def _profile(width: int, share: float):
 
         def counted() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(chunk), return_counts=True)
-            many = counts >= max(8, share * len(chunk))
+            many = counts >= max(MIN_COUNT, share * len(chunk))
             none = pa.nulls(int(many.sum()), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [none, none, none, pa.array(values[many].view(np.int64)), pa.array(counts[many])], names
@@ -138,31 +147,51 @@ def _frequent(profile: DataFrame, share: float) -> np.ndarray:
 
 
 def _index(docs: DataFrame, width: int, threshold: Fraction, frequent: np.ndarray) -> DataFrame:
-    """``entry``, ``salt``, ``set_key``: the entries of all sets; salt 0 if the entry is one of a rare token."""
+    """``entry``, ``salt``, ``set_key``, ``n``, ``room`` for all sets.
+
+    ``salt`` is 0 if the entry is one of a rare token; ``room`` is how many tokens don't come before it.
+    A set with other entries has all its rare tokens indexed, so these need only pair sets that share
+    none of them, and ``room`` is the number of its frequent tokens.
+    """
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rare, usual = [], [], []
+            keys, sizes, commons, rare, usual = [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 tokens = shingle_set(text, width)
                 if len(tokens):
-                    one, two = index_entries(tokens, held.value, threshold)
+                    one, two, common = index_entries(tokens, held.value, threshold)
+                    commons.append(common)
                     keys.append(set_key(tokens))
+                    sizes.append(len(tokens))
                     rare.append(one.view(np.int64))
                     usual.append(two.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(usual, pa.list_(pa.int64()))],
-                ["set_key", "rare", "usual"],
+                [
+                    pa.array(keys, pa.int64()),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(commons, pa.int32()),
+                    pa.array(rare, pa.list_(pa.int64())),
+                    pa.array(usual, pa.list_(pa.int64())),
+                ],
+                ["set_key", "n", "common", "rare", "usual"],
             )
 
-    found = docs.mapInArrow(rows, "set_key long, rare array<long>, usual array<long>")
+    found = docs.mapInArrow(rows, "set_key long, n int, common int, rare array<long>, usual array<long>")
     salt = 1 + F.pmod(F.hash("set_key"), F.lit(SALTS))
     split = F.concat(
-        F.transform("rare", lambda e: F.struct(e.alias("entry"), F.lit(0).alias("salt"))),
-        F.transform("usual", lambda e: F.struct(e.alias("entry"), salt.alias("salt"))),
+        F.transform("rare", lambda e, i: F.struct(e.alias("entry"), F.lit(0).alias("salt"), (F.col("n") - i).alias("room"))),
+        F.transform("usual", lambda e: F.struct(e.alias("entry"), salt.alias("salt"), F.col("common").alias("room"))),
     )
-    return found.select("set_key", F.explode(split).alias("e")).select("e.entry", "e.salt", "set_key")
+    return found.select("set_key", "n", F.explode(split).alias("e")).select("e.entry", "e.salt", "set_key", "n", "e.room")
+
+
+def _possible(one: str, two: str, threshold: Fraction) -> Column:
+    """Whether two sets (columns ``n``, ``room`` of two structs) can be similar if an entry is the first they share."""
+    least = F.least(f"{one}.room", f"{two}.room").cast("long")
+    total = (F.col(f"{one}.n") + F.col(f"{two}.n")).cast("long")
+    return least * (threshold.numerator + threshold.denominator) >= total * threshold.numerator
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -228,15 +257,23 @@ def jaccard_join(
     index = _index(members(docs, copies, "doc_id", "left_anti").select("text"), width, threshold, _frequent(profile, share))
 
     entry = W.partitionBy("entry", "salt")
-    least, most = F.min("set_key").over(entry), F.max("set_key").over(entry)
-    shared = index.select("entry", "salt", "set_key", least.alias("least"), most.alias("most"))
-    shared = staged(shared.where("salt > 0 or least != most").select("entry", "salt", "set_key", "least"), "shared")
-    near = shared.select(F.col("least").alias("a"), F.col("set_key").alias("b"))
+    own = F.struct("set_key", "n", "room").alias("own")
+    least, most = F.min("own").over(entry), F.max("own.set_key").over(entry)
+    shared = index.select("entry", "salt", own).select("entry", "salt", "own", least.alias("least"), most.alias("most"))
+    shared = shared.where("salt > 0 or least.set_key != most").select("entry", "salt", "own", "least")
+    shared = staged(shared, "shared")
+    near = shared.select(F.col("least").alias("x"), F.col("own").alias("y"))
     # The entries of frequent tokens were split by salt: their smallest members meet here.
     heads = shared.where("salt > 0").select("entry", "least").distinct()
-    joined = heads.join(heads.groupBy("entry").agg(F.min("least").alias("a")), "entry")
-    near = near.unionByName(joined.select("a", F.col("least").alias("b"))).where("a != b").distinct()
-    pairs = staged(near, "pairs")
+    heads = heads.join(heads.groupBy("entry").agg(F.min("least").alias("x")), "entry")
+    near = near.unionByName(heads.select("x", F.col("least").alias("y")))
+
+    def pairs_of(both: DataFrame) -> DataFrame:
+        """``a``, ``b`` of the structs ``x``, ``y`` that may be similar."""
+        may = both.where("x.set_key != y.set_key").where(_possible("x", "y", threshold))
+        return may.select(F.least("x.set_key", "y.set_key").alias("a"), F.greatest("x.set_key", "y.set_key").alias("b")).distinct()
+
+    pairs = staged(pairs_of(near), "pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key")))
@@ -248,24 +285,27 @@ def jaccard_join(
             sets = sets.unionByName(_sets(nameless.withColumn("doc_id", F.lit(0)), ids.sparkSession.range(1).toDF("doc_id"), width))
         return staged(_verified(pairs, staged(sets, "sets"), threshold), "links")
 
-    links = linked(pairs)
+    links, tried, open_rows = linked(pairs), pairs, shared.select("entry", "own")
     found = components(links)
-    # What the first links left apart though it shares an entry.
-    part = F.coalesce("component", "set_key")
-    placed = shared.join(found, shared.set_key == found.node, "left").select("entry", "set_key", part.alias("part"))
-    open_entries = placed.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    open_rows = staged(placed.join(open_entries.where("low != high").select("entry"), "entry").distinct(), "open")
-    left = open_rows.select("entry", F.col("set_key").alias("a"), F.col("part").alias("part_a"))
-    right = open_rows.select("entry", F.col("set_key").alias("b"), F.col("part").alias("part_b"))
-    across = left.join(right, "entry").where("part_a != part_b and a < b").select("a", "b").distinct()
-    sizes = rows.where("set_key is not null").select("set_key", "n_shingles").distinct()
-    across = across.join(pairs, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        across = across.join(sizes.select(F.col("set_key").alias(side), F.col("n_shingles").alias(f"n_{side}")), side)
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    across = staged(across.where(low * threshold.denominator >= high * threshold.numerator).select("a", "b"), "across")
-    if not across.isEmpty():
-        found = components(links.unionByName(linked(across)))
+    for number in range(ROUNDS + 1):
+        # What the links so far left apart though it shares an entry.
+        part = F.coalesce("component", "own.set_key").alias("part")
+        placed = open_rows.join(found, F.col("own.set_key") == F.col("node"), "left").select("entry", F.struct("own.*", part).alias("x"))
+        parts = placed.groupBy("entry").agg(F.min("x.part").alias("low"), F.max("x.part").alias("high"))
+        placed = staged(placed.join(parts.where("low != high").select("entry"), "entry"), "open")
+        open_rows = placed.select("entry", F.struct("x.set_key", "x.n", "x.room").alias("own"))
+        if number < ROUNDS:
+            order = F.xxhash64("entry", F.lit(number), "x.set_key")
+            others = placed.groupBy("entry").agg(F.min_by("x", order).alias("y"))
+        else:
+            others = placed.select("entry", F.col("x").alias("y"))
+        across = placed.join(others, "entry").where("x.part != y.part").where(_possible("x", "y", threshold))
+        pairs = staged(pairs_of(across).join(tried, ["a", "b"], "left_anti"), "across")
+        tried = tried.unionByName(pairs)
+        new = linked(pairs)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = components(links)
 
     named = classes.join(found, classes.set_key == found.node, "left")
     named = named.select("set_key", "first_id", F.coalesce("component", "set_key").alias("part"))
