@@ -19,7 +19,7 @@ components are compared, so that no link between components is missed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -55,6 +55,21 @@ def set_key(tokens: np.ndarray) -> int:
     return int(xxhash.xxh3_64_intdigest(tokens.tobytes())) - (1 << 63)
 
 
+def histogram(tokens: np.ndarray) -> bytes:
+    """Number of tokens (at most 255) in each bucket of their hash; a power of two of buckets, about half as many as tokens."""
+    buckets = 1 << max(len(tokens) // 2, 1).bit_length()
+    counts = np.bincount((tokens % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_share(one: bytes, two: bytes) -> int:
+    """An upper bound of the number of tokens that the sets of two histograms share."""
+    left, right = sorted((np.frombuffer(x, np.uint8).astype(np.int64) for x in (one, two)), key=len)
+    right = right.reshape(-1, len(left)).sum(axis=0)
+    full = (left == 255) | (right >= 255)
+    return int(np.minimum(left, right).sum()) if not full.any() else 1 << 62
+
+
 def size_classes(largest: int, threshold: Fraction) -> list[int]:
     """Smallest sizes of the classes; two sets whose sizes allow similarity are in the same or neighbouring ones."""
     starts = [1]
@@ -99,7 +114,7 @@ def index_entries(tokens: np.ndarray, frequent: np.ndarray, threshold: Fraction)
 
 def _profile(width: int, share: float):
     """A row per document with its set, and rows with shingles that many documents of a chunk hold."""
-    names = ["doc_id", "n_shingles", "set_key", "shingle", "docs"]
+    names = ["doc_id", "n_shingles", "set_key", "buckets", "shingle", "docs"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk: list[np.ndarray] = []
@@ -110,15 +125,16 @@ def _profile(width: int, share: float):
             many = counts >= max(MIN_COUNT, share * len(chunk))
             none = pa.nulls(int(many.sum()), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array(values[many].view(np.int64)), pa.array(counts[many])], names
+                [none, none, none, pa.nulls(len(none), pa.binary()), pa.array(values[many].view(np.int64)), pa.array(counts[many])], names
             )
 
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, buckets = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text, width)
                 sizes.append(len(tokens))
                 keys.append(set_key(tokens) if len(tokens) else None)
+                buckets.append(histogram(tokens))
                 chunk.append(tokens)
                 size += len(tokens)
                 if size >= CHUNK:
@@ -126,7 +142,8 @@ def _profile(width: int, share: float):
                     chunk, size = [], 0
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none, none], names
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(buckets, pa.binary()), none, none],
+                names,
             )
         if chunk:
             yield counted()
@@ -208,23 +225,16 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return members(docs, ids, "doc_id").select("text").mapInArrow(rows, "set_key long, tokens binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets are similar."""
+def _compared(pairs: DataFrame, table: DataFrame, column: str, alike: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs ``a``, ``b`` whose values of ``column`` in ``table`` are alike."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                one, two = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                low, high = sorted((len(one), len(two)))
-                both = 0
-                if low * threshold.denominator >= high * threshold.numerator:
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                kept.append(both * threshold.denominator >= (low + high - both) * threshold.numerator)
+            kept = [alike(*both) for both in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    first = sets.select(F.col("set_key").alias("a"), F.col("tokens").alias("one"))
-    second = sets.select(F.col("set_key").alias("b"), F.col("tokens").alias("two"))
+    first = table.select(F.col("set_key").alias("a"), F.col(column).alias("one"))
+    second = table.select(F.col("set_key").alias("b"), F.col(column).alias("two"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "one", "two")
     return both.mapInArrow(rows, "a long, b long")
 
@@ -242,7 +252,7 @@ def jaccard_join(
     """
     docs = docs.select("doc_id", "text")
     profile = staged(
-        docs.mapInArrow(_profile(width, share), "doc_id long, n_shingles long, set_key long, shingle long, docs long"),
+        docs.mapInArrow(_profile(width, share), "doc_id long, n_shingles long, set_key long, buckets binary, shingle long, docs long"),
         "profile",
     )
     rows = profile.where("n_shingles is not null").select("doc_id", "n_shingles", "set_key")
@@ -258,9 +268,14 @@ def jaccard_join(
 
     entry = W.partitionBy("entry", "salt")
     own = F.struct("set_key", "n", "room").alias("own")
-    least, most = F.min("own").over(entry), F.max("own.set_key").over(entry)
-    shared = index.select("entry", "salt", own).select("entry", "salt", "own", least.alias("least"), most.alias("most"))
-    shared = shared.where("salt > 0 or least.set_key != most").select("entry", "salt", "own", "least")
+    held = {"least": F.min("own"), "most": F.max("own"), "rows": F.count("*"), "n": F.min("own.n"), "room": F.max("own.room")}
+    shared = index.select("entry", "salt", own).select("entry", "salt", "own", *(f.over(entry).alias(k) for k, f in held.items()))
+    # Of most entries the two rows decide; of others, whether the row fits the best one could wish for.
+    best = F.col("rows") == 2
+    fits = F.when(best, _possible("least", "most", threshold)).otherwise(_possible("own", "wish", threshold))
+    shared = shared.withColumn("wish", F.struct("n", "room"))
+    shared = shared.where("salt > 0 or least.set_key != most.set_key").where((F.col("salt") > 0) | fits)
+    shared = shared.select("entry", "salt", "own", "least")
     shared = staged(shared, "shared")
     near = shared.select(F.col("least").alias("x"), F.col("own").alias("y"))
     # The entries of frequent tokens were split by salt: their smallest members meet here.
@@ -275,15 +290,38 @@ def jaccard_join(
 
     pairs = staged(pairs_of(near), "pairs")
 
+    def enough(shared: int, left: int, right: int) -> bool:
+        return shared * threshold.denominator >= (left + right - shared) * threshold.numerator
+
+    def may_link(one: bytes, two: bytes) -> bool:
+        left, right = (int(np.frombuffer(x, np.uint8).astype(np.int64).sum()) for x in (one, two))
+        bound = may_share(one, two)
+        return bound > left + right or enough(min(bound, left, right), left, right)
+
+    def links_in(one: bytes, two: bytes) -> bool:
+        left, right = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+        return enough(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right))
+
+    def wanted(pairs: DataFrame) -> DataFrame:
+        sides = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key")))
+        return staged(sides.distinct(), "wanted")
+
+    buckets = profile.where("set_key is not null").select("set_key", "doc_id", "buckets")
+
     def linked(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key")))
-        ids = classes.join(wanted.distinct(), "set_key").select(F.col("first_id").alias("doc_id"))
-        ids = staged(ids, "wanted")
-        nameless = docs.where("doc_id is null")
+        firsts = classes.select("set_key", F.col("first_id").alias("doc_id"))
+        known = members(firsts, wanted(pairs), "set_key")
+        near = buckets.join(bounded(staged(known, "firsts")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key"])
+        nameless = members(classes.where("first_id is null").select("set_key"), wanted(pairs), "set_key")
+        if not nameless.isEmpty():
+            near = near.unionByName(buckets.join(nameless, "set_key", "left_semi").dropDuplicates(["set_key"]))
+        pairs = staged(_compared(pairs, staged(near, "buckets"), "buckets", may_link), "pairs")
+        ids = staged(members(firsts, wanted(pairs), "set_key").select("doc_id").where("doc_id is not null"), "ids")
         sets = _sets(docs, ids, width)
         if not nameless.isEmpty():
-            sets = sets.unionByName(_sets(nameless.withColumn("doc_id", F.lit(0)), ids.sparkSession.range(1).toDF("doc_id"), width))
-        return staged(_verified(pairs, staged(sets, "sets"), threshold), "links")
+            zero = docs.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("long"))
+            sets = sets.unionByName(_sets(zero, docs.sparkSession.range(1).toDF("doc_id"), width))
+        return staged(_compared(pairs, staged(sets, "sets"), "tokens", links_in).distinct(), "links")
 
     links, tried, open_rows = linked(pairs), pairs, shared.select("entry", "own")
     found = components(links)
