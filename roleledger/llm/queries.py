@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roleledger.llm import byte_bpe, jaccard_join, line_templates, packing, passages, quality, toxicity, url_filter, version_sketch
+from roleledger.llm import byte_bpe, jaccard_join, line_templates, nn_descent, packing, passages, quality, toxicity, url_filter, version_sketch
 from roleledger.llm.tables import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -41,6 +41,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nn_descent.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return packing.pack(documents(spark, sf_dir), packing.word_count(text), packing.text_cluster(text))
@@ -63,6 +68,7 @@ QUERIES = {
     "op4_version_sketch": op4_version_sketch,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
+    "op7_nn_descent": op7_nn_descent,
     "op8_packing": op8_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_templates": op10_line_templates,
