@@ -22,7 +22,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node``, ``component``: the smallest node reachable, for every node of the links ``a``, ``b``.
+    """``node``, ``component``: the smallest node reachable, for every node of the links ``a``, ``b`` but these smallest.
 
     Null links and links to oneself are ignored; repeated links count once. Each round writes its links
     as a table, so that a lost executor costs no earlier round. The number of rounds grows with the
