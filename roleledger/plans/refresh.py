@@ -11,8 +11,8 @@ from roleledger.operators.filters import filter_postings
 from roleledger.operators.keys import first_wins, match_by_key, match_known_duplicate, unmatched_incoming
 from roleledger.operators.merge import append_new, block_entry, extend_block_list, update_if_newer, upsert_duplicates
 from roleledger.operators.normalize import dated
-from roleledger.operators.similarity import best_match, similarity_gate
-from roleledger.schema import DEFAULT_MAX_LISTING_DAYS, MATCH, MIN_SIMILARITY_CORPUS, SIMILARITY_THRESHOLD
+from roleledger.operators.similarity import best_match
+from roleledger.schema import DEFAULT_MAX_LISTING_DAYS, MATCH, SIMILARITY_THRESHOLD
 from roleledger.scratch import staged
 
 
@@ -25,7 +25,6 @@ class Rules:
     companies: tuple[str, ...] = ()
     wanted_remoteness: str = "ANY"
     threshold: float = SIMILARITY_THRESHOLD
-    min_corpus: int = MIN_SIMILARITY_CORPUS
     preserve: tuple[str, ...] = ("title", "status")
     rekey: bool = False
     inclusive: bool = False
@@ -62,11 +61,9 @@ def find_duplicates(
     by_key = match_by_key(incoming, existing)
     known = match_known_duplicate(incoming, existing, duplicates, rules.all_types)
     rest = unmatched_incoming(incoming, existing, duplicates, rules.all_types)
-    matches = by_key.unionByName(known)
-    if similarity_gate(rest, existing, rules.min_corpus).first()["enabled"]:
-        words = None if rules.stop_words is None else list(rules.stop_words)
-        matches = matches.unionByName(best_match(rest, existing, rules.threshold, words))
-    return matches
+    words = None if rules.stop_words is None else list(rules.stop_words)
+    similar = best_match(rest, existing, rules.threshold, words)
+    return by_key.unionByName(known).unionByName(similar)
 
 
 def refresh_master(
@@ -88,12 +85,11 @@ def refresh_master(
     # A day's rows are read many times below and cost a shuffle, so they are written once. The master
     # is not: it is stored as Parquet already, and each reader below takes few of its columns.
     incoming = staged(dated(rules.kept(first_wins(incoming, ["ordinal"]), block_list)), "incoming")
-    existing = None if master is None else dated(rules.kept(master, block_list))
-    if existing is None or existing.isEmpty():
-        columns = incoming.drop("ordinal").columns if master is None else master.columns
+    if master is None:
         nothing = incoming.sparkSession.createDataFrame([], MATCH)
-        return Refreshed(incoming.select(*columns), block_list, duplicates, nothing, incoming)
+        return Refreshed(incoming.drop("ordinal"), block_list, duplicates, nothing, incoming)
 
+    existing = dated(rules.kept(master, block_list))
     matches = staged(find_duplicates(existing, incoming, duplicates, rules), "matches")
     updated = update_if_newer(existing, matches, incoming, rules.preserve, rules.rekey)
     return Refreshed(

@@ -111,7 +111,6 @@ PAGE_SIZE = {"INDEED": 20, "GLASSDOOR": 30, "MONSTER": 25}
 DEFAULT_RADIUS = 25
 DEFAULT_MAX_LISTING_DAYS = 60
 MIN_DESCRIPTION_CHARS = 5
-MAX_ENTRY_DESCRIPTION_CHARS = 150
 MIN_SIMILARITY_CORPUS = 25
 SIMILARITY_THRESHOLD = 0.75
 # ---- End of fixed values ------------------------------------------------------------------

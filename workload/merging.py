@@ -162,7 +162,7 @@ _COMPANIES_SQL = "('Company 3', 'Company 17')"
 _KEEP = f"""(company IS NULL OR company NOT IN {_COMPANIES_SQL}) AND (post_date IS NULL OR post_date >= DATE '2023-12-02')
     AND status NOT IN ('DELETE', 'ARCHIVE', 'REJECTED', 'OLD')"""
 _ENTRY = """key_id, title, company, strftime(post_date, '%Y-%m-%d') AS post_date,
-    CASE WHEN length(description) > 150 THEN concat(substring(description, 1, 150), '..') ELSE description END AS description, status"""
+    description, status"""
 
 
 def _matches(incoming: str, existing: str, duplicates: str = "{duplicates}") -> str:

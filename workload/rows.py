@@ -236,7 +236,7 @@ ORACLES = {
             md5(description) AS description_md5, replace(tags_text, chr(10), '|') AS tags, url, provider, query, locale,
             wage, remoteness FROM {postings}""",
         "block_entry": """SELECT key_id, title, company, strftime(post_date, '%Y-%m-%d') AS post_date,
-            CASE WHEN length(description) > 150 THEN concat(substring(description, 1, 150), '..') ELSE description END AS description,
+            description,
             status FROM {postings}""",
         "read_keyed_json": "SELECT key_id, title, company, post_date, description, status FROM {block_list}",
         "write_snapshot": _SNAPSHOT_ROWS,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roleledger.functions.text import ENGLISH_STOP_WORDS
+from roleledger.functions.text import STOP_TOKENS
 from roleledger.operators import similarity
 from workload.views import view, with_views
 
@@ -56,7 +56,7 @@ QUERIES = {
     )
 }
 
-_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS) + "]"
+_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_TOKENS) + "]"
 _WORDS = f"""list_filter(regexp_extract_all(strip_accents(lower(description)), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
     lambda w: NOT list_contains({_STOP}, w))"""
 
