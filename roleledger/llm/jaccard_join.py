@@ -13,8 +13,9 @@ tokens than the smaller of these numbers, and where this falls short the entry n
 
 Candidates under one index entry are not all paired with each other. Each is compared with the smallest
 of them first, then with others chosen by a hash of entry and round; what the links so found already
-connect needs no further look. After these rounds all members of an entry that are still in different
-components are compared, so that no link between components is missed.
+connect needs no further look. After these rounds the members of an entry that are still in different
+components are compared, so that no link between components is missed. Two sets that share a passage share
+many entries: where the entry before, in the order of their tokens, is the same for both, they met there.
 """
 
 from __future__ import annotations
@@ -239,6 +240,18 @@ def _compared(pairs: DataFrame, table: DataFrame, column: str, alike: Callable[[
     return both.mapInArrow(rows, "a long, b long")
 
 
+def _first_shared(placed: DataFrame) -> DataFrame:
+    """The rows ``entry``, ``x`` with the entry ``before`` of the same set, without entries that only repeat the one before.
+
+    ``room`` falls along the order, so two sets that may be similar by an entry may be so by an earlier one they share.
+    """
+    before = F.lag("entry").over(W.partitionBy("x.set_key").orderBy(F.desc("x.room"), "entry"))
+    rows = staged(placed.select("entry", "x", before.alias("before")), "before")
+    several = F.count("before") < F.count("*"), F.min("before") != F.max("before")
+    kept = rows.groupBy("entry").agg((several[0] | several[1]).alias("kept")).where("kept").select("entry")
+    return staged(rows.join(kept, "entry", "left_semi"), "first_shared")
+
+
 def jaccard_join(
     docs: DataFrame, width: int = 5, threshold: Fraction = THRESHOLD, share: float = FREQUENT_SHARE
 ) -> DataFrame:
@@ -335,10 +348,13 @@ def jaccard_join(
         if number < ROUNDS:
             order = F.xxhash64("entry", F.lit(number), "x.set_key")
             others = placed.groupBy("entry").agg(F.min_by("x", order).alias("y"))
+            across = placed.join(others, "entry").where("x.part != y.part")
         else:
-            others = placed.select("entry", F.col("x").alias("y"))
-        across = placed.join(others, "entry").where("x.part != y.part").where(_possible("x", "y", threshold))
-        pairs = staged(pairs_of(across).join(tried, ["a", "b"], "left_anti"), "across")
+            placed = _first_shared(placed)
+            others = placed.select("entry", F.col("x").alias("y"), F.col("before").alias("y_before"))
+            across = placed.join(others, "entry").where("x.part < y.part")
+            across = across.where("before is null or y_before is null or before != y_before")
+        pairs = staged(pairs_of(across.where(_possible("x", "y", threshold))).join(tried, ["a", "b"], "left_anti"), "across")
         tried = tried.unionByName(pairs)
         new = linked(pairs)
         if not new.isEmpty():
