@@ -44,6 +44,8 @@ MIN_COUNT = 4
 PART = 4
 # Index entries of frequent tokens are split among so many tasks.
 SALTS = 16
+# Bits of the bitmap that goes with a set into the last comparison.
+BITS = 256
 # Further rounds of comparing the members of an entry with one of them.
 ROUNDS = 1
 
@@ -63,6 +65,13 @@ def histogram(tokens: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """``BITS`` bits, set where the hash of a token falls."""
+    held = np.zeros(BITS, bool)
+    held[(tokens % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(held).tobytes()
+
+
 def may_share(one: bytes, two: bytes) -> int:
     """An upper bound of the number of tokens that the sets of two histograms share."""
     left, right = sorted((np.frombuffer(x, np.uint8).astype(np.int64) for x in (one, two)), key=len)
@@ -115,7 +124,7 @@ def index_entries(tokens: np.ndarray, frequent: np.ndarray, threshold: Fraction)
 
 def _profile(width: int, share: float):
     """A row per document with its set, and rows with shingles that many documents of a chunk hold."""
-    names = ["doc_id", "n_shingles", "set_key", "buckets", "shingle", "docs"]
+    names = ["doc_id", "n_shingles", "set_key", "buckets", "bits", "shingle", "docs"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk: list[np.ndarray] = []
@@ -126,16 +135,17 @@ def _profile(width: int, share: float):
             many = counts >= max(MIN_COUNT, share * len(chunk))
             none = pa.nulls(int(many.sum()), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [none, none, none, pa.nulls(len(none), pa.binary()), pa.array(values[many].view(np.int64)), pa.array(counts[many])], names
+                [none, none, none, *[pa.nulls(len(none), pa.binary())] * 2, pa.array(values[many].view(np.int64)), pa.array(counts[many])], names
             )
 
         for batch in batches:
-            sizes, keys, buckets = [], [], []
+            sizes, keys, buckets, bits = [], [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text, width)
                 sizes.append(len(tokens))
                 keys.append(set_key(tokens) if len(tokens) else None)
                 buckets.append(histogram(tokens))
+                bits.append(bitmap(tokens))
                 chunk.append(tokens)
                 size += len(tokens)
                 if size >= CHUNK:
@@ -143,7 +153,7 @@ def _profile(width: int, share: float):
                     chunk, size = [], 0
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(buckets, pa.binary()), none, none],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, keys)), *(pa.array(x, pa.binary()) for x in (buckets, bits)), none, none],
                 names,
             )
         if chunk:
@@ -240,8 +250,19 @@ def _compared(pairs: DataFrame, table: DataFrame, column: str, alike: Callable[[
     return both.mapInArrow(rows, "a long, b long")
 
 
-def _first_shared(placed: DataFrame) -> DataFrame:
-    """The rows ``entry``, ``x`` with the entry ``before`` of the same set, without entries that only repeat the one before.
+def _alike_bits(threshold: Fraction) -> Column:
+    """Whether bitmaps leave two sets (structs ``x``, ``y``; ``bits`` and ``y_bits``) similar: a bit that only one has is a token that only it has."""
+
+    def most(n: Column, own: str, other: str) -> Column:
+        return n - sum(F.bit_count(F.col(own)[i].bitwiseAND(F.bitwise_not(F.col(other)[i]))) for i in range(BITS // 64))
+
+    least = F.least(most(F.col("x.n"), "bits", "y_bits"), most(F.col("y.n"), "y_bits", "bits")).cast("long")
+    total = (F.col("x.n") + F.col("y.n")).cast("long")
+    return least * (threshold.numerator + threshold.denominator) >= total * threshold.numerator
+
+
+def _first_shared(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The rows ``entry``, ``x`` with the entry ``before`` of the same set and its ``bits``, without entries that only repeat the one before.
 
     ``room`` falls along the order, so two sets that may be similar by an entry may be so by an earlier one they share.
     """
@@ -249,7 +270,11 @@ def _first_shared(placed: DataFrame) -> DataFrame:
     rows = staged(placed.select("entry", "x", before.alias("before")), "before")
     several = F.count("before") < F.count("*"), F.min("before") != F.max("before")
     kept = rows.groupBy("entry").agg((several[0] | several[1]).alias("kept")).where("kept").select("entry")
-    return staged(rows.join(kept, "entry", "left_semi"), "first_shared")
+    # Bytes as numbers, so that the bits of two sets can be compared inside the join.
+    words = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(BITS // 64)]
+    bitmaps = bitmaps.select("set_key", F.array(*words).alias("bits")).dropDuplicates(["set_key"])
+    rows = rows.join(kept, "entry", "left_semi").join(bitmaps, F.col("x.set_key") == F.col("set_key")).drop("set_key")
+    return staged(rows, "first_shared")
 
 
 def jaccard_join(
@@ -265,7 +290,7 @@ def jaccard_join(
     """
     docs = docs.select("doc_id", "text")
     profile = staged(
-        docs.mapInArrow(_profile(width, share), "doc_id long, n_shingles long, set_key long, buckets binary, shingle long, docs long"),
+        docs.mapInArrow(_profile(width, share), "doc_id long, n_shingles long, set_key long, buckets binary, bits binary, shingle long, docs long"),
         "profile",
     )
     rows = profile.where("n_shingles is not null").select("doc_id", "n_shingles", "set_key")
@@ -350,10 +375,10 @@ def jaccard_join(
             others = placed.groupBy("entry").agg(F.min_by("x", order).alias("y"))
             across = placed.join(others, "entry").where("x.part != y.part")
         else:
-            placed = _first_shared(placed)
-            others = placed.select("entry", F.col("x").alias("y"), F.col("before").alias("y_before"))
+            placed = _first_shared(placed, profile.where("set_key is not null").select("set_key", "bits"))
+            others = placed.select("entry", F.col("x").alias("y"), F.col("before").alias("y_before"), F.col("bits").alias("y_bits"))
             across = placed.join(others, "entry").where("x.part < y.part")
-            across = across.where("before is null or y_before is null or before != y_before")
+            across = across.where("before is null or y_before is null or before != y_before").where(_alike_bits(threshold))
         pairs = staged(pairs_of(across.where(_possible("x", "y", threshold))).join(tried, ["a", "b"], "left_anti"), "across")
         tried = tried.unionByName(pairs)
         new = linked(pairs)
