@@ -48,6 +48,21 @@ def test_master_of_an_old_version(spark, tmp_path):
     assert row["tags"] == ["x", "y"]
 
 
+def test_master_folder_of_two_versions(spark, tmp_path):
+    folder = tmp_path / "all of them"
+    folder.mkdir()
+    (folder / "a.csv").write_text(HEADER + "\nNEW,One,Co,Here,2024-01-05,a long text,,http://x,k1,INDEED,q,UK_ENGLISH,,UNKNOWN\n")
+    (folder / "b.csv").write_text(
+        "title,id,company,location,date,blurb,tags,link,provider,query\nT,k2,C,L,2024-01-05,a long text,,u,p,q\n"
+        "No key,,C,L,2024-01-05,a long text,,u,p,q\nNor here,,C,L,2024-01-05,a long text,,u,p,q\n"
+    )
+    (folder / "c.csv").write_text("")
+    rows = {r["key_id"]: (r["title"], r["status"], r["url"]) for r in master_csv.read_master(spark, str(folder)).collect()}
+    assert rows == {"k1": ("One", "NEW", "http://x"), "k2": ("T", "UNKNOWN", "u")}
+    bad = master_csv.rejected_master_rows(spark, str(folder)).collect()
+    assert sorted((r["title"], r["invalid_reason"]) for r in bad) == [("No key", "key unset"), ("Nor here", "key unset")]
+
+
 def test_master_round_trip(spark, tmp_path):
     rows = table(spark, [posting("a", description=' "odd", \\ text\n\nwith lines '), posting("b", tags=["x", "y z"])])
     master_csv.write_master(rows, str(tmp_path / "m"))
