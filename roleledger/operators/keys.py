@@ -17,8 +17,13 @@ def _one_per_key(df: DataFrame, key: str, chosen: Column) -> DataFrame:
     return row.select("_row.*").select(*df.columns)
 
 
+def without_key(df: DataFrame, key: str = "key_id") -> DataFrame:
+    """The rows that ``first_wins`` and ``last_wins`` leave out, with ``invalid_reason``."""
+    return df.where(F.col(key).isNull()).withColumn("invalid_reason", F.lit("key unset"))
+
+
 def first_wins(df: DataFrame, order: list[str], key: str = "key_id") -> DataFrame:
-    """The first row of every key in the order of these columns; rows without a key are dropped.
+    """The first row of every key in the order of these columns; rows without a key are those of ``without_key``.
 
     The columns must order the rows of a key completely, so that the choice is always the same.
     """

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from roleledger.operators.keys import last_wins
+from roleledger.operators.normalize import dated
 from roleledger.plans.refresh import Rules
 
 
 def recover(snapshots: DataFrame, block_list: DataFrame, duplicates: DataFrame, rules: Rules) -> DataFrame:
-    """The newest snapshot row of every key, filtered by all rules; known repetitions of a text go too."""
-    newest = last_wins(snapshots, ["snapshot_date"]).drop("snapshot_date", "version")
-    return rules.kept(newest, block_list, duplicates)
+    """The newest snapshot row of every key, filtered by all rules; known repetitions of a text go too.
+
+    Of several rows of a key in one day the last by ``ordinal`` counts, if snapshots have one, and else the one
+    with the largest hash of the row, so that the choice is always the same. Rows without a key are those of ``without_key``.
+    """
+    same_day = ["ordinal"] if "ordinal" in snapshots.columns else []
+    hashed = snapshots.withColumn("_hash", F.xxhash64(*snapshots.columns))
+    newest = last_wins(hashed, ["snapshot_date", *same_day, "_hash"]).drop("snapshot_date", "version", "_hash")
+    return dated(rules.kept(newest, block_list, duplicates))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from roleledger.operators.filters import filter_postings
-from roleledger.operators.keys import first_wins, match_by_key, match_known_duplicate, unmatched_incoming
+from roleledger.operators.keys import first_wins, match_by_key, match_known_duplicate, unmatched_incoming, without_key
 from roleledger.operators.merge import append_new, block_entry, extend_block_list, update_if_newer, upsert_duplicates
 from roleledger.operators.normalize import dated
 from roleledger.operators.similarity import best_match
@@ -52,6 +52,7 @@ class Refreshed:
     duplicates: DataFrame
     matches: DataFrame
     incoming: DataFrame
+    rejected: DataFrame
 
 
 def find_duplicates(
@@ -78,16 +79,17 @@ def refresh_master(
 
     The block list takes the master's removals before anything is filtered. Known duplicates stay
     through the filter, since they may carry news about their original. The master is filtered by the
-    same rules, and matching sees what is left of it.
+    same rules, and matching sees what is left of it. Incoming rows without a key are returned as ``rejected``.
     """
     if master is not None:
         block_list = extend_block_list(block_list, master)
+    rejected = without_key(incoming)
     # A day's rows are read many times below and cost a shuffle, so they are written once. The master
     # is not: it is stored as Parquet already, and each reader below takes few of its columns.
     incoming = staged(dated(rules.kept(first_wins(incoming, ["ordinal"]), block_list)), "incoming")
     if master is None:
         nothing = incoming.sparkSession.createDataFrame([], MATCH)
-        return Refreshed(incoming.drop("ordinal"), block_list, duplicates, nothing, incoming)
+        return Refreshed(incoming.drop("ordinal"), block_list, duplicates, nothing, incoming, rejected)
 
     existing = dated(rules.kept(master, block_list))
     matches = staged(find_duplicates(existing, incoming, duplicates, rules), "matches")
@@ -98,6 +100,7 @@ def refresh_master(
         upsert_duplicates(duplicates, matches, incoming),
         matches,
         incoming,
+        rejected,
     )
 
 

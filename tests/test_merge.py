@@ -86,6 +86,12 @@ def test_first_and_last_row_of_a_busy_key(spark):
     assert keys.last_wins(rows, ["id"]).count() == 2001
 
 
+def test_rows_without_a_key_are_set_aside(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "key_id string, id int")
+    assert [r["id"] for r in keys.last_wins(rows, ["id"]).collect()] == [3]
+    assert sorted((r["id"], r["invalid_reason"]) for r in keys.without_key(rows).collect()) == [(1, "key unset"), (2, "key unset")]
+
+
 def test_one_row_per_key_leaves_a_map_task(spark):
     plan = keys.first_wins(spark.range(10).select(F.col("id").alias("key_id"), "id"), ["id"])
     text = plan._jdf.queryExecution().executedPlan().toString()

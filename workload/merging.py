@@ -257,9 +257,9 @@ ORACLES = {
         "extend_block_list": f"""SELECT key_id, title, company, post_date, description, status FROM {{block_list}} UNION ALL
             SELECT {_ENTRY} FROM {{postings_master}} WHERE status IN ('DELETE', 'ARCHIVE', 'REJECTED', 'OLD')
             AND key_id NOT IN (SELECT key_id FROM {{block_list}})""",
-        "recover": f"""SELECT {_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY snapshot_date DESC) AS place
+        "recover": f"""SELECT {_COLUMNS} FROM ({_DATED} (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY snapshot_date DESC) AS place
             FROM {{snapshots}}) r WHERE place = 1 AND {_KEEP} AND key_id NOT IN (SELECT key_id FROM {{block_list}})
-            AND key_id NOT IN (SELECT key_id FROM {{duplicates}} WHERE {_CONTENT})""",
+            AND key_id NOT IN (SELECT key_id FROM {{duplicates}} WHERE {_CONTENT})) d""",
         "refresh_master": f"WITH {_whole_run()} SELECT {_COLUMNS} FROM final",
         "run_summary": f"""WITH {_whole_run()}, reasons AS (SELECT CASE WHEN company IN {_COMPANIES_SQL} THEN 'company'
               WHEN post_date < DATE '2023-12-02' THEN 'age' WHEN key_id IN (SELECT key_id FROM blocked) THEN 'block list' END AS reason

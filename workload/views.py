@@ -62,7 +62,7 @@ FROM {postings} WHERE doc_id % 37 = 0""",
 SELECT doc_id, key_id, status, concat(title, ' load {k}') AS title, company, location, post_date, scrape_date,
   description, short_description, tags_text, url, provider, query, locale, wage, remoteness,
   DATE '2024-01-29' + {k} AS snapshot_date, '1.0.{k}' AS version
-FROM {{postings}} WHERE doc_id % {k + 2} = 0"""
+FROM {{postings}} WHERE doc_id % {k + 1} = 0"""
         for k in range(3)
     ),
     # Key matches of the overlap, and several new postings that repeat the text of one on record.
