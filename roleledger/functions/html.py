@@ -16,6 +16,7 @@ from pyspark.sql import Column, functions as F, types as T
 REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 # ---- End of fixed values ------------------------------------------------------------------
 
+_SILENT = {"script", "style"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
 SPACE = r"^[\s\x{A0}]+|[\s\x{A0}]+$"
 
@@ -51,17 +52,20 @@ def first_match(html: Column, pattern: str, group: int = 1) -> Column:
 
 
 def attribute(html: Column, name: str) -> Column:
-    return unescaped(first_match(html, rf'(?is)<[^>]*\s{name}="([^"]*)"'))
+    """Value of the first attribute of that name, with quotes of either kind or none."""
+    value = first_match(html, rf"""(?is)<[^>]*\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+    return unescaped(F.regexp_replace(value, """^["']|["']$""", ""))
 
 
 class _ById(HTMLParser):
     def __init__(self, wanted: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.wanted, self.tag, self.depth, self.parts, self.done = wanted, None, 0, [], False
+        self.wanted, self.tag, self.depth, self.parts, self.done, self.silent = wanted, None, 0, [], False, False
 
     def handle_starttag(self, tag, attrs):
         if self.done or tag in _VOID:
             return
+        self.silent = tag in _SILENT
         if self.tag is None:
             if dict(attrs).get("id") == self.wanted:
                 self.tag, self.depth = tag, 1
@@ -69,12 +73,13 @@ class _ById(HTMLParser):
             self.depth += 1
 
     def handle_endtag(self, tag):
+        self.silent = False
         if self.tag == tag and not self.done:
             self.depth -= 1
             self.done = self.depth == 0
 
     def handle_data(self, data):
-        if self.tag is not None and not self.done:
+        if self.tag is not None and not self.done and not self.silent:
             self.parts.append(data)
 
     def text(self) -> str | None:

@@ -159,11 +159,15 @@ def quantize_radius(searches: DataFrame) -> DataFrame:
 
 
 def search_urls(searches: DataFrame) -> DataFrame:
-    """Add ``search_url``, the first result page. Needs ``provider`` and ``locale``, checked searches,
-    and ``location_id`` where the provider wants one. ``{page}`` stays for ``frontier_pages``."""
+    """Add ``search_url``, the first result page, and ``url_reason``. Needs ``provider`` and ``locale`` and checked searches.
+
+    Where the provider wants a ``location_id`` that is not there, the address is null and ``url_reason``
+    says so; it is null otherwise. ``{page}`` stays for ``frontier_pages``.
+    """
     df = quantize_radius(query_text(searches))
     provider = F.col("provider")
     city = F.lower("city")
+    place = F.col("location_id").cast("string") if "location_id" in df.columns else F.lit(None).cast("string")
     values = {
         "{domain}": F.col("domain"),
         "{query}": F.col("query_part"),
@@ -174,17 +178,17 @@ def search_urls(searches: DataFrame) -> DataFrame:
         "{limit}": _lookup(provider, PAGE_SIZE).cast("string"),
         "{similar}": F.coalesce(F.col("similar").cast("int"), F.lit(0)).cast("string"),
         "{remote}": F.coalesce(_lookup(F.col("remoteness"), REMOTE_CODES), F.lit("")),
-        "{location_id}": F.col("location_id").cast("string") if "location_id" in df.columns else F.lit(""),
+        "{location_id}": place,
     }
     url = _lookup(_pair(provider, F.col("locale")), {f"{p}/{loc}": t for (p, loc), t in URL_TEMPLATES.items()})
+    reason = F.when(url.contains("{location_id}") & place.isNull(), "location id unset")
     for placeholder, value in values.items():
         url = F.replace(url, F.lit(placeholder), F.coalesce(value, F.lit("")))
-    return df.withColumn("search_url", url)
+    return df.withColumns({"search_url": F.when(reason.isNull(), url), "url_reason": reason})
 
 
-def page_count(results: Column, page_size: Column, cap: int | None = None) -> Column:
-    pages = F.ceil(results / page_size).cast("int")
-    return F.least(pages, F.lit(cap)) if cap else pages
+def page_count(results: Column, page_size: Column) -> Column:
+    return F.ceil(results / page_size).cast("int")
 
 
 def frontier_pages(searches: DataFrame) -> DataFrame:

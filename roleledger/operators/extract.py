@@ -301,10 +301,8 @@ def first_number(text: Column) -> Column:
     return F.coalesce(F.when(number != "", number).try_cast("int"), F.lit(0))
 
 
-def result_page_count(
-    df: DataFrame, text: str, provider: str, locale: str, cap: int | None = None
-) -> DataFrame:
+def result_page_count(df: DataFrame, text: str, provider: str, locale: str) -> DataFrame:
     """Add ``n_pages``, the result pages that the hits in ``text`` fill."""
 
     hits = result_count(F.col(text), locale) if provider == "INDEED" else first_number(F.col(text))
-    return df.withColumn("n_pages", page_count(hits, F.lit(PAGE_SIZE[provider]), cap))
+    return df.withColumn("n_pages", page_count(hits, F.lit(PAGE_SIZE[provider])))

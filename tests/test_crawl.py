@@ -95,6 +95,13 @@ def test_radius(spark, provider, locale, radius, expected):
     assert crawl.quantize_radius(df).first()["site_radius"] == expected
 
 
+def test_no_address_without_a_place(spark):
+    df = searches(spark, {"locale": "USA_ENGLISH"}).withColumn("domain", F.lit("com"))
+    for provider, reason in (("GLASSDOOR", "location id unset"), ("INDEED", None)):
+        row = crawl.search_urls(df.withColumn("provider", F.lit(provider)).withColumn("location_id", F.lit(None).cast("long"))).first()
+        assert row["url_reason"] == reason and (row["search_url"] is None) == (reason is not None)
+
+
 def test_pages(spark):
     df = spark.createDataFrame(
         [("INDEED", "i", 3, None), ("MONSTER", "m?{page}q", 2, None), ("GLASSDOOR", "g", 3, "/x_IP2.htm"),

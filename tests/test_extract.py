@@ -123,11 +123,17 @@ def test_result_count(spark, locale, text, hits):
     assert df.select(extract.result_count(F.col("t"), locale)).first()[0] == hits
 
 
-def test_page_count_and_cap(spark):
+def test_page_count(spark):
     df = spark.createDataFrame([("230 jobs",), ("20 jobs",), ("0 jobs",)], "t string")
-    for cap, expected in ((None, [12, 1, 0]), (5, [5, 1, 0])):
-        rows = extract.result_page_count(df, "t", "INDEED", "USA_ENGLISH", cap).collect()
-        assert [r["n_pages"] for r in rows] == expected
+    rows = extract.result_page_count(df, "t", "INDEED", "USA_ENGLISH").collect()
+    assert [r["n_pages"] for r in rows] == [12, 1, 0]
+
+
+def test_quotes_and_scripts(spark):
+    page = """<a class=x href='/one?a=1'>A</a><div id="d">Text<script>var x = 1;</script><style>p {}</style> ends</div>"""
+    df = spark.createDataFrame([(page,), ("<a href=/two>",), ('<a href="/three">',)], "h string")
+    assert [r[0] for r in df.select(html.attribute(F.col("h"), "href")).collect()] == ["/one?a=1", "/two", "/three"]
+    assert df.select(html.element_text_by_id(F.col("h"), "d")).first()[0] == "Text ends"
 
 
 def test_a_site_added_by_a_user(spark):

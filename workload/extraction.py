@@ -255,12 +255,11 @@ def result_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Seite 1 von "), number("."), F.lit(" Jobs")).alias("german"),
         F.concat(number(","), F.lit(" Jobs")).alias("count_text"),
     )
-    pages = lambda text, provider, locale, cap=None: extract.result_page_count(
-        df, text, provider, locale, cap
-    ).select("search_id", F.lit(f"{provider} {locale} {cap or 0}").alias("page_kind"), F.col("n_pages").cast("bigint").alias("n_pages"))
+    pages = lambda text, provider, locale: extract.result_page_count(
+        df, text, provider, locale
+    ).select("search_id", F.lit(f"{provider} {locale}").alias("page_kind"), F.col("n_pages").cast("bigint").alias("n_pages"))
     return (
         pages("english", "INDEED", "CANADA_ENGLISH")
-        .unionByName(pages("english", "INDEED", "CANADA_ENGLISH", 25))
         .unionByName(pages("french", "INDEED", "FRANCE_FRENCH"))
         .unionByName(pages("german", "INDEED", "GERMANY_GERMAN"))
         .unionByName(pages("count_text", "GLASSDOOR", "UK_ENGLISH"))
@@ -358,12 +357,11 @@ ORACLES = {
             '' AS wage, '' AS location, '' AS url, '' AS tags, 'UK_ENGLISH' AS locale, 'data' AS query, 'MONSTER' AS provider FROM {postings}""",
         "result_page_count": """WITH h AS (SELECT search_id, n_results * 11 AS h FROM {searches_base}),
             e AS (SELECT search_id, CASE WHEN search_id % 10 = 0 THEN 0 ELSE h END AS h FROM h)
-            SELECT search_id, 'INDEED CANADA_ENGLISH 0' AS page_kind, CAST(ceil(h / 20.0) AS BIGINT) AS n_pages FROM e
-            UNION ALL SELECT search_id, 'INDEED CANADA_ENGLISH 25', least(CAST(ceil(h / 20.0) AS BIGINT), 25) FROM e
-            UNION ALL SELECT search_id, 'INDEED FRANCE_FRENCH 0', CAST(ceil(h / 20.0) AS BIGINT) FROM h
-            UNION ALL SELECT search_id, 'INDEED GERMANY_GERMAN 0', CAST(ceil(h / 20.0) AS BIGINT) FROM h
-            UNION ALL SELECT search_id, 'GLASSDOOR UK_ENGLISH 0', CAST(ceil(h / 30.0) AS BIGINT) FROM h
-            UNION ALL SELECT search_id, 'MONSTER UK_ENGLISH 0', CAST(ceil(h / 25.0) AS BIGINT) FROM h""",
+            SELECT search_id, 'INDEED CANADA_ENGLISH' AS page_kind, CAST(ceil(h / 20.0) AS BIGINT) AS n_pages FROM e
+            UNION ALL SELECT search_id, 'INDEED FRANCE_FRENCH', CAST(ceil(h / 20.0) AS BIGINT) FROM h
+            UNION ALL SELECT search_id, 'INDEED GERMANY_GERMAN', CAST(ceil(h / 20.0) AS BIGINT) FROM h
+            UNION ALL SELECT search_id, 'GLASSDOOR UK_ENGLISH', CAST(ceil(h / 30.0) AS BIGINT) FROM h
+            UNION ALL SELECT search_id, 'MONSTER UK_ENGLISH', CAST(ceil(h / 25.0) AS BIGINT) FROM h""",
         "register_extractor": f"""WITH f AS (SELECT CAST(page_id AS VARCHAR) AS key_id, {_HEADING} AS title,
             regexp_extract(url, '^https?://([^/]+)', 1) AS company, regexp_extract(html, '(?is)<html[^>]*\\slang="([^"]*)"', 1) AS lang,
             url FROM {{pages}})
