@@ -2,55 +2,49 @@
 
 A line's path in the tree is its number of words and its first ``LEAD`` words, digits generalised. Within
 a leaf, a word that most lines have at a place belongs to the template and the other places are variable
-fields. A line follows its leaf's template if enough of its words do. A template recurs if documents hold
-it in many different surroundings: the first words of the lines before and after it. So the lines of a copied
-document, which always have the same neighbours, are no boilerplate, however many copies there are and
-however many words were edited in some of them.
+fields. A line follows its leaf's template if enough of its words do. A template recurs if enough classes
+of documents hold it, where a document and its near copies are one class. So the lines of a copied document are no
+boilerplate, however many copies there are and however many words were edited in some of them, and the lines of a
+block of boilerplate are, though they always have the same neighbours.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from roleledger.llm.tables import bounded, staged
+from roleledger.llm.copies import copy_classes
+from roleledger.llm.tables import bounded, members, staged
 
 LEAD = 3
 # Shorter lines say too little to be a template.
 MIN_WORDS = 4
+# Classes of documents that hold a recurring template.
 MIN_DOCUMENTS = 10
 # A word at a place of at least this share of a leaf's lines is part of the template.
 CONSTANT_SHARE = 0.5
 # A line follows the template if this share of its words does.
 SIMILARITY = 0.6
-# Different surroundings among the documents with a template.
-SURROUNDINGS_SHARE = 0.5
 SPACE = r"[ \t\r\f\x0B]+"
 
 
+# Digits of words without letters; other words with digits are names, which differ or not as they are.
+NUMBER = r"(?<!\p{L}[^ ]{0,30})[0-9]+(?![^ ]*\p{L})"
+
+
 def _masked(line: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(line, SPACE, " ")), "[0-9]+", "0")
+    return F.regexp_replace(F.trim(F.regexp_replace(line, SPACE, " ")), NUMBER, "0")
 
 
 def _lead(line: Column) -> Column:
-    return F.substring_index(line, " ", LEAD)
+    return F.regexp_replace(F.substring_index(line, " ", LEAD), "[0-9]+", "0")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row per line: document, number, masked line, its surroundings, words and path."""
+    """A row per line: document, number, masked line, words and path."""
     lines = docs.select("row", F.transform(F.split("text", "\n"), _masked).alias("lines"))
-    leads = lines.withColumn("leads", F.transform("lines", _lead))
-    around = F.transform(
-        F.sequence(F.lit(0), F.size("lines") - 1),
-        lambda i: F.struct(
-            i.alias("number"),
-            F.get("lines", i).alias("line"),
-            F.get("leads", i).alias("lead"),
-            F.xxhash64(F.coalesce(F.get("leads", i - 1), F.lit("")), F.coalesce(F.get("leads", i + 1), F.lit(""))).alias("around"),
-        ),
-    )
-    found = leads.select("row", F.explode(around).alias("l")).select("row", "l.*")
+    found = lines.select("row", F.posexplode("lines").alias("number", "line"))
     words = F.size(F.split("line", " "))
-    return found.select("row", "number", "line", "around", words.alias("words"), F.concat_ws(" ", words, "lead").alias("path"))
+    return found.select("row", "number", "line", words.alias("words"), F.concat_ws(" ", words, _lead(F.col("line"))).alias("path"))
 
 
 def templates(lines: DataFrame, constant: float = CONSTANT_SHARE) -> DataFrame:
@@ -69,7 +63,6 @@ def recurring_lines(
     min_documents: int = MIN_DOCUMENTS,
     min_words: int = MIN_WORDS,
     similarity: float = SIMILARITY,
-    surroundings: float = SURROUNDINGS_SHARE,
 ) -> DataFrame:
     """``row``, ``number``: the lines of ``docs`` (``row``, ``text``) that follow a recurring template."""
     lines = _lines(docs).where(F.col("words") >= min_words)
@@ -79,11 +72,13 @@ def recurring_lines(
     words = F.split("line", " ")
     same = F.size(F.filter(F.zip_with(words, "template", lambda a, b: a == b), lambda x: x))
     follow = held.join(bounded(known, 100_000), "path").where(same >= similarity * F.col("words"))
-    follow = staged(follow.select("row", "number", "path", "around"), "follow")
-    documents = follow.select("path", "row").distinct().groupBy("path").agg(F.count("*").alias("documents"))
-    places = follow.select("path", "around").distinct().groupBy("path").agg(F.count("*").alias("places"))
-    often = (F.col("documents") >= min_documents) & (F.col("places") >= surroundings * F.col("documents"))
-    recurring = staged(documents.join(places, "path").where(often).select("path"), "recurring")
+    follow = staged(follow.select("row", "number", "path"), "follow")
+    held = follow.select("path", "row").distinct()
+    often = staged(held.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("path"), "often")
+    held = staged(held.join(bounded(often), "path", "left_semi"), "held")
+    classes = copy_classes(members(docs, staged(held.select("row").distinct(), "ids"), "row"))
+    classes = held.join(classes, "row").select("path", "class").distinct().groupBy("path").agg(F.count("*").alias("n"))
+    recurring = staged(classes.where(F.col("n") >= min_documents).select("path"), "recurring")
     return follow.join(bounded(recurring), "path", "left_semi").select("row", "number")
 
 

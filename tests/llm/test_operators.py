@@ -313,6 +313,32 @@ def test_line_templates(spark, none):
     assert line_templates.drop_recurring_lines(none).count() == 0
 
 
+LETTERS = str.maketrans("0123456789", "abcdefghij")
+
+
+def dropped_lines(spark, texts):
+    """The different lines that are dropped from these texts."""
+    table = spark.createDataFrame([(i, text, "x", "y", "z") for i, text in enumerate(texts)], DOCS)
+    out = set()
+    for r in line_templates.drop_recurring_lines(table).collect():
+        kept = r["text"].split("\n")
+        gone = [line for line in texts[r["doc_id"]].split("\n") if line not in kept]
+        assert r["_dropped"] == len(texts[r["doc_id"]].split("\n")) - (len(kept) if r["text"] else 0)
+        out |= set(gone)
+    return out
+
+
+def test_blocks_of_boilerplate_go_and_near_copies_stay(spark):
+    block = ["the first line of a block", "this inner one stands in it", "and that one closes the block"]
+    texts = ["\n".join([prose(i, 20).translate(LETTERS), *block, prose(500 + i, 20).translate(LETTERS)]) for i in range(27)]
+    copied = [prose(900 + k, 25).translate(LETTERS) for k in range(6)]
+    for i in range(40):
+        lines = [line.split() for line in copied]
+        lines[i % 6][i % 25] = prose(2000 + i, 1).translate(LETTERS)
+        texts.append("\n".join(map(" ".join, lines)))
+    assert dropped_lines(spark, texts) == set(block)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
