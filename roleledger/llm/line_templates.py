@@ -16,8 +16,6 @@ from roleledger.llm.copies import copy_classes
 from roleledger.llm.tables import bounded, members, staged
 
 LEAD = 3
-# Shorter lines say too little to be a template.
-MIN_WORDS = 4
 # Classes of documents that hold a recurring template.
 MIN_DOCUMENTS = 10
 # A word at a place of at least this share of a leaf's lines is part of the template.
@@ -32,7 +30,8 @@ NUMBER = r"(?<!\p{L}[^ ]{0,30})[0-9]+(?![^ ]*\p{L})"
 
 
 def _masked(line: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(line, SPACE, " ")), NUMBER, "0")
+    plain = F.trim(F.regexp_replace(line, SPACE, " "))
+    return F.when(plain.rlike(r"\p{L}"), F.regexp_replace(plain, NUMBER, "0")).otherwise(plain)
 
 
 def _lead(line: Column) -> Column:
@@ -44,7 +43,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     lines = docs.select("row", F.transform(F.split("text", "\n"), _masked).alias("lines"))
     found = lines.select("row", F.posexplode("lines").alias("number", "line"))
     words = F.size(F.split("line", " "))
-    return found.select("row", "number", "line", words.alias("words"), F.concat_ws(" ", words, _lead(F.col("line"))).alias("path"))
+    # Short lines are their own template, and lines of numbers have none.
+    lead = F.when(words <= LEAD, F.col("line")).otherwise(_lead(F.col("line")))
+    return found.select("row", "number", "line", words.alias("words"), F.concat_ws(" ", words, lead).alias("path"))
 
 
 def templates(lines: DataFrame, constant: float = CONSTANT_SHARE) -> DataFrame:
@@ -61,11 +62,10 @@ def templates(lines: DataFrame, constant: float = CONSTANT_SHARE) -> DataFrame:
 def recurring_lines(
     docs: DataFrame,
     min_documents: int = MIN_DOCUMENTS,
-    min_words: int = MIN_WORDS,
     similarity: float = SIMILARITY,
 ) -> DataFrame:
     """``row``, ``number``: the lines of ``docs`` (``row``, ``text``) that follow a recurring template."""
-    lines = _lines(docs).where(F.col("words") >= min_words)
+    lines = _lines(docs).where("line != ''")
     leaves = lines.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("path")
     held = staged(lines.join(bounded(staged(leaves, "leaves")), "path", "left_semi"), "lines")
     known = staged(templates(held), "templates")

@@ -339,6 +339,15 @@ def test_blocks_of_boilerplate_go_and_near_copies_stay(spark):
     assert dropped_lines(spark, texts) == set(block)
 
 
+def test_short_recurring_lines_go(spark):
+    short = ["Home", "All rights reserved.", "Page 0 end"]
+    texts = []
+    for i in range(20):
+        lines = [f"{line}\n{prose(20 * i + k, 12).translate(LETTERS)}" for k, line in enumerate(short)]
+        texts.append("\n".join([*lines, "", f"{i}", "rare one" if i < 5 else prose(7000 + i, 2).translate(LETTERS)]).replace("Page 0", f"Page {i}"))
+    assert dropped_lines(spark, texts) == {*short[:2], *(f"Page {i} end" for i in range(20))}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
