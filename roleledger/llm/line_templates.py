@@ -1,11 +1,13 @@
 """Line dedup by a tree of line templates, with DataFrame functions only.
 
-A line's path in the tree is its number of words and its first ``LEAD`` words, digits generalised. Within
-a leaf, a word that most lines have at a place belongs to the template and the other places are variable
-fields. A line follows its leaf's template if enough of its words do. A template recurs if enough classes
-of documents hold it, where a document and its near copies are one class. So the lines of a copied document are no
-boilerplate, however many copies there are and however many words were edited in some of them, and the lines of a
-block of boilerplate are, though they always have the same neighbours.
+A line's path in the tree is its number of words and its first ``LEAD`` words, digits generalised. Beyond the lead,
+a word that enough lines of the leaf have at its place may be a constant of a template, and the other places are
+variable fields. A leaf keeps many templates: for every line all its common words, and these without a field of
+one to three words, or without the least common ones, as long as enough of the words beyond the lead are
+constant. A template recurs if enough classes of documents hold it, where a document and its near copies
+are one class. So the lines of a copied document are no boilerplate, however many copies there are and however many
+words were edited in some of them, and the lines of a block of boilerplate are, though they always have the
+same neighbours.
 """
 
 from __future__ import annotations
@@ -18,20 +20,20 @@ from roleledger.llm.tables import bounded, members, staged
 LEAD = 3
 # Classes of documents that hold a recurring template.
 MIN_DOCUMENTS = 10
-# A word at a place of at least this share of a leaf's lines is part of the template.
-CONSTANT_SHARE = 0.5
-# A line follows the template if this share of its words does.
+# A template has at least this share of the words beyond the lead as constants.
 SIMILARITY = 0.6
+# Neighbouring common words that may be one variable field.
+FIELD = 3
 SPACE = r"[ \t\r\f\x0B]+"
 
 
 # Digits of words without letters; other words with digits are names, which differ or not as they are.
-NUMBER = r"(?<!\p{L}[^ ]{0,30})[0-9]+(?![^ ]*\p{L})"
+NUMBER = r"(?=[0-9])(?<!\p{L}[^ ]{0,30})[0-9]+(?![^ ]*\p{L})"
 
 
 def _masked(line: Column) -> Column:
     plain = F.trim(F.regexp_replace(line, SPACE, " "))
-    return F.when(plain.rlike(r"\p{L}"), F.regexp_replace(plain, NUMBER, "0")).otherwise(plain)
+    return F.when(line.rlike("[0-9]") & line.rlike(r"\p{L}"), F.regexp_replace(plain, NUMBER, "0")).otherwise(plain)
 
 
 def _lead(line: Column) -> Column:
@@ -40,46 +42,69 @@ def _lead(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """A row per line: document, number, masked line, words and path."""
-    lines = docs.select("row", F.transform(F.split("text", "\n"), _masked).alias("lines"))
-    found = lines.select("row", F.posexplode("lines").alias("number", "line"))
+    found = docs.select("row", F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    found = found.select("row", "number", _masked(F.col("line")).alias("line"))
     words = F.size(F.split("line", " "))
     # Short lines are their own template, and lines of numbers have none.
     lead = F.when(words <= LEAD, F.col("line")).otherwise(_lead(F.col("line")))
     return found.select("row", "number", "line", words.alias("words"), F.concat_ws(" ", words, lead).alias("path"))
 
 
-def templates(lines: DataFrame, constant: float = CONSTANT_SHARE) -> DataFrame:
-    """``path``, ``template``: for each leaf of ``lines`` (``path``, ``line``) its words, null where variable."""
-    variants = lines.groupBy("path", "line").agg(F.count("*").alias("n"))
-    places = variants.select("path", "n", F.posexplode(F.split("line", " ")).alias("place", "word"))
-    counts = places.groupBy("path", "place", "word").agg(F.sum("n").alias("n"))
-    chosen = counts.groupBy("path", "place").agg(F.sum("n").alias("all"), F.max(F.struct("n", "word")).alias("top"))
-    word = F.when(F.col("top.n") >= constant * F.col("all"), F.col("top.word"))
-    ordered = chosen.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("place", word.alias("word")))).alias("p"))
-    return ordered.select("path", F.col("p.word").alias("template"))
+def templates(lines: DataFrame, min_documents: int, similarity: float = SIMILARITY) -> DataFrame:
+    """``line``, ``template``: for each different line of ``lines`` (``path``, ``line``, ``words``) the templates it follows.
 
-
-def recurring_lines(
-    docs: DataFrame,
-    min_documents: int = MIN_DOCUMENTS,
-    similarity: float = SIMILARITY,
-) -> DataFrame:
+    Both are hashes. Templates that fewer than ``min_documents`` lines follow are left out.
+    """
+    variants = lines.groupBy("path", "words", "line").agg(F.count("*").alias("n"))
+    variants = staged(variants.withColumns({"id": F.xxhash64("path", "line"), "leaf": F.xxhash64("path")}), "variants")
+    short = variants.where(F.col("words") <= LEAD).select("id", "n", F.array("leaf").alias("templates"))
+    tails = variants.where(F.col("words") > LEAD).select("id", "leaf", "n", "words", F.split("line", " ").alias("w"))
+    places = tails.select("id", "leaf", "n", "words", F.posexplode(F.slice("w", LEAD + 1, F.col("words") - LEAD)).alias("place", "word"))
+    places = staged(places.withColumn("key", F.xxhash64("leaf", "place", "word")).select("id", "leaf", "n", "words", "place", "key"), "places")
+    common = places.groupBy("key").agg(F.sum("n").alias("lines")).where(F.col("lines") >= min_documents)
+    held = places.join(bounded(staged(common, "common")), "key")
+    need = F.ceil(F.lit(similarity) * (F.first("words") - LEAD)).cast("int")
+    fields = F.collect_list(F.struct("place", "key", F.struct(-F.col("lines"), "place").alias("rank")))
+    held = held.groupBy("id").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), need.alias("need"), F.sort_array(fields).alias("f"))
+    held = held.where(F.size("f") >= F.col("need"))
+    ranked = F.sort_array(F.transform("f", lambda x: F.struct(x["rank"], x["key"])))
+    held = staged(held.select("id", "leaf", "n", "need", F.col("f.key").alias("keys"), F.transform(ranked, lambda x: x["key"]).alias("ranked")), "fields")
+
+    def hashed(keys: Column) -> Column:
+        return F.xxhash64("leaf", F.sort_array(keys))
+
+    size = F.size("keys")
+    chain = F.transform(F.sequence("need", size), lambda n: hashed(F.slice("ranked", F.lit(1), n)))
+    runs = []
+    for width in range(1, FIELD + 1):
+        cut = F.transform(
+            F.sequence(F.lit(0), size - width),
+            lambda i, width=width: hashed(F.concat(F.slice("keys", F.lit(1), i), F.slice("keys", i + width + 1, F.greatest(size - i - width, F.lit(0))))),
+        )
+        runs.append(F.when(size - width >= F.col("need"), cut).otherwise(F.array().cast("array<bigint>")))
+    # Staged, as the filter that comes with explode would repeat all this.
+    long = held.select("id", "n", F.array_distinct(F.concat(chain, *runs)).alias("templates"))
+    all_lines = staged(short.unionByName(long), "line-templates").select("id", "n", F.explode("templates").alias("template"))
+    often = all_lines.groupBy("template").agg(F.sum("n").alias("lines")).where(F.col("lines") >= min_documents).select("template")
+    return all_lines.join(bounded(staged(often, "often")), "template", "left_semi").select(F.col("id").alias("line"), "template")
+
+
+def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, similarity: float = SIMILARITY) -> DataFrame:
     """``row``, ``number``: the lines of ``docs`` (``row``, ``text``) that follow a recurring template."""
     lines = _lines(docs).where("line != ''")
     leaves = lines.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("path")
     held = staged(lines.join(bounded(staged(leaves, "leaves")), "path", "left_semi"), "lines")
-    known = staged(templates(held), "templates")
-    words = F.split("line", " ")
-    same = F.size(F.filter(F.zip_with(words, "template", lambda a, b: a == b), lambda x: x))
-    follow = held.join(bounded(known, 100_000), "path").where(same >= similarity * F.col("words"))
-    follow = staged(follow.select("row", "number", "path"), "follow")
-    held = follow.select("path", "row").distinct()
-    often = staged(held.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("path"), "often")
-    held = staged(held.join(bounded(often), "path", "left_semi"), "held")
-    classes = copy_classes(members(docs, staged(held.select("row").distinct(), "ids"), "row"))
-    classes = held.join(classes, "row").select("path", "class").distinct().groupBy("path").agg(F.count("*").alias("n"))
-    recurring = staged(classes.where(F.col("n") >= min_documents).select("path"), "recurring")
-    return follow.join(bounded(recurring), "path", "left_semi").select("row", "number")
+    known = staged(templates(held, min_documents, similarity), "templates")
+    follow = held.select("row", "number", F.xxhash64("path", "line").alias("line"))
+    follow = staged(members(follow, staged(known.select("line").distinct(), "known"), "line"), "follow")
+    rows = staged(follow.select("row").distinct(), "ids")
+    classes = copy_classes(members(docs, rows, "row"))
+    holders = follow.join(classes, "row").select("line", "class").distinct()
+    holders = holders.join(bounded(known), "line").select("template", "class").distinct()
+    counts = holders.groupBy("template").agg(F.count("*").alias("n"))
+    recurring = staged(counts.where(F.col("n") >= min_documents).select("template"), "recurring")
+    chosen = known.join(bounded(recurring), "template", "left_semi").select("line").distinct()
+    return members(follow, staged(chosen, "chosen"), "line").select("row", "number")
 
 
 def drop_recurring_lines(docs: DataFrame, **settings: float) -> DataFrame:

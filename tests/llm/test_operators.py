@@ -348,6 +348,24 @@ def test_short_recurring_lines_go(spark):
     assert dropped_lines(spark, texts) == {*short[:2], *(f"Page {i} end" for i in range(20))}
 
 
+def test_several_templates_a_leaf(spark):
+    def words(seed, count):
+        return prose(seed, count).translate(LETTERS)
+
+    texts = []
+    for i in range(40):
+        # Two templates with the same lead, one with a field, among twice as many ordinary lines.
+        lines = [f"thanks for reading {words(i, 4)}", f"thanks for reading {words(100 + i, 4)}"]
+        if i < 12:
+            lines.append("thanks for reading our weekly letter today")
+        elif i < 24:
+            lines.append(f"thanks for reading this post by {['anna', words(200 + i, 1)][i % 2]}")
+        lines.append(f"I don't know {words(300 + i, 2)}")
+        texts.append("\n".join(f"{line}\n{words(1000 + 10 * i + k, 15)}" for k, line in enumerate(lines)))
+    posts = {line for text in texts for line in text.split("\n") if line.startswith("thanks for reading this post")}
+    assert dropped_lines(spark, texts) == {"thanks for reading our weekly letter today", *posts}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
