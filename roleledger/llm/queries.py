@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roleledger.llm import byte_bpe, jaccard_join, line_templates, nn_descent, packing, passages, quality, toxicity, url_filter, version_sketch
-from roleledger.llm.tables import documents
+from roleledger.llm.tables import bounded, documents, staged
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -47,8 +47,11 @@ def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return packing.pack(documents(spark, sf_dir), packing.word_count(text), packing.text_cluster(text))
+    docs, text = documents(spark, sf_dir), F.col("text")
+    # Rows without an id have a component, but no way to it.
+    groups = jaccard_join.jaccard_join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    clustered = docs.join(bounded(staged(groups, "groups")), "doc_id", "left")
+    return packing.pack(clustered, packing.word_count(text), F.coalesce("component_id", packing.text_cluster(text)))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from roleledger.llm import byte_bpe, jaccard_join, line_templates, nn_descent, packing, passages, quality, toxicity, url_filter, version_sketch
+from roleledger.llm import byte_bpe, jaccard_join, line_templates, nn_descent, packing, passages, quality, queries, toxicity, url_filter, version_sketch
 from roleledger.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -278,6 +278,19 @@ def test_packing(spark, docs, none):
     assert packing.pack(none, length, cluster).count() == 0
 
 
+def test_packing_keeps_near_copies_apart(spark, monkeypatch):
+    texts = []
+    for i in range(12):
+        words = BASE[0].split()
+        words[10 + i] = f"edited{i}"
+        texts.append(" ".join(words))
+    rows = [(i, text, f"s{i}", "clash", "en") for i, text in enumerate([*texts, *BASE[1:]])]
+    monkeypatch.setattr(queries, "documents", lambda spark, sf_dir: spark.createDataFrame(rows, DOCS))
+    packed = queries.op8_packing(spark, "").collect()
+    assert sum(r["length"] for r in packed) == 120 * len(rows)
+    assert len({r["bin"] for r in packed if r["doc_id"] < 12}) == 12
+
+
 def test_best_fit_is_tightest():
     assert packing.best_fit([(7, [0]), (6, [0]), (4, [0]), (3, [0])], 10) == [0, 1, 1, 0]
     assert packing.best_fit([(6, [1]), (5, [2]), (4, [1]), (4, [2])], 10) == [0, 1, 1, 0]
