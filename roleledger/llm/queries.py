@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roleledger.llm import byte_bpe, jaccard_join, line_templates, nn_descent, packing, passages, quality, toxicity, url_filter, version_sketch
+from roleledger.llm import byte_bpe, jaccard_join, line_templates, nn_descent, packing, passages, quality
+from roleledger.llm import sharding, toxicity, turns, url_filter, version_sketch, whitening
 from roleledger.llm.tables import bounded, documents, staged
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -64,6 +65,21 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_dropped").cast("long").alias("n_dropped"), "text")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(documents(spark, sf_dir).select("doc_id", "text"))
+    crc = F.coalesce(F.crc32("text"), F.lit(0).cast("long")).alias("text_crc32")
+    return placed.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return turns.repair(rows, F.col("there"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_passages": op2_passages,
@@ -75,6 +91,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_templates": op10_line_templates,
+    "op11_sharding": op11_sharding,
+    "op12_turns": op12_turns,
+    "op13_whitening": op13_whitening,
 }
 
 # Words as the operators cut them; the distinct 5-word shingles of a text, or the whole sequence.
