@@ -34,6 +34,11 @@ def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
+def similar_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows of either side every key of the join stands for."""
+    return similarity.similar_postings(*_sides(spark, sf_dir))[1]
+
+
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similarity.best_match(*_sides(spark, sf_dir))
     return found.withColumn("similarity", F.round("similarity", 6))
@@ -52,7 +57,8 @@ def self_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize, document_frequency, tfidf_weights, similarity_join, best_match, similarity_gate, self_similarity,
+        tokenize, document_frequency, tfidf_weights, similarity_join, similar_postings, best_match, similarity_gate,
+        self_similarity,
     )
 }
 
@@ -83,6 +89,13 @@ _TWO = weights_sql(
     "SELECT key_id, 'ex' AS side, description FROM {postings_master}"
 )
 
+# Interchangeable descriptions: the same counts of the words both sides use, and the same norm.
+_GROUPED = """common AS (SELECT term FROM counted GROUP BY term HAVING count(DISTINCT side) = 2),
+kind AS (SELECT key_id, side, round(any_value(norm), 6) AS norm,
+  string_agg(concat(term, ':', tf), ' ' ORDER BY term) AS shared FROM weight JOIN common USING (term) GROUP BY key_id, side),
+grouped AS (SELECT key_id, side, min(key_id) OVER (PARTITION BY side, norm, shared) AS first,
+  count(*) OVER (PARTITION BY side, norm, shared) AS n FROM kind)"""
+
 ORACLES = {
     name: with_views(sql)
     for name, sql in {
@@ -92,16 +105,11 @@ ORACLES = {
             SELECT term, df, n AS n_docs FROM frequency, total""",
         "tfidf_weights": f"""WITH {weights_sql("SELECT key_id, 'in' AS side, description FROM {postings}")}
             SELECT key_id, term, round(w / norm, 6) AS weight FROM weight""",
-        # Interchangeable descriptions: the same counts of the words both sides use, and the same norm.
-        "similarity_join": f"""WITH {_TWO}, {PAIRS},
-            common AS (SELECT term FROM counted GROUP BY term HAVING count(DISTINCT side) = 2),
-            kind AS (SELECT key_id, side, round(any_value(norm), 6) AS norm,
-              string_agg(concat(term, ':', tf), ' ' ORDER BY term) AS shared FROM weight JOIN common USING (term) GROUP BY key_id, side),
-            grouped AS (SELECT key_id, side, min(key_id) OVER (PARTITION BY side, norm, shared) AS first,
-              count(*) OVER (PARTITION BY side, norm, shared) AS n FROM kind)
+        "similarity_join": f"""WITH {_TWO}, {PAIRS}, {_GROUPED}
             SELECT a.first AS incoming_key, b.first AS existing_key, round(s, 6) AS similarity, a.n AS n_incoming, b.n AS n_existing
             FROM similar_pair JOIN grouped a ON a.side = 'in' AND a.key_id = a_key AND a.first = a_key
             JOIN grouped b ON b.side = 'ex' AND b.key_id = b_key AND b.first = b_key""",
+        "similar_postings": f"""WITH {_TWO}, {_GROUPED} SELECT side, key_id, first AS class_key_id FROM grouped""",
         "best_match": f"""WITH {_TWO}, {PAIRS},
             ranked AS (SELECT *, row_number() OVER (PARTITION BY a_key ORDER BY round(s, 9) DESC, b_key) AS place FROM similar_pair)
             SELECT b_key AS original_key_id, a_key AS duplicate_key_id, 'NEW_TFIDF' AS dup_type, round(s, 6) AS similarity
