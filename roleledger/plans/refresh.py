@@ -7,13 +7,22 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from roleledger.operators.filters import filter_postings
+from roleledger.operators.filters import filter_postings, with_reject_reason
 from roleledger.operators.keys import first_wins, match_by_key, match_known_duplicate, unmatched_incoming, without_key
-from roleledger.operators.merge import append_new, block_entry, extend_block_list, update_if_newer, upsert_duplicates
+from roleledger.operators.merge import (
+    append_new,
+    block_entry,
+    duplicate_entries,
+    fresh_rows,
+    new_block_entries,
+    update_if_newer,
+    upsert_duplicates,
+)
 from roleledger.operators.normalize import dated
 from roleledger.operators.similarity import best_match
 from roleledger.schema import DEFAULT_MAX_LISTING_DAYS, MATCH, SIMILARITY_THRESHOLD
 from roleledger.scratch import staged
+from roleledger.sources.snapshots import write_snapshot
 
 
 @dataclass(frozen=True)
@@ -31,18 +40,24 @@ class Rules:
     all_types: bool = False
     stop_words: tuple[str, ...] | None = None
 
-    def kept(self, df: DataFrame, block_list: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
-        return filter_postings(
-            df,
-            as_of=self.as_of,
-            max_days=self.max_days,
-            companies=list(self.companies),
-            block_list=block_list,
-            duplicates=duplicates,
-            wanted_remoteness=self.wanted_remoteness,
-            all_types=self.all_types,
-            inclusive=self.inclusive,
-        )
+    def _by_name(self, block_list: DataFrame | None, duplicates: DataFrame | None) -> dict:
+        return {
+            "as_of": self.as_of,
+            "max_days": self.max_days,
+            "companies": list(self.companies),
+            "block_list": block_list,
+            "duplicates": duplicates,
+            "wanted_remoteness": self.wanted_remoteness,
+            "all_types": self.all_types,
+            "inclusive": self.inclusive,
+        }
+
+    def kept(self, df: DataFrame, block_list: DataFrame | None = None, duplicates: DataFrame | None = None) -> DataFrame:
+        return filter_postings(df, **self._by_name(block_list, duplicates))
+
+    def judged(self, df: DataFrame, block_list: DataFrame | None = None, duplicates: DataFrame | None = None) -> DataFrame:
+        """With ``reject_reason``."""
+        return with_reject_reason(df, **self._by_name(block_list, duplicates))
 
 
 @dataclass(frozen=True)
@@ -53,15 +68,18 @@ class Refreshed:
     matches: DataFrame
     incoming: DataFrame
     rejected: DataFrame
+    # By table, the rows that the run added or changed, and with ``_gone`` the keys that it took out.
+    changes: dict[str, DataFrame]
 
 
 def find_duplicates(
     existing: DataFrame, incoming: DataFrame, duplicates: DataFrame, rules: Rules
 ) -> DataFrame:
     """All matches of incoming postings: by key, by the duplicates list, and by text for the rest."""
-    by_key = match_by_key(incoming, existing)
-    known = match_known_duplicate(incoming, existing, duplicates, rules.all_types)
-    rest = unmatched_incoming(incoming, existing, duplicates, rules.all_types)
+    keys = staged(existing.select("key_id"), "keys")
+    by_key = match_by_key(incoming, keys)
+    known = match_known_duplicate(incoming, keys, duplicates, rules.all_types)
+    rest = unmatched_incoming(incoming, keys, duplicates, rules.all_types)
     words = None if rules.stop_words is None else list(rules.stop_words)
     similar = best_match(rest, existing, rules.threshold, words)
     return by_key.unionByName(known).unionByName(similar)
@@ -73,6 +91,8 @@ def refresh_master(
     block_list: DataFrame,
     duplicates: DataFrame,
     rules: Rules,
+    snapshots: str | None = None,
+    version: str = "1",
 ) -> Refreshed:
     """The tables after a run. ``incoming`` has the columns of a posting and ``ordinal``, a different
     whole number for every row, in the order of collection.
@@ -80,30 +100,68 @@ def refresh_master(
     The block list takes the master's removals before anything is filtered. Known duplicates stay
     through the filter, since they may carry news about their original. The master is filtered by the
     same rules, and matching sees what is left of it. Incoming rows without a key are returned as ``rejected``.
+    With ``snapshots``, a folder, what was collected is kept there under the day of the rules before any rule
+    is applied, which is what ``recover`` starts from.
     """
-    if master is not None:
-        block_list = extend_block_list(block_list, master)
     rejected = without_key(incoming)
+    incoming = first_wins(incoming, ["ordinal"])
+    if snapshots is not None:
+        incoming = staged(incoming, "collected")
+        write_snapshot(incoming, snapshots, rules.as_of, version)
+    # Rows with a removal status go by that status, so the master needs only the entries of earlier runs.
+    entries = block_list.limit(0) if master is None else new_block_entries(block_list, master)
+    blocked = block_list if master is None else block_list.unionByName(entries)
     # A day's rows are read many times below and cost a shuffle, so they are written once. The master
     # is not: it is stored as Parquet already, and each reader below takes few of its columns.
-    incoming = staged(dated(rules.kept(first_wins(incoming, ["ordinal"]), block_list)), "incoming")
+    incoming = staged(dated(rules.kept(incoming, blocked)), "incoming")
     if master is None:
         nothing = incoming.sparkSession.createDataFrame([], MATCH)
-        return Refreshed(incoming.drop("ordinal"), block_list, duplicates, nothing, incoming, rejected)
+        fresh = incoming.drop("ordinal")
+        changes = {"master": fresh, "block_list": block_list, "duplicates": duplicates}
+        return Refreshed(fresh, blocked, duplicates, nothing, incoming, rejected, changes)
 
     existing = dated(rules.kept(master, block_list))
     matches = staged(find_duplicates(existing, incoming, duplicates, rules), "matches")
     updated = update_if_newer(existing, matches, incoming, rules.preserve, rules.rekey)
+    changes = {
+        "master": _master_changes(master, block_list, existing, matches, incoming, rules),
+        "block_list": entries,
+        "duplicates": duplicate_entries(matches, incoming),
+    }
     return Refreshed(
         append_new(updated, incoming, matches),
-        block_list,
+        blocked,
         upsert_duplicates(duplicates, matches, incoming),
         matches,
         incoming,
         rejected,
+        changes,
     )
 
 
+def _master_changes(
+    master: DataFrame, block_list: DataFrame, existing: DataFrame, matches: DataFrame, incoming: DataFrame, rules: Rules
+) -> DataFrame:
+    """Rows updated or new, and ``_gone`` keys that a rule rejects or that an update renamed.
+
+    A key that goes and comes again in one run is a change only. Rows of a master that still lack a date, which
+    a run fills, count as unchanged: readers of a state that runs have written never meet any.
+    """
+    columns = master.columns
+    updated = update_if_newer(existing, matches, incoming, rules.preserve, rules.rekey, changed_only=True)
+    fresh = fresh_rows(incoming, matches, columns)
+    here = updated.unionByName(fresh).withColumn("_gone", F.lit(False))
+    gone = rules.judged(master, block_list).where("reject_reason is not null").select("key_id")
+    if rules.rekey:
+        renamed = matches.where("original_key_id != duplicate_key_id").select(F.col("original_key_id").alias("key_id"))
+        still = update_if_newer(existing, matches, incoming, rules.preserve, False, changed_only=True).select("key_id")
+        gone = gone.unionByName(renamed.join(still, "key_id", "left_semi")).distinct()
+    gone = gone.join(fresh.select("key_id").unionByName(updated.select("key_id")), "key_id", "left_anti")
+    types = {f.name: f.dataType for f in master.schema.fields}
+    empty = [F.col("key_id") if c == "key_id" else F.lit(None).cast(types[c]).alias(c) for c in columns]
+    return here.unionByName(gone.select(*empty, F.lit(True).alias("_gone")))
+
+
 def empty_block_list(postings: DataFrame) -> DataFrame:
     return block_entry(postings).limit(0)
 

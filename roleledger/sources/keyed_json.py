@@ -7,20 +7,21 @@ handing lists to people.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from roleledger.schema import ENTRY
+from roleledger.scratch import staged
 
 
 def read_keyed_json(spark: SparkSession, path: str, object_per_line: bool = False) -> DataFrame:
     """``key_id`` and the entry's fields; no rows when there is no such file.
 
-    A file is one object over many lines, or with ``object_per_line`` many small ones, which also
-    lets Spark split the file.
+    A file is one object, however it is laid out, or with ``object_per_line`` many small ones. Either way Spark
+    splits large files, and no task holds more than a split.
     """
     keyed = T.MapType(T.StringType(), ENTRY)
     try:
-        text = spark.read.text(path, wholetext=not object_per_line)
+        text = spark.read.text(path) if object_per_line else _members(_fragments(spark, path))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -31,6 +32,70 @@ def read_keyed_json(spark: SparkSession, path: str, object_per_line: bool = Fals
     )
 
 
+def _fragments(spark: SparkSession, path: str) -> DataFrame:
+    """The text between closing braces, with what it does to quotes and depth.
+
+    ``file``, ``block`` (where its split begins) and ``n`` order the fragments. Whether one begins inside a string
+    shows only from what precedes it, so ``opens`` counts the opening braces outside strings for both cases.
+    """
+    read = spark.read.option("lineSep", "}").text(path)
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    rows = read.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"),
+        "value",
+        plain.alias("_plain"),
+    )
+
+    def count(text: Column, char: str) -> Column:
+        return (F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))).cast("bigint")
+
+    def outside(text: Column) -> Column:
+        return F.regexp_replace(text, r'"[^"]*("|$)', "")
+
+    inside = F.regexp_replace("_plain", r'^[^"]*("|$)', "")
+    opens = F.array(count(outside(F.col("_plain")), "{"), count(outside(inside), "{"))
+    return staged(rows.select("file", "block", "n", "value", count(F.col("_plain"), '"').alias("quotes"), opens.alias("opens")), "fragments")
+
+
+def _members(fragments: DataFrame) -> DataFrame:
+    """One row for each member of the outermost objects: ``value``, an object with that member.
+
+    Three sums run through a file, each over the one before: quotes say what is inside a string, braces outside
+    strings give the depth, and a brace that closes to depth one ends a member. A sum runs within a block, and the
+    blocks' totals, a few numbers for each split of the file, carry it from block to block.
+    """
+    here = W.partitionBy("file", "block").orderBy("n")
+    before = here.rowsBetween(W.unboundedPreceding, -1)
+    blocks = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, value: str, name: str) -> DataFrame:
+        """``rows`` with ``name``, the sum of ``value`` in the blocks before."""
+        totals = rows.groupBy("file", "block").agg(F.sum(value).alias("_total"))
+        starts = totals.select("file", "block", F.coalesce(F.sum("_total").over(blocks), F.lit(0)).alias(name))
+        return rows.join(staged(starts, "blocks"), ["file", "block"])
+
+    rows = carried(fragments, "quotes", "_q0")
+    state = F.pmod(F.col("_q0") + F.coalesce(F.sum("quotes").over(before), F.lit(0)), F.lit(2))
+    rows = rows.withColumn("_state", state)
+    closes = (F.pmod(F.col("_state") + F.col("quotes"), F.lit(2)) == 0).cast("bigint")
+    rows = rows.withColumn("_closes", closes)
+    rows = rows.withColumn("_delta", F.get("opens", F.col("_state").cast("int")) - F.col("_closes"))
+    rows = carried(rows, "_delta", "_d0")
+    depth = F.col("_d0") + F.sum("_delta").over(here.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_ends", ((depth == 1) & (F.col("_closes") == 1)).cast("bigint"))
+    rows = carried(rows, "_ends", "_e0")
+    rows = rows.withColumn("_member", F.col("_e0") + F.coalesce(F.sum("_ends").over(before), F.lit(0)))
+    pieces = rows.groupBy("file", "_member").agg(
+        F.sort_array(F.collect_list(F.struct("block", "n", "value"))).alias("pieces"), F.max("_ends").alias("ends")
+    )
+    text = F.concat(F.array_join(F.col("pieces.value"), "}"), F.lit("}"))
+    # Before the key there is only what ends or separates the members before.
+    member = F.concat(F.lit("{"), F.regexp_replace(text, r'^[^"]*', ""), F.lit("}"))
+    return pieces.where("ends = 1").select(member.alias("value"))
+
+
 def keyed_json_lines(entries: DataFrame) -> DataFrame:
     """One line per entry, each an object with a single key."""
     entry = F.struct(*[F.col(f.name) for f in ENTRY.fields])
@@ -40,3 +105,14 @@ def keyed_json_lines(entries: DataFrame) -> DataFrame:
 def write_keyed_json(entries: DataFrame, path: str) -> None:
     """Write the lines in the order of their keys, as readers of such files expect."""
     keyed_json_lines(entries).orderBy("key_id").select("value").write.mode("overwrite").text(path)
+
+
+def write_json_object(entries: DataFrame, path: str) -> None:
+    """Write one object in one file, for tools that want it so; that file is written by one task, row by row."""
+    lines = keyed_json_lines(entries).select(F.col("key_id").alias("key"), F.expr("substring(value, 2, length(value) - 2)").alias("value"))
+    first = lines.agg(F.min("key").alias("key")).scalar()
+    member = F.concat(F.when(F.col("key") == first, "").otherwise(","), "value")
+    spark = entries.sparkSession
+    ends = spark.createDataFrame([(0, "", "{"), (2, "", "}")], "part int, key string, value string")
+    rows = ends.unionByName(lines.select(F.lit(1).alias("part"), "key", member.alias("value")))
+    rows.orderBy("part", "key").select("value").coalesce(1).write.mode("overwrite").text(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from roleledger.operators.filters import drop_old
@@ -17,7 +17,7 @@ def refresh_batch(state: RunState, rules: Rules) -> Callable[[DataFrame, int], N
     """What to do with one batch of collected rows: a run whose number is the batch's.
 
     A batch that was committed is skipped, and one that died is done again from the state before it,
-    so every batch counts once, however often it is delivered.
+    so every batch counts once, however often it is delivered. Only the rows that a batch changes are written.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -33,8 +33,7 @@ def refresh_batch(state: RunState, rules: Rules) -> Callable[[DataFrame, int], N
             empty_duplicates(batch) if duplicates is None else duplicates,
             rules,
         )
-        tables = {"master": done.master, "block_list": done.block_list, "duplicates": done.duplicates}
-        state.commit(batch_id, tables)
+        state.commit(batch_id, done.changes)
 
     return run
 
@@ -53,10 +52,19 @@ def stream_refresh(
     )
 
 
-def stream_first_wins(landed: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """The first row of every key as it arrives. Keys are remembered until the watermark, ``delay``
-    behind the newest event, has passed them, which bounds the state."""
-    return landed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["key_id"])
+def stream_first_wins(
+    landed: DataFrame, event_time: str, delay: str, order: tuple[str, ...] = ("page_no", "pos"), span: str = "1 day"
+) -> DataFrame:
+    """The first row of every key by ``order``, for every span of event time, whatever order the rows arrive in.
+
+    The state holds the smallest row so far of a key and span, one row each, and gives it out when the watermark,
+    ``delay`` behind the newest event, has passed the span; then the state is dropped. Rows later than that are
+    left out, and rows without a key are one key.
+    """
+    fields = F.struct(*landed.columns)
+    held = landed.withWatermark(event_time, delay).groupBy(F.window(event_time, span), "key_id")
+    first = held.agg(F.min_by(fields, F.struct(*order)).alias("_row"))
+    return first.select("_row.*")
 
 
 def stream_drop_old(landed: DataFrame, as_of: dt.date, max_days: int) -> DataFrame:

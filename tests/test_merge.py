@@ -195,3 +195,44 @@ def test_block_entry_keeps_whole_texts(spark):
     rows = table(spark, [posting("a", description="x" * 150), posting("b", description="x" * 1510)])
     kept = {r["key_id"]: r["description"] for r in merge.block_entry(rows).collect()}
     assert kept == {"a": "x" * 150, "b": "x" * 1510}
+
+
+def test_a_run_leaves_a_snapshot_to_recover_from(spark, tmp_path):
+    rows = incoming(spark, [posting("a"), posting("b", status="DELETE"), posting("c", "2023-01-01")])
+    root = str(tmp_path / "snapshots")
+    refresh_master(None, rows, empty_block_list(rows), empty_duplicates(rows), Rules(as_of=DAY), root, "2")
+    kept = spark.read.parquet(root)
+    assert keys_of(kept) == ["a", "b", "c"] and {r["version"] for r in kept.collect()} == {"2"}
+    got = recover(kept, empty_block_list(rows), empty_duplicates(rows), Rules(as_of=DAY))
+    assert keys_of(got) == ["a"]
+
+
+@pytest.mark.parametrize("rekey", [False, True])
+def test_changes_make_the_new_master_of_the_old_one(spark, rekey):
+    text = "senior spark engineer building large pipelines near the river"
+    master = [posting("a"), posting("old", "2023-01-01"), posting("gone", status="ARCHIVE"), posting("t", description=text), posting("still")]
+    new = [posting("a", "2024-01-20", wage="news"), posting("x", "2024-01-12", description=text + " now"), posting("fresh"), posting("old", "2024-01-20")]
+    done = run(spark, master, new, Rules(as_of=DAY, rekey=rekey))
+    changes = done.changes["master"].collect()
+    assert len({r["key_id"] for r in changes}) == len(changes)
+    table_now = {r["key_id"]: tuple(r) for r in table(spark, master).collect()}
+    for r in changes:
+        if r["_gone"]:
+            del table_now[r["key_id"]]
+        else:
+            table_now[r["key_id"]] = tuple(r)[:-1]
+    assert table_now == {r["key_id"]: tuple(r) for r in done.master.collect()}
+    assert "still" not in {r["key_id"] for r in changes}
+    assert ("t" in table_now) == (not rekey) and ("x" in table_now) == rekey
+
+
+def test_wide_rows_move_for_winners_only(spark):
+    """Neither the choice of an update nor that of a snapshot row aggregates descriptions."""
+    master, new = table(spark, [posting("a")]), incoming(spark, [posting("a", "2024-01-20")])
+    matches = spark.createDataFrame([("a", "a", "KEY_ID", None)], "original_key_id string, duplicate_key_id string, dup_type string, similarity double")
+    days = master.withColumns({"snapshot_date": F.lit(DAY), "version": F.lit("1")})
+    recovered = recover(days, empty_block_list(master), empty_duplicates(master), Rules(as_of=DAY))
+    for plan in (merge.update_if_newer(master, matches, new), recovered):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        first = [line for line in text.splitlines() if "max(" in line]
+        assert first and all("description" not in line for line in first if "max(struct(" in line)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,46 @@ def test_keyed_json(spark, tmp_path):
     assert missing.count() == 0 and missing.columns == read.columns
 
 
+def odd_entries(count):
+    """Entries whose texts look like structure: quotes, braces, backslashes, line ends, other scripts."""
+    pick = random.Random(count)
+    bits = ["{", "}", '"', "\\", "\n", "},{", '\\"', "\\\\", "é", "日本", "plain words", ": {", "", '"}', "[", "\u2028"]
+    word = lambda: "".join(pick.choice(bits) for _ in range(pick.randrange(12)))
+    return {f"k{i} {word()}": {"title": word(), "company": word(), "post_date": None, "description": word() * 9, "status": "OLD"} for i in range(count)}
+
+
+@pytest.mark.parametrize("layout", [{"indent": 4, "sort_keys": True, "ensure_ascii": False}, {}, {"separators": (",", ":"), "ensure_ascii": False}])
+def test_one_object_is_read_in_splits(spark, tmp_path, layout):
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    entries = odd_entries(300)
+    names = list(entries)
+    for i, part in enumerate((names[:200], names[200:299], [], names[299:])):
+        (folder / f"{i}.json").write_text(json.dumps({n: entries[n] for n in part}, **layout) + "\n" * (i % 2), encoding="utf-8")
+    whole = keyed_json.read_keyed_json(spark, str(folder))
+    expected = sorted((k, *v.values()) for k, v in entries.items())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        split = keyed_json._fragments(spark, str(folder))
+        assert split.select("file", "block").distinct().count() > 20
+        found = keyed_json.read_keyed_json(spark, str(folder)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    none = lambda rows: sorted(tuple("" if v is None else v for v in r) for r in rows)
+    assert none(found) == none(expected) == none(whole.collect())
+
+
+def test_an_object_as_written(spark, tmp_path):
+    rows = spark.createDataFrame([(k, *v.values()) for k, v in odd_entries(40).items()], "key_id string, title string, company string, post_date string, description string, status string")
+    keyed_json.write_json_object(rows, str(tmp_path / "one"))
+    (file,) = (tmp_path / "one").glob("part-*")
+    assert {k: v["title"] for k, v in json.loads(file.read_text()).items()} == {r["key_id"]: r["title"] for r in rows.collect()}
+    read = keyed_json.read_keyed_json(spark, str(tmp_path / "one"))
+    assert sorted(map(str, read.collect())) == sorted(map(str, rows.collect()))
+
+
 def test_snapshot_of_a_day_is_replaced_alone(spark, tmp_path):
     root, days = str(tmp_path / "snaps"), [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
     rows = table(spark, [posting("a"), posting("b")])
@@ -106,17 +147,72 @@ def test_snapshot_of_a_day_is_replaced_alone(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(snapshot_date" in plan
 
 
+def numbers(spark, values, mark="one"):
+    return spark.createDataFrame([(f"k{i}", mark) for i in values], "key_id string, mark string")
+
+
+def rows_of(state, run):
+    return {r["key_id"]: r["mark"] for r in state.read("master", run).collect()}
+
+
 def test_state_follows_commits(spark, tmp_path):
     state = RunState(spark, str(tmp_path / "state"))
     assert state.latest_run() is None and state.read("master", None) is None
-    state.commit(0, {"master": spark.range(2)})
+    state.commit(0, {"master": numbers(spark, range(100))})
     # A run that died before its commit.
-    spark.range(9).write.parquet(f"{state.root}/master/run_id=1")
-    assert state.latest_run() == 0 and state.read("master", 0).count() == 2
-    state.commit(1, {"master": spark.range(3)})
+    numbers(spark, range(9), "died").write.parquet(f"{state.root}/master/changes/run_id=1")
+    assert state.latest_run() == 0 and len(rows_of(state, 0)) == 100
+    gone = numbers(spark, [0, 1], None).withColumn("_gone", F.lit(True))
+    state.commit(1, {"master": numbers(spark, [5, 200], "two").withColumn("_gone", F.lit(False)).unionByName(gone)})
     assert state.latest_run() == 1 and state.latest_run(before=1) == 0
     assert state.is_committed(1) and not state.is_committed(2)
-    assert state.read("master", 1).count() == 3
+    expected = {f"k{i}": "one" for i in range(2, 100)} | {"k5": "two", "k200": "two"}
+    assert rows_of(state, 1) == expected and len(rows_of(state, 0)) == 100
+    # A key that went may come again.
+    state.commit(2, {"master": numbers(spark, [0], "again")})
+    assert rows_of(state, 2) == expected | {"k0": "again"}
+
+
+def written(root):
+    return sum(f.stat().st_size for f in root.rglob("*.parquet"))
+
+
+def test_state_writes_changes_compacts_and_prunes(spark, tmp_path):
+    root = tmp_path / "state"
+    state = RunState(spark, str(root))
+    state.commit(0, {"master": numbers(spark, range(40_000))})
+    whole = written(root / "master")
+    state.commit(1, {"master": numbers(spark, range(400), "new")})
+    # One row in a hundred, and the footers of a few small files.
+    assert written(root / "master" / "changes" / "run_id=1") < 0.1 * whole
+    assert state.layout(1)["master"]["base"] == 0 and state.layout(1)["master"]["changed_rows"] == 400
+    plan = state.read("master", 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 3
+    for run in range(2, 5):
+        state.commit(run, {"master": numbers(spark, range(run * 4000, run * 4000 + 4000), f"run {run}")})
+    # The changes reached a quarter of the base, so a new base was written, and what it replaced goes in time.
+    held = state.layout(4)["master"]
+    assert held["base"] == 4 and held["base_rows"] == 40_000 and held["changes"] == []
+    for run in range(5, 8):
+        state.commit(run, {"master": numbers(spark, [1], f"run {run}")})
+    assert sorted(p.name for p in (root / "master" / "base").iterdir()) == ["run_id=4"]
+    assert sorted(p.name for p in (root / "master" / "changes").iterdir()) == ["run_id=5", "run_id=6", "run_id=7"]
+    found = rows_of(state, 7)
+    assert len(found) == 40_000 and found["k1"] == "run 7" and found["k9000"] == "run 2" and found["k300"] == "new"
+
+
+def test_a_run_writes_only_what_it_changes(spark, tmp_path):
+    state = RunState(spark, str(tmp_path / "state"))
+    run = streaming.refresh_batch(state, Rules(as_of=DAY))
+    words = [f"w{i} w{i + 1} w{i + 2} w{i * i}" for i in range(0, 600, 3)]
+    run(incoming(spark, [posting(f"p{i}", "2024-01-05", description=w) for i, w in enumerate(words)]), 0)
+    changed = [posting("p7", "2024-01-20", wage="news", description="other q1 q2"), posting("new", description="z1 z2 z3")]
+    run(incoming(spark, changed), 1)
+    held = state.layout(1)["master"]
+    assert held["base"] == 0 and held["changed_rows"] == 2
+    # The next run is so late that almost all rows are too old; they leave by their keys.
+    streaming.refresh_batch(state, Rules(as_of=dt.date(2024, 3, 18)))(incoming(spark, [posting("late", "2024-03-10", description="y1 y2")]), 2)
+    assert keys_of(state.read("master", 2)) == ["late", "p7"]
 
 
 def test_a_batch_delivered_twice_counts_once(spark, tmp_path):
@@ -141,10 +237,21 @@ def test_stream_over_landed_files(spark, tmp_path):
 
 
 def test_stream_keeps_the_first_of_a_key(spark, tmp_path):
-    landing = str(tmp_path / "landing")
-    rows = incoming(spark, [posting("a"), posting("a"), posting("b")]).withColumn("seen", F.lit("2024-01-31 00:00:00").cast("timestamp"))
-    rows.write.parquet(landing)
-    stream = streaming.stream_first_wins(streaming.landed_postings(spark, landing, rows.schema), "seen", "1 day")
-    query = stream.writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert keys_of(spark.table("firsts")) == ["a", "b"]
+    """By page and place, not by arrival, and only once a later day has been seen."""
+    landing, out, marks = (str(tmp_path / n) for n in ("landing", "out", "marks"))
+    shape = "key_id string, wage string, page_no int, pos int, seen timestamp"
+    day = dt.datetime(2024, 1, 31, 9)
+    batches = [
+        [("a", "third", 2, 0, day), ("b", "only", 1, 0, day)],
+        [("a", "second", 1, 5, day + dt.timedelta(hours=3)), ("a", "first", 1, 4, day)],
+        [("a", "next day", 9, 9, day + dt.timedelta(days=1)), ("c", "later", 1, 1, day + dt.timedelta(days=4))],
+    ]
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(landing)
+        stream = streaming.landed_postings(spark, landing, spark.createDataFrame([], shape).schema)
+        firsts = streaming.stream_first_wins(stream, "seen", "1 day")
+        writer = firsts.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
+        writer.trigger(availableNow=True).start().awaitTermination()
+        seen.append(sorted((r["key_id"], r["wage"]) for r in spark.read.schema(shape).parquet(out).collect()))
+    assert seen == [[], [], [("a", "first"), ("a", "next day"), ("b", "only")]]

@@ -128,10 +128,13 @@ def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which keys came through, each once; which of several rows is first depends on arrival."""
+    """The first row of every key of a day, which is given out once a row of a later day has landed."""
     rows = view(spark, sf_dir, "duplicate_keys").withColumn("seen_at", F.col("scrape_date").cast("timestamp"))
-    stream = streaming.stream_first_wins(_landed(spark, sf_dir, rows, 4), "seen_at", "1 day")
-    return _collected(spark, stream.select("key_id", "doc_id"))
+    later = rows.limit(1).withColumns({"seen_at": F.expr("seen_at + interval 3 days"), "key_id": F.lit("later")})
+    stream = streaming.stream_first_wins(
+        _landed(spark, sf_dir, rows.unionByName(later), 4), "seen_at", "1 day", ("provider_rank", "page_no", "pos")
+    )
+    return _shown(_collected(spark, stream))
 
 
 def stream_drop_old(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +276,8 @@ ORACLES = {
         # Both lists start empty, so nothing is blocked and no duplicate is known.
         "stream_refresh": f"""WITH nothing AS (SELECT * FROM {{duplicates}} WHERE false),
             {_whole_run("SELECT key_id FROM nothing", "nothing")} SELECT {_COLUMNS} FROM final""",
-        "stream_first_wins": "SELECT DISTINCT key_id, doc_id FROM {duplicate_keys}",
+        "stream_first_wins": f"""SELECT {_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY key_id
+            ORDER BY provider_rank, page_no, pos) AS place FROM {{duplicate_keys}}) r WHERE place = 1""",
         "stream_drop_old": """SELECT key_id, CAST(post_date AS VARCHAR) AS post_date FROM {postings}
             WHERE post_date IS NULL OR post_date >= DATE '2023-12-02'""",
     }.items()

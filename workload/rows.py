@@ -51,12 +51,23 @@ def block_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.block_entry(view(spark, sf_dir, "postings"))
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.block_entry(view(spark, sf_dir, "postings"))
+
+
 def read_keyed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "block-list-json")
-    keyed_json.write_keyed_json(view(spark, sf_dir, "block_list"), path)
+    keyed_json.write_keyed_json(_entries(spark, sf_dir), path)
     return keyed_json.read_keyed_json(spark, path, object_per_line=True)
 
 
+def read_json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All postings as one object in one file, read in parallel."""
+    path = fresh_path(spark, "block-list-object")
+    keyed_json.write_json_object(_entries(spark, sf_dir), path)
+    return keyed_json.read_keyed_json(spark, path)
+
+
 def _written_snapshots(spark: SparkSession, sf_dir: str) -> str:
     root = fresh_path(spark, "snapshots")
     rows = view(spark, sf_dir, "snapshots")
@@ -206,7 +217,8 @@ def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        page_source, write_master, read_master, block_entry, read_keyed_json, write_snapshot, read_snapshot,
+        page_source, write_master, read_master, block_entry, read_keyed_json, read_json_object,
+        write_snapshot, read_snapshot,
         foreign_versions, parse_status, parse_locale, parse_remoteness, parse_dates, split_tags,
         legacy_columns, clean_strings, drop_removed_status, drop_blocked_company, drop_company_table, drop_old,
         drop_block_listed, drop_known_duplicates, drop_wrong_remoteness, filter_postings, reject_reasons,
@@ -238,7 +250,10 @@ ORACLES = {
         "block_entry": """SELECT key_id, title, company, strftime(post_date, '%Y-%m-%d') AS post_date,
             description,
             status FROM {postings}""",
-        "read_keyed_json": "SELECT key_id, title, company, post_date, description, status FROM {block_list}",
+        **dict.fromkeys(
+            ["read_keyed_json", "read_json_object"],
+            "SELECT key_id, title, company, strftime(post_date, '%Y-%m-%d') AS post_date, description, status FROM {postings}",
+        ),
         "write_snapshot": _SNAPSHOT_ROWS,
         "read_snapshot": _SNAPSHOT_ROWS + " WHERE snapshot_date = DATE '2024-01-31'",
         "foreign_versions": "SELECT version, count(*) AS n_rows FROM {snapshots} WHERE version <> '1.0.2' GROUP BY version",
