@@ -1,30 +1,81 @@
-"""Pieces of HTML pages.
+"""Pieces of HTML pages, all in the JVM.
 
-Blocks that do not nest are cut with regular expressions in the JVM. Only ``element_text_by_id``,
-where the element may hold others of its own kind, reads the page with the standard library's
-parser in a vectorised Python function.
+Elements are cut by their own tags: the tags of one name are taken out of the page in order, an end tag closes
+the last start tag still open, and what lies between the two is the element, whatever it holds. Comments,
+scripts and styles are passed over.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import functools
+import html
+import json
+from html.entities import html5
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-# ---- Fixed values: character references and what they stand for; the ampersand comes last ---
-REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# ---- Fixed values: the references that most texts use, looked up first ---------------------
+COMMON_REFERENCES = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;"]
 # ---- End of fixed values ------------------------------------------------------------------
 
-_SILENT = {"script", "style"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
 SPACE = r"^[\s\x{A0}]+|[\s\x{A0}]+$"
 
 
+# Numeric or named, as HTML reads them: the semicolon may lack.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Names that work without a semicolon are no longer than this.
+LONGEST_BARE = max(len(name) for name in html5 if not name.endswith(";"))
+
+
+def _literal(table: str) -> Column:
+    # One literal of the plan, rather than a call with thousands of arguments.
+    return F.from_json(F.lit(table), "map<string,string>")
+
+
+@functools.cache
+def _names() -> str:
+    return json.dumps({name: html5[name] for name in [*COMMON_REFERENCES, *(n for n in html5 if n not in COMMON_REFERENCES)]})
+
+
+@functools.cache
+def _odd_numbers() -> str:
+    """Code points below 0xA0 that stand for something else, by the rule of the standard library."""
+    return json.dumps({str(i): html.unescape(f"&#{i};") for i in range(0xA0) if html.unescape(f"&#{i};") != chr(i)})
+
+
+def _numbered(reference: Column) -> Column:
+    hexadecimal = F.lower(F.substring(reference, 3, 1)) == "x"
+    digits = F.regexp_replace(reference, "^&#[xX]?0*(?=.)|;$", "")
+    # No code point has more than seven digits, and more would overflow.
+    code = F.when(F.length(digits) <= 7, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits)).try_cast("bigint")
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    beyond = code.isNull() | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    unused = code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
+    odd = F.element_at(_literal(_odd_numbers()), code.cast("string"))
+    return F.coalesce(odd, F.when(beyond, "\ufffd").when(unused, "").otherwise(char))
+
+
+def _named(reference: Column, names: Column) -> Column:
+    """By the longest name that the reference begins with; what is no name stays as it is."""
+    name = F.substring(reference, 2, 64)
+    sizes = F.array(F.length(name), *[F.lit(size) for size in range(LONGEST_BARE, 1, -1)])
+    tried = F.transform(sizes, lambda k: F.struct(F.element_at(names, F.substring(name, F.lit(1), k)).alias("char"), F.substring(name, k + 1, F.lit(64)).alias("rest")))
+    found = F.get(F.filter(tried, lambda t: t["char"].isNotNull()), F.lit(0))
+    return F.coalesce(F.concat(found["char"], found["rest"]), reference)
+
+
 def unescaped(text: Column) -> Column:
-    for reference, char in REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(char))
-    return text
+    """Character references replaced by what they stand for, in one pass from left to right."""
+    names = _literal(_names())
+
+    def replaced(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(f"({REFERENCE})"), F.lit(1))
+        decoded = F.transform(found, lambda r: F.when(r.startswith("&#"), _numbered(r)).otherwise(_named(r, names)))
+        both = F.zip_with(F.split(t, REFERENCE, -1), decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(both, "")).otherwise(t)
+
+    # As the element of an array the text, which may be the outcome of much work, is made once.
+    return F.get(F.transform(F.array(text), replaced), F.lit(0))
 
 
 def without_tags(html: Column) -> Column:
@@ -57,48 +108,73 @@ def attribute(html: Column, name: str) -> Column:
     return unescaped(F.regexp_replace(value, """^["']|["']$""", ""))
 
 
-class _ById(HTMLParser):
-    def __init__(self, wanted: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.wanted, self.tag, self.depth, self.parts, self.done, self.silent = wanted, None, 0, [], False, False
-
-    def handle_starttag(self, tag, attrs):
-        if self.done or tag in _VOID:
-            return
-        self.silent = tag in _SILENT
-        if self.tag is None:
-            if dict(attrs).get("id") == self.wanted:
-                self.tag, self.depth = tag, 1
-        elif tag == self.tag:
-            self.depth += 1
-
-    def handle_endtag(self, tag):
-        self.silent = False
-        if self.tag == tag and not self.done:
-            self.depth -= 1
-            self.done = self.depth == 0
-
-    def handle_data(self, data):
-        if self.tag is not None and not self.done and not self.silent:
-            self.parts.append(data)
-
-    def text(self) -> str | None:
-        return "".join(self.parts).strip() if self.tag is not None else None
-
-
-def element_text_by_id(html: Column, element_id: str) -> Column:
-    """Text of the element with this id, nested blocks included. Runs in Python, in Arrow batches."""
-
-    @F.pandas_udf(T.StringType())
-    def text_of(pages: pd.Series) -> pd.Series:
-        def one(page: str | None) -> str | None:
-            if page is None:
-                return None
-            parser = _ById(element_id)
-            parser.feed(page)
-            parser.close()
-            return parser.text()
-
-        return pages.map(one)
-
-    return text_of(html)
+# What may hold tags that are none.
+PASSED_OVER = r"<!--.*?-->|<script(?=[\s/>]).*?</script\s*>|<style(?=[\s/>]).*?</style\s*>"
+_REST_OF_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+# A tag of another name matters only if a value of its attributes looks like a tag.
+_MISLEADING_TAG = r"<[a-z](?=[^>]*<)" + _REST_OF_TAG
+
+
+def has_class(css_class: str) -> str:
+    """Pattern of a start tag with this class, in quotes of either kind or none."""
+    return rf"""(?is)^<[^>]*?\sclass\s*=\s*(?:"(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"|'(?:[^']*\s)?{css_class}(?:\s[^']*)?'|{css_class}(?=[\s/>]))"""
+
+
+def has_id(element_id: str) -> str:
+    return rf"""(?is)^<[^>]*?\sid\s*=\s*(?:"{element_id}"|'{element_id}'|{element_id}(?=[\s/>]))"""
+
+
+def with_elements(df: DataFrame, source: str, tag: str | Column, wanted: str | None, name: str) -> DataFrame:
+    """Add ``name``, the elements of the column ``source`` with this tag whose start tag matches ``wanted``, in order.
+
+    Elements in elements of the same tag come out whole, and each of them if it matches. One that is never closed
+    runs to the end. A tag given as a column may differ from row to row.
+    """
+    own = F.concat(F.lit("</?"), F.lit(tag) if isinstance(tag, str) else tag, F.lit(r"(?=[\s/>])"))
+    pattern = F.concat(F.lit(f"(?is)({PASSED_OVER}|"), own, F.lit(f"{_REST_OF_TAG}|{_MISLEADING_TAG})"))
+    # Columns of their own, since the functions below read them by position for every tag.
+    df = df.withColumn("_pattern", pattern).withColumn("_own", F.concat(F.lit("(?i)^"), own))
+    df = df.withColumn("_tags", F.regexp_extract_all(source, F.col("_pattern"), F.lit(1)))
+    df = df.withColumn("_between", F.split(F.col(source), F.col("_pattern"), -1))
+
+    def step(state: Column, at: Column) -> Column:
+        text = F.get("_tags", at)
+        top = F.try_element_at(state["open"], F.lit(-1))
+        opened = F.concat(state["open"], F.array(F.struct(at.alias("at"), (F.lit(True) if wanted is None else text.rlike(wanted)).alias("wanted"))))
+        closed = F.slice(state["open"], 1, F.greatest(F.size(state["open"]) - 1, F.lit(0)))
+        done = F.when(F.coalesce(top["wanted"], F.lit(False)), F.concat(state["done"], F.array(F.struct(top["at"].alias("first"), at.alias("last")))))
+        return (
+            F.when(~F.regexp(text, F.col("_own")) | text.endswith("/>"), state)
+            .when(text.startswith("</"), F.struct(closed.alias("open"), F.coalesce(done, state["done"]).alias("done")))
+            .otherwise(F.struct(opened.alias("open"), state["done"].alias("done")))
+        )
+
+    start = F.struct(
+        F.array().cast("array<struct<at:int,wanted:boolean>>").alias("open"), F.array().cast("array<struct<first:int,last:int>>").alias("done")
+    )
+    # The array of places, not of texts: the state stays small.
+    places = F.when(F.size("_tags") > 0, F.sequence(F.lit(0), F.size("_tags") - 1)).otherwise(F.array().cast("array<int>"))
+    left_open = lambda s: F.transform(
+        F.filter(s["open"], lambda o: o["wanted"]), lambda o: F.struct(o["at"].alias("first"), F.lit(-1).alias("last"))
+    )
+    spans = F.aggregate(places, start, step, lambda s: F.sort_array(F.concat(s["done"], left_open(s))))
+    df = df.withColumn("_spans", F.when(F.col("_tags").isNotNull(), spans))
+
+    def cut(span: Column) -> Column:
+        last = F.when(span["last"] < 0, F.size("_tags") - 1).otherwise(span["last"])
+        after = lambda i: F.when((i < last) | (span["last"] < 0), F.get("_between", i + 1)).otherwise("")
+        return F.array_join(F.transform(F.sequence(span["first"], last), lambda i: F.concat(F.get("_tags", i), after(i))), "")
+
+    return df.withColumn(name, F.transform("_spans", cut)).drop("_pattern", "_own", "_tags", "_between", "_spans")
+
+
+def with_text_by_id(df: DataFrame, source: str, element_id: str, name: str) -> DataFrame:
+    """Add ``name``, the text of the element with this id, nested ones included; null where there is none."""
+    opening = rf"""(?is)<([a-z][a-z0-9]*)(?=\s)(?:[^>"']++|"[^"]*+"|'[^']*+')*?\sid\s*=\s*(?:"{element_id}"|'{element_id}'|{element_id}(?=[\s/>]))"""
+    found = F.regexp_extract(source, opening, 1)
+    df = df.withColumn("_tag", F.nullif(found, F.lit("")))
+    # Only from the element on, so that the tags before it are not gone through.
+    rest = F.regexp_substr(F.col(source), F.concat(F.lit(opening), F.lit("(?s).*")))
+    df = with_elements(df.withColumn("_rest", rest), "_rest", F.col("_tag"), has_id(element_id), "_elements")
+    plain = F.regexp_replace(F.get("_elements", F.lit(0)), f"(?is){PASSED_OVER}", "")
+    return df.withColumn(name, inner_text(plain)).drop("_tag", "_rest", "_elements")

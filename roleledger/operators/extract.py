@@ -1,6 +1,6 @@
 """From landed pages to posting rows.
 
-All of it is projections, except for ``attach_detail``, which joins the detail pages. Reject rows
+All of it is projections in the JVM, except for ``attach_detail``, which joins the detail pages. Reject rows
 before that join: the rules that need no detail page then spare the work.
 """
 
@@ -14,13 +14,17 @@ from roleledger.functions.dates import relative_date
 from roleledger.functions.html import (
     attribute,
     block_pattern,
-    element_text_by_id,
     first_match,
+    has_class,
     inner_text,
+    unescaped,
+    with_elements,
+    with_text_by_id,
     without_tags,
 )
 from roleledger.operators.crawl import page_count
 from roleledger.schema import LISTING_JSON, PAGE_SIZE
+from roleledger.scratch import staged
 
 # ---- Fixed values -------------------------------------------------------------------------
 JOBCARDS_SCRIPT_ID = "mosaic-data"
@@ -38,21 +42,15 @@ LISTING_BLOCK = {"GLASSDOOR": ("li", "jl"), "MONSTER": ("div", "flex-row")}
 
 
 def split_listings(pages: DataFrame, tag: str, css_class: str | None = None) -> DataFrame:
-    """One row per ``tag`` block of a page: ``pos`` from 0 and ``fragment``, the block's HTML."""
-    blocks = F.regexp_extract_all("html", F.lit(block_pattern(tag, css_class)), F.lit(0))
-    return pages.select("*", F.posexplode(blocks).alias("pos", "fragment")).drop("html")
+    """One row per ``tag`` element of a page, with ``css_class`` if given: ``pos`` from 0 and ``fragment``, its HTML.
 
-
-def split_nested_listings(pages: DataFrame, tag: str, css_class: str) -> DataFrame:
-    """As ``split_listings`` for blocks that hold blocks of the same tag, such as ``div`` in ``div``.
-
-    The page is cut where a listing opens, so a fragment runs up to the next listing.
+    An element ends at its own end tag, whatever it holds; one that holds others of its kind comes before them.
     """
-    opening = rf'(?i)(?=<{tag}\s[^>]*\bclass="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?")'
-    pieces = F.split("html", opening)
-    starts = rf'(?is)^<{tag}\s[^>]*\bclass="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"'
-    blocks = F.filter(pieces, lambda piece: piece.rlike(starts))
-    return pages.select("*", F.posexplode(blocks).alias("pos", "fragment")).drop("html")
+    cut = with_elements(pages, "html", tag, None if css_class is None else has_class(css_class), "_blocks").drop("html")
+    kept = [c for c in pages.columns if c != "html"]
+    each = cut.select(*kept, F.posexplode_outer("_blocks").alias("pos", "fragment"))
+    # The outer form, since for the inner one the optimizer would add a filter that cuts every page twice.
+    return each.where(F.col("pos").isNotNull())
 
 
 def _with_job_cards(pages: DataFrame) -> DataFrame:
@@ -218,19 +216,28 @@ def sidebar_tags(detail_html: Column) -> Column:
     return F.coalesce(F.transform(kept, lambda p: p["value"]), F.array().cast("array<string>"))
 
 
-def detail_text(pages: DataFrame, element_id: str) -> DataFrame:
+# Addresses up to which they are sent to all tasks: some 100 MB at most.
+MAX_BROADCAST_URLS = 500_000
+
+
+def detail_text(pages: DataFrame, element_id: str, wanted: DataFrame | None = None) -> DataFrame:
     """``url`` and ``detail``, the text of one element of the page, once per address.
 
-    The text is taken out before anything is shuffled, so whole pages never travel.
+    ``wanted``, a staged table of addresses, says which pages count. Few addresses are broadcast, so that the
+    other pages are not even cut; with many, the text is taken out before anything is shuffled, so whole pages
+    never travel.
     """
-    cut = pages.select("url", element_text_by_id(F.col("html"), element_id).alias("detail"))
+    if wanted is not None and wanted.count() <= MAX_BROADCAST_URLS:
+        pages = pages.join(F.broadcast(wanted), "url", "left_semi")
+    cut = with_text_by_id(pages.select("url", "html"), "html", element_id, "detail").select("url", "detail")
     return cut.groupBy("url").agg(F.min("detail").alias("detail"))
 
 
 def attach_detail(postings: DataFrame, pages: DataFrame, element_id: str) -> DataFrame:
     """Postings with the description of their own page; without such a page they keep the one they have."""
+    wanted = staged(postings.select("url").where("url is not null").distinct(), "urls")
     return (
-        postings.join(detail_text(pages, element_id), "url", "left")
+        postings.join(detail_text(pages, element_id, wanted), "url", "left")
         .withColumn("description", F.coalesce("detail", "description"))
         .drop("detail")
     )

@@ -1,6 +1,10 @@
 """Extraction from hand-written pages."""
 
 import datetime as dt
+import random
+from html import unescape
+from html.entities import html5
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,13 +104,13 @@ def test_german_dates_when_asked_for(spark):
 def test_text_of_a_nested_element(spark):
     page = '<div id="a">no</div><div class="x" id="b"> one <div>two<br>three &amp; <b>four</b></div> five </div><div>six</div>'
     df = pages(spark, page, "<p>none</p>", None, '<div id="b">never closed')
-    texts = [r[0] for r in df.select(html.element_text_by_id(F.col("html"), "b")).collect()]
+    texts = [r["t"] for r in html.with_text_by_id(df, "html", "b", "t").orderBy("page_id").collect()]
     assert texts == ["one twothree & four five", None, None, "never closed"]
 
 
 def test_nested_listings(spark):
     page = '<div class="page"><div class="a flex-row b"><div>x</div></div>\n<div class="flex-row"><div class="flex-rows">y</div></div></div>'
-    rows = extract.split_nested_listings(pages(spark, page), "div", "flex-row").collect()
+    rows = extract.split_listings(pages(spark, page), "div", "flex-row").collect()
     assert [(">x<" in r["fragment"], ">y<" in r["fragment"]) for r in rows] == [(True, False), (False, True)]
 
 
@@ -133,7 +137,93 @@ def test_quotes_and_scripts(spark):
     page = """<a class=x href='/one?a=1'>A</a><div id="d">Text<script>var x = 1;</script><style>p {}</style> ends</div>"""
     df = spark.createDataFrame([(page,), ("<a href=/two>",), ('<a href="/three">',)], "h string")
     assert [r[0] for r in df.select(html.attribute(F.col("h"), "href")).collect()] == ["/one?a=1", "/two", "/three"]
-    assert df.select(html.element_text_by_id(F.col("h"), "d")).first()[0] == "Text ends"
+    assert [r["t"] for r in html.with_text_by_id(df, "h", "d", "t").collect()] == ["Text ends", None, None]
+
+
+class Elements(HTMLParser):
+    """The elements of one tag with a class, as the standard library's parser meets them: an independent count."""
+
+    def __init__(self, page, tag, css_class):
+        super().__init__(convert_charrefs=False)
+        self.page, self.tag, self.css_class, self.open, self.found = page, tag, css_class, [], []
+        self.starts = [0]
+        for line in page.splitlines(keepends=True):
+            self.starts.append(self.starts[-1] + len(line))
+        self.feed(page)
+        self.found += [(at, len(page)) for at, wanted in self.open if wanted]
+
+    def place(self):
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def handle_starttag(self, tag, attrs):
+        if tag == self.tag:
+            self.open.append((self.place(), self.css_class in (dict(attrs).get("class") or "").split()))
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        if tag == self.tag and self.open:
+            at, wanted = self.open.pop()
+            if wanted:
+                self.found.append((at, self.page.index(">", self.place()) + 1))
+
+    def fragments(self):
+        return [self.page[a:b] for a, b in sorted(self.found)]
+
+
+def test_elements_against_another_parser(spark):
+    pick = random.Random(8)
+    bits = [
+        "<li>", "<li class='jl x'>", '<li class="a jl">', "<li class=jl>", "<LI CLASS='jl'>", "</li>", "</li>", "</li >", "<lid>", "<ul>", "</ul>",
+        "text ", "a > b ", '<li class="jlx">', "<!-- <li class='jl'> -->", "<script>'</li>'</script>", '<a title="</li>">', "<li/>", "\n", "<p class=jl>",
+    ]
+    texts = ["".join(pick.choice(bits) for _ in range(pick.randrange(60))) for _ in range(150)]
+    found = {}
+    for r in extract.split_listings(pages(spark, *texts), "li", "jl").collect():
+        found.setdefault(r["page_id"], []).append((r["pos"], r["fragment"]))
+    for i, text in enumerate(texts):
+        assert [f for _, f in sorted(found.get(i, []))] == Elements(text, "li", "jl").fragments()
+
+
+def test_blocks_in_blocks_and_the_last_block(spark):
+    page = '<div class="page"><div class="flex-row"><div>x<div>deep</div></div></div><div class="flex-row">y<div>z</div></div><p>footer</p></div>'
+    rows = extract.split_listings(pages(spark, page), "div", "flex-row").collect()
+    assert [r["fragment"] for r in rows] == ['<div class="flex-row"><div>x<div>deep</div></div></div>', '<div class="flex-row">y<div>z</div></div>']
+    listing = '<ul><li class="jl" data-id="1"><ul><li>perk</li></ul><div class="jobEmpolyerName">Co</div></li></ul>'
+    (row,) = extract.split_listings(pages(spark, listing), *extract.LISTING_BLOCK["GLASSDOOR"]).collect()
+    assert "Co</div></li>" in row["fragment"]
+
+
+def test_character_references(spark):
+    pick = random.Random(4)
+    names = sorted(html5)
+    texts = ["Caf&eacute; &#8217;s &amp;lt; &notit; &copy 2020 &bogus; & alone", None, "plain", "&#0;&#128;&#xD800;&#1114112;&#65535;&#13;&#x0041;"]
+    for _ in range(200):
+        bits = [
+            "&" + pick.choice(names), "&" + pick.choice(names).rstrip(";") + pick.choice(["", "x", ";"]), f"&#{pick.randrange(1 << pick.randrange(1, 22))};",
+            f"&#x{pick.randrange(1 << 21):x}", "&", "#", ";", " ", "word", "&#", f"&#{'9' * pick.randrange(1, 30)};", "&amp;",
+        ]
+        texts.append("".join(pick.choice(bits) for _ in range(12)))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", html.unescaped(F.col("t")).alias("u")).collect():
+        assert r["u"] == (None if r["t"] is None else unescape(r["t"]))
+
+
+def test_detail_pages_are_read_without_python(spark):
+    detail = '<div id="jobDescriptionText">Caf&eacute;<div> &#8217;s</div></div>'
+    landed = spark.createDataFrame([("u1", detail), ("u2", None), ("other", detail), (None, detail)], "url string, html string")
+    rows = spark.createDataFrame([("u1", "none"), ("u2", "kept"), ("u3", "kept"), (None, "kept")], "url string, description string")
+    for most in (extract.MAX_BROADCAST_URLS, 0):
+        extract.MAX_BROADCAST_URLS, before = most, extract.MAX_BROADCAST_URLS
+        try:
+            done = extract.attach_detail(rows, landed, "jobDescriptionText")
+        finally:
+            extract.MAX_BROADCAST_URLS = before
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and "InArrow" not in plan and ("LeftSemi" in plan) == (most > 0)
+        assert {r["url"]: r["description"] for r in done.collect()} == {"u1": "Café ’s", "u2": "kept", "u3": "kept", None: "kept"}
 
 
 def test_a_site_added_by_a_user(spark):

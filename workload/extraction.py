@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from roleledger.functions.html import unescaped
 from roleledger.operators import extract, registry
 from workload.rows import day, tagged
 from workload.views import view, with_views
@@ -110,6 +111,15 @@ def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.select("page_id", "title", "lang", "heading", F.array_join("links", " ").alias("links"))
 
 
+def character_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with references of every kind, some of them references to references."""
+    text = F.concat(
+        F.col("p_name"), F.lit(" Caf&eacute;s &#8217;"), F.lit("&#"), (F.col("p_size") + 200).cast("string"), F.lit("; &#x1F600; &amp;lt; &copy "),
+        F.col("p_brand"), F.lit("&notit; & &bogus; &NotEqualTilde;&#128;"),
+    )
+    return view(spark, sf_dir, "part").select("p_partkey", unescaped(text).alias("text"))
+
+
 def _glassdoor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id").cast("string")
     wage = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('<span class="gray salary"> $'), key, F.lit(" &amp; up </span>"))).otherwise("")
@@ -149,7 +159,7 @@ def monster_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("doc_id", block.alias("b")))).alias("bs"))
         .select("page_no", F.concat(F.lit('<html><div class="page">'), F.array_join("bs.b", "\n"), F.lit("</div></html>")).alias("html"))
     )
-    listings = extract.split_nested_listings(pages, *extract.LISTING_BLOCK["MONSTER"])
+    listings = extract.split_listings(pages, *extract.LISTING_BLOCK["MONSTER"])
     return extract.monster_fields(listings).drop("page_no").withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -287,7 +297,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         embedded_json_rows, embedded_json_rejects, json_fields, collected_postings, split_listings, html_fields,
-        glassdoor_fields, monster_fields, attach_detail, attribute_tags, sidebar_tags, wage_text,
+        character_references, glassdoor_fields, monster_fields, attach_detail, attribute_tags, sidebar_tags, wage_text,
         remoteness_from_tags, remoteness_from_flag, relative_post_date, detail_url, prefix_key, fill_defaults,
         result_page_count, register_extractor,
     )
@@ -322,6 +332,8 @@ ORACLES = {
             FROM (SELECT page_id, fs, unnest(range(1, len(fs) + 1)) AS i FROM f) g""",
         "html_fields": f"""SELECT page_id, {_TITLE} AS title, regexp_extract(html, '(?is)<html[^>]*\\slang="([^"]*)"', 1) AS lang,
             {_HEADING} AS heading, array_to_string(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"', 1), ' ') AS links FROM {{pages}}""",
+        "character_references": """SELECT p_partkey, concat(p_name, ' Cafés ’', chr(CAST(p_size + 200 AS INTEGER)), ' 😀 &lt; © ', p_brand,
+            '¬it; & &bogus; ', chr(8770), chr(824), '€') AS text FROM {part}""",
         "glassdoor_fields": """SELECT row_number() OVER (PARTITION BY doc_id // 30 ORDER BY doc_id) - 1 AS pos, title,
             coalesce(company, '') AS company, location, CAST(doc_id AS VARCHAR) AS key_id, concat(doc_id % 40, 'd') AS age_text,
             CASE WHEN doc_id % 3 = 0 THEN concat('$', doc_id, ' & up') ELSE '' END AS wage,
