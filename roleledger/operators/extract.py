@@ -220,6 +220,17 @@ def sidebar_tags(detail_html: Column) -> Column:
 MAX_BROADCAST_URLS = 500_000
 
 
+def _wanted_pages(pages: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """The pages whose address is in ``wanted``, a staged table, as far as that needs no shuffle."""
+    if wanted is not None and wanted.count() <= MAX_BROADCAST_URLS:
+        pages = pages.join(F.broadcast(wanted), "url", "left_semi")
+    return pages.where("url is not null").select("url", "html")
+
+
+def _urls(postings: DataFrame) -> DataFrame:
+    return staged(postings.select("url").where("url is not null").distinct(), "urls")
+
+
 def detail_text(pages: DataFrame, element_id: str, wanted: DataFrame | None = None) -> DataFrame:
     """``url`` and ``detail``, the text of one element of the page, once per address.
 
@@ -227,22 +238,35 @@ def detail_text(pages: DataFrame, element_id: str, wanted: DataFrame | None = No
     other pages are not even cut; with many, the text is taken out before anything is shuffled, so whole pages
     never travel.
     """
-    if wanted is not None and wanted.count() <= MAX_BROADCAST_URLS:
-        pages = pages.join(F.broadcast(wanted), "url", "left_semi")
-    cut = with_text_by_id(pages.select("url", "html"), "html", element_id, "detail").select("url", "detail")
+    cut = with_text_by_id(_wanted_pages(pages, wanted), "html", element_id, "detail").select("url", "detail")
     return cut.groupBy("url").agg(F.min("detail").alias("detail"))
 
 
 def attach_detail(postings: DataFrame, pages: DataFrame, element_id: str) -> DataFrame:
     """Postings with the description of their own page; without such a page they keep the one they have."""
-    wanted = staged(postings.select("url").where("url is not null").distinct(), "urls")
     return (
-        postings.join(detail_text(pages, element_id, wanted), "url", "left")
+        postings.join(detail_text(pages, element_id, _urls(postings)), "url", "left")
         .withColumn("description", F.coalesce("detail", "description"))
         .drop("detail")
+        .select(*postings.columns)
     )
 
 
+def attach_monster_detail(postings: DataFrame, pages: DataFrame, element_id: str) -> DataFrame:
+    """As ``attach_detail``, with the wage and the tags that Monster shows on a posting's own page only."""
+    cut = with_text_by_id(_wanted_pages(pages, _urls(postings)), "html", element_id, "detail")
+    found = F.struct("detail", monster_wage(F.col("html")).alias("wage"), sidebar_tags(F.col("html")).alias("tags"))
+    details = cut.select("url", found.alias("_own")).groupBy("url").agg(F.min("_own").alias("_own"))
+    own = F.col("_own")
+    return postings.join(details, "url", "left").withColumns(
+        {
+            "description": F.coalesce(own["detail"], "description"),
+            "wage": F.coalesce(F.nullif(own["wage"], F.lit("")), "wage"),
+            "tags": F.when(F.size(own["tags"]) > 0, own["tags"]).otherwise(F.col("tags")),
+        }
+    ).select(*postings.columns)
+
+
 def with_post_date(df: DataFrame, as_of: dt.datetime, german: bool = False) -> DataFrame:
     """``post_date`` from ``age_text``. A text that names no day falls back to the day of collection,
     and ``post_date_inferred`` says so."""
@@ -266,8 +290,8 @@ def prefix_key(df: DataFrame) -> DataFrame:
     return df.withColumn("key_id", F.concat(F.col("provider"), F.lit("_"), F.col("key_id")))
 
 
-def fill_defaults(df: DataFrame, locale: str, query: str, provider: str) -> DataFrame:
-    """The columns of a posting that collection sets, and empty values for what was not found."""
+def defaults_filled(df: DataFrame) -> DataFrame:
+    """Empty values for what was not found."""
     empty = F.lit("")
     defaults = {
         "status": F.lit("NEW"),
@@ -281,9 +305,13 @@ def fill_defaults(df: DataFrame, locale: str, query: str, provider: str) -> Data
         "url": empty,
         "tags": F.array().cast("array<string>"),
     }
-    filled = {n: F.coalesce(F.col(n), v) if n in df.columns else v for n, v in defaults.items()}
+    return df.withColumns({n: F.coalesce(F.col(n), v) if n in df.columns else v for n, v in defaults.items()})
+
+
+def fill_defaults(df: DataFrame, locale: str, query: str, provider: str) -> DataFrame:
+    """The columns of a posting that collection sets, and empty values for what was not found."""
     fixed = {"locale": F.lit(locale), "query": F.lit(query), "provider": F.lit(provider)}
-    return df.withColumns(filled | fixed)
+    return defaults_filled(df).withColumns(fixed)
 
 
 def result_count(text: Column, locale: str) -> Column:

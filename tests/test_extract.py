@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from roleledger.functions import html
 from roleledger.operators import extract, filters, normalize, registry
+from roleledger.plans.collect import collect
 
 PAGE = """<html><script>var x = "mosaic-provider-jobcards";</script>
 <script id="mosaic-data" type="text/javascript">
@@ -260,3 +261,56 @@ def test_missing_values_reject_nothing(spark):
 def test_printable(spark):
     df = spark.createDataFrame([("aé​b\tc\n",)], "title string")
     assert normalize.clean_strings(df).first()["title"] == "ab\tc\n"
+
+
+def landed(spark, *rows):
+    return spark.createDataFrame(rows, "provider string, locale string, query string, page_no int, html string")
+
+
+def test_the_sites_that_are_known():
+    pairs = {(site, locale) for site, locales in registry.SITE_LOCALES.items() for locale in locales}
+    assert len(pairs) == 12
+    for pair in pairs:
+        assert registry.extractor_for(*pair) in (registry.indeed, registry.glassdoor, registry.monster)
+    assert len(registry.by_extractor(sorted(pairs))) == 3
+
+
+def test_collection_in_one_plan(spark):
+    block = '<div class="flex-row"><h2 class="title"><a data-bypass="true" data-m_impr_j_postingid="{0}" href="http://m/{0}">{1}</a></h2><div class="company">Co</div><div class="location">Here</div><time>2 days ago</time></div>'
+    pages_of = landed(
+        spark,
+        ("INDEED", "UK_ENGLISH", "q", 1, PAGE % CARDS),
+        ("INDEED", "FRANCE_FRENCH", "q", 1, "<html>blocked</html>"),
+        ("MONSTER", "UK_ENGLISH", "q", 1, block.format("m1", "First") + block.format("m2", "Two")),
+        ("MONSTER", "UK_ENGLISH", "q", 2, block.format("m1", "Again") + block.format("m3", "")),
+        ("GLASSDOOR", "GERMANY_GERMAN", "q", 1, "<li class=jl></li>"),
+    )
+    own = '<div id="JobDescription">A whole text</div><section class="summary-section"><dt> Industries</dt><dd>IT</dd></section>'
+    details = spark.createDataFrame([("http://m/m1", own), ("http://m/m2", '<div id="JobDescription">abc</div>')], "url string, html string")
+    sites = [(s, locale) for s, locales in registry.SITE_LOCALES.items() for locale in locales]
+    done = collect(pages_of, dt.datetime(2024, 1, 31), details, sites=sites)
+    rows = {r["key_id"]: r for r in done.postings.collect()}
+    assert sorted(rows) == ["INDEED_k1", "MONSTER_m1"]
+    assert (rows["MONSTER_m1"]["title"], rows["MONSTER_m1"]["description"], rows["MONSTER_m1"]["tags"]) == ("Again", "A whole text", ["IT"])
+    assert rows["MONSTER_m1"]["post_date"] == dt.date(2024, 1, 29) and rows["INDEED_k1"]["url"] == "https://www.indeed.co.uk/m/viewjob?jk=k1"
+    reasons = {(r["provider"], r["reason"]) for r in done.rejected.collect()}
+    assert reasons == {("INDEED", "no company"), ("MONSTER", "no title"), ("MONSTER", "description too short")}
+    assert {(r["provider"], r["locale"], r["reject_reason"]) for r in done.pages.collect()} == {
+        ("INDEED", "FRANCE_FRENCH", "no script"), ("GLASSDOOR", "GERMANY_GERMAN", "no extractor"),
+    }
+
+
+def test_a_key_that_two_providers_claim_stops_the_collection(spark):
+    def site(provider, prefix):
+        def extractor(df):
+            empty = [F.lit("x").alias(c) for c in ("title", "company", "location", "url")]
+            return df.select("locale", "query", "page_no", F.lit(provider).alias("provider"), F.lit(prefix).alias("key_id"), F.lit("today").alias("age_text"), *empty)
+
+        return extractor
+
+    # One provider's name and key make the other's prefixed key.
+    registry.register_extractor("A", "UK_ENGLISH", site("A", "B_1"), replace=True)
+    registry.register_extractor("A_B", "UK_ENGLISH", site("A_B", "1"), replace=True)
+    both = landed(spark, ("A", "UK_ENGLISH", "q", 1, ""), ("A_B", "UK_ENGLISH", "q", 1, ""))
+    with pytest.raises(ValueError, match="two providers"):
+        collect(both, dt.datetime(2024, 1, 31), sites=[("A", "UK_ENGLISH"), ("A_B", "UK_ENGLISH")])

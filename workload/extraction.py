@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from roleledger.functions.html import unescaped
 from roleledger.operators import extract, registry
+from roleledger.plans import collect as collection
+from roleledger.plans.collect import collect
 from workload.rows import day, tagged
 from workload.views import view, with_views
 
@@ -144,7 +146,7 @@ def glassdoor_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.glassdoor_fields(listings, F.lit("co.uk")).drop("page_no").withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def monster_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _monster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id").cast("string")
     block = F.concat(
         F.lit('<div class="flex-row"><div class="mux-company"><h2 class="title"><a data-bypass="true" data-m_impr_j_postingid="'),
@@ -153,16 +155,82 @@ def monster_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('</span></div><div class="location"> '), F.col("location"),
         F.lit(' </div><time datetime="x">'), (F.col("doc_id") % 25).cast("string"), F.lit(" days ago</time></div>"),
     )
-    pages = (
+    return (
         view(spark, sf_dir, "postings")
         .groupBy(F.floor(F.col("doc_id") / 25).alias("page_no"))
         .agg(F.sort_array(F.collect_list(F.struct("doc_id", block.alias("b")))).alias("bs"))
         .select("page_no", F.concat(F.lit('<html><div class="page">'), F.array_join("bs.b", "\n"), F.lit("</div></html>")).alias("html"))
     )
-    listings = extract.split_listings(pages, *extract.LISTING_BLOCK["MONSTER"])
+
+
+def monster_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listings = extract.split_listings(_monster_pages(spark, sf_dir), *extract.LISTING_BLOCK["MONSTER"])
     return extract.monster_fields(listings).drop("page_no").withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def _own_pages(spark: SparkSession, sf_dir: str, url: Column, element_id: str) -> DataFrame:
+    """A posting's own page as a site has it, with what Monster shows beside the description."""
+    html = F.concat(
+        F.lit('<html><body><div class="col-xs-12 cell"> <div>$'), F.col("doc_id").cast("string"), F.lit(" an hour</div></div>"),
+        F.lit(f'<div class="a" id="{element_id}"><div><p>'), _escaped(F.col("description")),
+        F.lit('</p></div></div><section class="summary-section"><dl><dt>Job type</dt><dd>Caf&eacute; '), F.col("location"),
+        F.lit("</dd></dl></section><div>footer</div></body></html>"),
+    )
+    return view(spark, sf_dir, "postings").where("doc_id % 9 > 0").select(url.alias("url"), html.alias("html"))
+
+
+def _collected(spark: SparkSession, sf_dir: str, pages: DataFrame, provider: str, url: Column) -> DataFrame:
+    named = pages.withColumns({"provider": F.lit(provider), "locale": F.lit("UK_ENGLISH"), "query": F.lit("engineer")})
+    done = collect(named, NOW, _own_pages(spark, sf_dir, url, extract.DETAIL_ELEMENT_ID[provider]), sites=[(provider, "UK_ENGLISH")])
+    good = done.postings.select(
+        "key_id", "title", "company", "location", "url", day("post_date"), "wage", F.array_join("tags", "|").alias("tags"),
+        F.md5("description").alias("description_md5"), F.lit("").alias("reason"),
+    )
+    none = F.lit(None).cast("string")
+    bad = done.rejected.select(
+        "key_id", "title", none.alias("company"), none.alias("location"), "url", none.alias("post_date"), none.alias("wage"), none.alias("tags"),
+        none.alias("description_md5"), "reason",
+    )
+    return good.unionByName(bad)
+
+
+def collected_indeed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result pages and single pages of a site to postings and rejects, by the registered extractor."""
+    url = F.concat(F.lit("https://www.indeed.co.uk/m/viewjob?jk="), F.col("doc_id").cast("string"))
+    return _collected(spark, sf_dir, json_pages(spark, sf_dir), "INDEED", url)
+
+
+def collected_glassdoor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("https://www.glassdoor.co.uk/partner/"), F.col("doc_id").cast("string"), F.lit(".htm?a=1&b=2"))
+    return _collected(spark, sf_dir, _glassdoor_pages(spark, sf_dir), "GLASSDOOR", url)
+
+
+def collected_monster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("https://jobs.example.com/"), F.col("doc_id").cast("string"))
+    return _collected(spark, sf_dir, _monster_pages(spark, sf_dir), "MONSTER", url)
+
+
+def first_page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of result pages and the link to the next one, from the first page of every search at every site."""
+    hits = F.when(F.col("n_results") > 0, F.col("n_results") * 11)
+    grouped = F.format_number(hits, 0)
+    searches = view(spark, sf_dir, "searches_base").select("search_id", "n_results")
+
+    def first(provider: str, html: Column) -> DataFrame:
+        return searches.select("search_id", F.lit(provider).alias("provider"), F.lit("UK_ENGLISH").alias("locale"), html.alias("html"))
+
+    indeed = F.concat(F.lit('<div><div class="x jobsearch-JobCountAndSortPane-jobCount"><span>'), grouped, F.lit("+ jobs</span></div></div>"))
+    glassdoor = F.concat(
+        F.lit('<p class="jobsCount">&nbsp;'), grouped, F.lit(' Jobs</p><ul><li>1</li><li class="next"><a href="/Job/s-'),
+        F.col("search_id").cast("string"), F.lit("_IP2.htm?a=1&amp;b\">Next</a></li></ul>"),
+    )
+    monster = F.concat(F.lit("<h2 class='figure'>("), grouped, F.lit(" Jobs Found)</h2>"))
+    nothing = F.lit("<p>Something else</p>")
+    pages = first("INDEED", F.coalesce(indeed, nothing)).unionByName(first("GLASSDOOR", F.coalesce(glassdoor, nothing)))
+    facts = collection.first_page_facts(pages.unionByName(first("MONSTER", F.coalesce(monster, nothing))))
+    return facts.drop("locale").withColumn("n_pages", F.col("n_pages").cast("bigint"))
+
+
 def _detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(
         F.lit('<html><body><div id="top">menu</div><div class="a" id="jobDescriptionText"><div><p>'),
@@ -299,7 +367,8 @@ QUERIES = {
         embedded_json_rows, embedded_json_rejects, json_fields, collected_postings, split_listings, html_fields,
         character_references, glassdoor_fields, monster_fields, attach_detail, attribute_tags, sidebar_tags, wage_text,
         remoteness_from_tags, remoteness_from_flag, relative_post_date, detail_url, prefix_key, fill_defaults,
-        result_page_count, register_extractor,
+        result_page_count, register_extractor, collected_indeed, collected_glassdoor, collected_monster,
+        first_page_facts,
     )
 }
 
@@ -310,6 +379,19 @@ _INNER = """regexp_replace(replace(replace(replace(replace(replace(replace(regex
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '^\\s+|\\s+$', '', 'g')"""
 _TITLE = _INNER.format("regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>', 1)")
 _HEADING = _INNER.format("regexp_extract(html, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1\\s*>', 1)")
+def _whole_site(provider: str, url: str, age: int, wage: str, tags: str, remote: str = "") -> str:
+    return f"""WITH site AS (SELECT doc_id, title, coalesce(company, '') AS company, location, concat({url}) AS url,
+          CAST(DATE '2024-01-31' - CAST(doc_id % {age} AS INT) AS VARCHAR) AS post_date, doc_id % 9 > 0 AS landed,
+          regexp_replace(description, '^\\s+|\\s+$', '', 'g') AS detail, {wage} AS wage, {tags} AS tags, {_TEXT} AS snippet FROM {{postings}}),
+        whole AS (SELECT *, CASE WHEN landed THEN detail ELSE {"snippet" if provider == "INDEED" else "''"} END AS d FROM site),
+        judged AS (SELECT *, CASE WHEN title = '' THEN 'no title' WHEN company = '' THEN 'no company'
+          WHEN length(d) < 5 THEN 'description too short' ELSE '' END AS reason FROM whole)
+        SELECT CASE WHEN reason LIKE 'no %' THEN '' ELSE '{provider}_' END || doc_id AS key_id, title,
+          CASE WHEN reason = '' THEN company END AS company, CASE WHEN reason = '' THEN location END AS location, url,
+          CASE WHEN reason = '' THEN post_date END AS post_date, CASE WHEN reason = '' THEN wage END AS wage,
+          CASE WHEN reason = '' THEN tags END AS tags, CASE WHEN reason = '' THEN md5(d) END AS description_md5, reason FROM judged"""
+
+
 _AGE = """try_cast(nullif(regexp_extract(phrase, '(\\d+)[ +]{{0,3}}(?:{0})', 1), '') AS INTEGER)"""
 
 ORACLES = {
@@ -343,6 +425,21 @@ ORACLES = {
             concat('https://jobs.example.com/', doc_id) AS url FROM {postings}""",
         "attach_detail": """SELECT key_id, md5(CASE WHEN doc_id % 9 = 0 THEN 'none yet'
             ELSE regexp_replace(description, '^\\s+|\\s+$', '', 'g') END) AS description_md5 FROM {postings}""",
+        "collected_indeed": _whole_site(
+            "INDEED", "'https://www.indeed.co.uk/m/viewjob?jk=', doc_id", 80, _JSON_WAGE, "concat('Job types: Full-time, Contract|Remote: Mode ', doc_id % 3)"
+        ),
+        "collected_glassdoor": _whole_site(
+            "GLASSDOOR", "'https://www.glassdoor.co.uk/partner/', doc_id, '.htm?a=1&b=2'", 40,
+            "CASE WHEN doc_id % 3 = 0 THEN concat('$', doc_id, ' & up') ELSE '' END", "''",
+        ),
+        "collected_monster": _whole_site(
+            "MONSTER", "'https://jobs.example.com/', doc_id", 25, "CASE WHEN doc_id % 9 > 0 THEN concat('$', doc_id, ' an hour') ELSE '' END",
+            "CASE WHEN doc_id % 9 > 0 THEN concat('Café ', location) ELSE '' END",
+        ),
+        "first_page_facts": """SELECT search_id, provider, CASE WHEN n_results > 0 THEN CAST(ceil(n_results * 11.0 / size) AS BIGINT) ELSE 0 END AS n_pages,
+            CASE WHEN provider = 'GLASSDOOR' AND n_results > 0 THEN concat('/Job/s-', search_id, '_IP2.htm?a=1&b') END AS next_link,
+            CASE WHEN n_results = 0 THEN 'no count' END AS count_reason
+            FROM {searches_base}, (VALUES ('INDEED', 20), ('GLASSDOOR', 30), ('MONSTER', 25)) v(provider, size)""",
         "attribute_tags": """SELECT p_partkey, concat('Job types: ', p_type, ', ', p_brand,
             CASE WHEN p_size % 2 = 0 THEN '' ELSE concat('|On site work: ', p_name) END) AS tags FROM {part}""",
         "sidebar_tags": """SELECT p_partkey, concat(p_type, '|', p_brand) AS tags,
