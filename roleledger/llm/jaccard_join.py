@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +45,17 @@ MIN_COUNT = 4
 PART = 4
 # Index entries of frequent tokens are split among so many tasks.
 SALTS = 16
-# Bits of the bitmap that goes with a set into the last comparison.
-BITS = 256
+# Bits of the bitmap that goes with a set into the last comparison, and of its fold, which is looked at first.
+BITS, FOLD = 2048, 256
 # Further rounds of comparing the members of an entry with one of them.
 ROUNDS = 1
 
 
+def row_key() -> Column:
+    """A hash of a row's doc_id and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingles(word_hashes(text), width))
 
@@ -124,39 +130,43 @@ def index_entries(tokens: np.ndarray, frequent: np.ndarray, threshold: Fraction)
 
 def _profile(width: int, share: float):
     """A row per document with its set, and rows with shingles that many documents of a chunk hold."""
-    names = ["doc_id", "n_shingles", "set_key", "buckets", "bits", "shingle", "docs"]
+    names = ["doc_id", "row_key", "n_shingles", "set_key", "buckets", "bits", "shingle", "docs"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk: list[np.ndarray] = []
-        size = 0
+        # One buffer a task, sorted where it lies.
+        chunk, size, held = np.empty(CHUNK, np.uint64), 0, 0
 
         def counted() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(chunk), return_counts=True)
-            many = counts >= max(MIN_COUNT, share * len(chunk))
+            own = chunk[:size]
+            own.sort()
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            counts = np.diff(starts, append=size)
+            many = counts >= max(MIN_COUNT, share * held)
             none = pa.nulls(int(many.sum()), pa.int64())
+            values = own[starts[many]].view(np.int64)
             return pa.RecordBatch.from_arrays(
-                [none, none, none, *[pa.nulls(len(none), pa.binary())] * 2, pa.array(values[many].view(np.int64)), pa.array(counts[many])], names
+                [none, none, none, none, *[pa.nulls(len(none), pa.binary())] * 2, pa.array(values), pa.array(counts[many])], names
             )
 
         for batch in batches:
             sizes, keys, buckets, bits = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                tokens = shingle_set(text, width)
+            for text in batch.column(2):
+                tokens = shingle_set(text.as_py(), width)
                 sizes.append(len(tokens))
                 keys.append(set_key(tokens) if len(tokens) else None)
                 buckets.append(histogram(tokens))
                 bits.append(bitmap(tokens))
-                chunk.append(tokens)
-                size += len(tokens)
-                if size >= CHUNK:
+                if size + len(tokens) > CHUNK and size:
                     yield counted()
-                    chunk, size = [], 0
+                    size, held = 0, 0
+                # A set beyond the buffer is counted by its first part, which costs time only.
+                part = tokens[: CHUNK - size]
+                chunk[size : size + len(part)] = part
+                size, held = size + len(part), held + 1
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, keys)), *(pa.array(x, pa.binary()) for x in (buckets, bits)), none, none],
-                names,
-            )
-        if chunk:
+            numbers, raw = (pa.array(x, pa.int64()) for x in (sizes, keys)), (pa.array(x, pa.binary()) for x in (buckets, bits))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *raw, none, none], names)
+        if size:
             yield counted()
 
     return rows
@@ -241,7 +251,8 @@ def _compared(pairs: DataFrame, table: DataFrame, column: str, alike: Callable[[
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [alike(*both) for both in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            # Views of the batch: the values are not copied.
+            kept = [alike(one.as_buffer(), two.as_buffer()) for one, two in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     first = table.select(F.col("set_key").alias("a"), F.col(column).alias("one"))
@@ -251,14 +262,18 @@ def _compared(pairs: DataFrame, table: DataFrame, column: str, alike: Callable[[
 
 
 def _alike_bits(threshold: Fraction) -> Column:
-    """Whether bitmaps leave two sets (structs ``x``, ``y``; ``bits`` and ``y_bits``) similar: a bit that only one has is a token that only it has."""
+    """Whether bitmaps leave two sets (structs ``x``, ``y``; ``bits``, ``fold`` and those of ``y``) similar: a bit that only one has is a token that only it has."""
 
-    def most(n: Column, own: str, other: str) -> Column:
-        return n - sum(F.bit_count(F.col(own)[i].bitwiseAND(F.bitwise_not(F.col(other)[i]))) for i in range(BITS // 64))
+    def enough(words: int, one: str, two: str) -> Column:
+        def most(n: Column, own: str, other: str) -> Column:
+            return n - sum(F.bit_count(F.col(own)[i].bitwiseAND(F.bitwise_not(F.col(other)[i]))) for i in range(words))
 
-    least = F.least(most(F.col("x.n"), "bits", "y_bits"), most(F.col("y.n"), "y_bits", "bits")).cast("long")
-    total = (F.col("x.n") + F.col("y.n")).cast("long")
-    return least * (threshold.numerator + threshold.denominator) >= total * threshold.numerator
+        least = F.least(most(F.col("x.n"), one, two), most(F.col("y.n"), two, one)).cast("long")
+        total = (F.col("x.n") + F.col("y.n")).cast("long")
+        return least * (threshold.numerator + threshold.denominator) >= total * threshold.numerator
+
+    # The fold decides most pairs at an eighth of the work.
+    return enough(FOLD // 64, "fold", "y_fold") & enough(BITS // 64, "bits", "y_bits")
 
 
 def _first_shared(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -268,11 +283,15 @@ def _first_shared(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """
     before = F.lag("entry").over(W.partitionBy("x.set_key").orderBy(F.desc("x.room"), "entry"))
     rows = staged(placed.select("entry", "x", before.alias("before")), "before")
-    several = F.count("before") < F.count("*"), F.min("before") != F.max("before")
-    kept = rows.groupBy("entry").agg((several[0] | several[1]).alias("kept")).where("kept").select("entry")
+    kept = (F.count("before") < F.count("*")) | (F.min("before") != F.max("before"))
+    kept = rows.groupBy("entry").agg(kept.alias("kept")).where("kept").select("entry")
     # Bytes as numbers, so that the bits of two sets can be compared inside the join.
     words = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(BITS // 64)]
-    bitmaps = bitmaps.select("set_key", F.array(*words).alias("bits")).dropDuplicates(["set_key"])
+    bitmaps = bitmaps.dropDuplicates(["set_key"]).select("set_key", F.array(*words).alias("bits"))
+    # Word i of the fold holds the bits of all words that are i modulo its length.
+    several = FOLD // 64
+    fold = [reduce(Column.bitwiseOR, [F.col("bits")[i] for i in range(k, BITS // 64, several)]) for k in range(several)]
+    bitmaps = bitmaps.select("set_key", "bits", F.array(*fold).alias("fold"))
     rows = rows.join(kept, "entry", "left_semi").join(bitmaps, F.col("x.set_key") == F.col("set_key")).drop("set_key")
     return staged(rows, "first_shared")
 
@@ -280,20 +299,25 @@ def _first_shared(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
 def jaccard_join(
     docs: DataFrame, width: int = 5, threshold: Fraction = THRESHOLD, share: float = FREQUENT_SHARE
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` for every row of ``docs`` (``doc_id``, ``text``; others are ignored).
+    """``doc_id``, ``n_shingles``, ``component_id``, ``row_key``, ``part`` for every row of ``docs`` (``doc_id``, ``text``; others are ignored).
 
     A set holds the distinct shingles of ``width`` words, or the whole sequence if there are fewer words.
     Documents whose sets have a Jaccard similarity of at least ``threshold`` are linked, and the component
     is the smallest doc_id reachable. Null and empty texts have no shingles and are linked with nothing.
     A repeated doc_id gives a row each time; a null doc_id takes part, and its component is null only if
-    no row reached has an id. Equal sets cost one set. Results don't depend on ``share``.
+    no row reached has an id. Equal sets cost one set. Results don't depend on ``share``. ``row_key`` is that of
+    ``row_key()``, equal for rows of equal id and text only; ``part`` names the component, whether or not its rows
+    have ids, and is null for rows without shingles.
     """
     docs = docs.select("doc_id", "text")
     profile = staged(
-        docs.mapInArrow(_profile(width, share), "doc_id long, n_shingles long, set_key long, buckets binary, bits binary, shingle long, docs long"),
+        docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(
+            _profile(width, share),
+            "doc_id long, row_key long, n_shingles long, set_key long, buckets binary, bits binary, shingle long, docs long",
+        ),
         "profile",
     )
-    rows = profile.where("n_shingles is not null").select("doc_id", "n_shingles", "set_key")
+    rows = profile.where("n_shingles is not null").select("doc_id", "row_key", "n_shingles", "set_key")
     sets_of = rows.where("set_key is not null").groupBy("set_key")
     classes = staged(sets_of.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
     repeated = classes.where("copies > 1 and first_id is not null").select("set_key", "first_id")
@@ -376,7 +400,7 @@ def jaccard_join(
             across = placed.join(others, "entry").where("x.part != y.part")
         else:
             placed = _first_shared(placed, profile.where("set_key is not null").select("set_key", "bits"))
-            others = placed.select("entry", F.col("x").alias("y"), F.col("before").alias("y_before"), F.col("bits").alias("y_bits"))
+            others = placed.select("entry", F.col("x").alias("y"), F.col("before").alias("y_before"), F.col("bits").alias("y_bits"), F.col("fold").alias("y_fold"))
             across = placed.join(others, "entry").where("x.part < y.part")
             across = across.where("before is null or y_before is null or before != y_before").where(_alike_bits(threshold))
         pairs = staged(pairs_of(across.where(_possible("x", "y", threshold))).join(tried, ["a", "b"], "left_anti"), "across")
@@ -389,6 +413,27 @@ def jaccard_join(
     named = classes.join(found, classes.set_key == found.node, "left")
     named = named.select("set_key", "first_id", F.coalesce("component", "set_key").alias("part"))
     smallest = named.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    named = staged(named.join(smallest, "part").select("set_key", "component_id"), "named")
+    named = staged(named.join(smallest, "part").select("set_key", "part", "component_id"), "named")
     alone = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(named, "set_key", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+    return rows.join(named, "set_key", "left").select("doc_id", "n_shingles", alone.alias("component_id"), "row_key", "part")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of ``groups``, which is ``jaccard_join`` of them; all columns stay.
+
+    The row with the smallest doc_id stays, one without an id only if no other has one; of rows with the same
+    id, the one with the smaller hash of its text; of equal rows, one. Rows without words all stay.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")
+    linked = staged(groups.where("part is not null").select("part", order.alias("own")), "linked")
+    firsts = linked.groupBy("part").agg(F.min("own").alias("first"))
+    repeated = linked.groupBy("own").agg(F.count("*").alias("rows")).where("rows > 1")
+    later = staged(linked.join(firsts, "part").where("own != first").select("own.row_key").distinct(), "later")
+    repeated = staged(repeated.select("own.row_key").distinct(), "repeated")
+    keyed = docs.select(F.struct("*").alias("d"), row_key().alias("row_key"))
+    words = F.coalesce(F.col("d.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = members(keyed.where(words), later, "row_key", "left_anti")
+    once = members(kept, repeated, "row_key", "left_anti")
+    again = members(kept, repeated, "row_key").groupBy("row_key").agg(F.first("d").alias("d"))
+    whole = keyed.where(~words).select("d").unionByName(once.select("d")).unionByName(again.select("d"))
+    return whole.select(*[F.col("d").getField(c).alias(c) for c in docs.columns])

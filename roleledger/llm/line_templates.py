@@ -12,7 +12,7 @@ same neighbours.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from roleledger.llm.copies import copy_classes
 from roleledger.llm.tables import bounded, members, staged
@@ -63,27 +63,27 @@ def templates(lines: DataFrame, min_documents: int, similarity: float = SIMILARI
     places = staged(places.withColumn("key", F.xxhash64("leaf", "place", "word")).select("id", "leaf", "n", "words", "place", "key"), "places")
     common = places.groupBy("key").agg(F.sum("n").alias("lines")).where(F.col("lines") >= min_documents)
     held = places.join(bounded(staged(common, "common")), "key")
-    need = F.ceil(F.lit(similarity) * (F.first("words") - LEAD)).cast("int")
-    fields = F.collect_list(F.struct("place", "key", F.struct(-F.col("lines"), "place").alias("rank")))
-    held = held.groupBy("id").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), need.alias("need"), F.sort_array(fields).alias("f"))
-    held = held.where(F.size("f") >= F.col("need"))
-    ranked = F.sort_array(F.transform("f", lambda x: F.struct(x["rank"], x["key"])))
-    held = staged(held.select("id", "leaf", "n", "need", F.col("f.key").alias("keys"), F.transform(ranked, lambda x: x["key"]).alias("ranked")), "fields")
-
-    def hashed(keys: Column) -> Column:
-        return F.xxhash64("leaf", F.sort_array(keys))
-
-    size = F.size("keys")
-    chain = F.transform(F.sequence("need", size), lambda n: hashed(F.slice("ranked", F.lit(1), n)))
-    runs = []
+    need = F.ceil(F.lit(similarity) * (F.col("words") - LEAD)).cast("int").alias("need")
+    # A set of constants is hashed by sums over its members, which run along the line, so that a line of n words
+    # costs in proportion to n. Two sums of forty bits each; neither can overflow.
+    bits = [F.col("key").bitwiseAND(F.lit((1 << 40) - 1)), F.shiftrightunsigned("key", 24)]
+    held = held.select("id", "leaf", "n", need, "place", "lines", *(b.alias(f"s{i}") for i, b in enumerate(bits)))
+    whole, along = W.partitionBy("id"), W.partitionBy("id").orderBy("place")
+    ranked = W.partitionBy("id").orderBy(F.desc("lines"), "place")
+    sums = {"size": F.count("*").over(whole), "at": F.row_number().over(along), "rank": F.row_number().over(ranked)}
+    for i in range(len(bits)):
+        sums[f"all{i}"] = F.sum(f"s{i}").over(whole)
+        sums[f"best{i}"] = F.sum(f"s{i}").over(ranked.rowsBetween(W.unboundedPreceding, 0))
+        for width in range(1, FIELD + 1):
+            sums[f"run{width}{i}"] = F.sum(f"s{i}").over(along.rowsBetween(0, width - 1))
+    held = held.select("*", *(f.alias(k) for k, f in sums.items())).where("size >= need")
+    found = [F.when(F.col("rank") >= F.col("need"), F.xxhash64("leaf", "best0", "best1"))]
     for width in range(1, FIELD + 1):
-        cut = F.transform(
-            F.sequence(F.lit(0), size - width),
-            lambda i, width=width: hashed(F.concat(F.slice("keys", F.lit(1), i), F.slice("keys", i + width + 1, F.greatest(size - i - width, F.lit(0))))),
-        )
-        runs.append(F.when(size - width >= F.col("need"), cut).otherwise(F.array().cast("array<bigint>")))
-    # Staged, as the filter that comes with explode would repeat all this.
-    long = held.select("id", "n", F.array_distinct(F.concat(chain, *runs)).alias("templates"))
+        rest = [F.col(f"all{i}") - F.col(f"run{width}{i}") for i in range(len(bits))]
+        fits = (F.col("at") + width - 1 <= F.col("size")) & (F.col("size") - width >= F.col("need"))
+        found.append(F.when(fits, F.xxhash64("leaf", *rest)))
+    own = F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array(*found)))))
+    long = held.groupBy("id").agg(F.first("n").alias("n"), own.alias("templates"))
     all_lines = staged(short.unionByName(long), "line-templates").select("id", "n", F.explode("templates").alias("template"))
     often = all_lines.groupBy("template").agg(F.sum("n").alias("lines")).where(F.col("lines") >= min_documents).select("template")
     return all_lines.join(bounded(staged(often, "often")), "template", "left_semi").select(F.col("id").alias("line"), "template")
@@ -117,10 +117,13 @@ def drop_recurring_lines(docs: DataFrame, **settings: float) -> DataFrame:
     row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     keyed = docs.select("doc_id", "text").where("text is not null").select(row.alias("row"), "text")
     found = recurring_lines(keyed, **settings)
-    dropped = staged(found.groupBy("row").agg(F.collect_set("number").alias("_numbers")), "dropped")
-    out = docs.withColumn("_row", row).join(bounded(dropped.withColumnRenamed("row", "_row")), "_row", "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("_numbers", i))
-    text = F.when(F.col("_numbers").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("_numbers"), F.lit(0)))
-    return out.withColumns({"_dropped": F.greatest(count, F.lit(0)), "text": text}).select(*docs.columns, "_dropped")
+    dropped = staged(found.groupBy("row").agg(F.collect_set("number").alias("numbers")), "dropped")
+    # The row as one value, so that no name of its columns can meet one of these.
+    out = docs.select(F.struct("*").alias("d"), row.alias("row")).join(bounded(dropped, more=F.size("numbers")), "row", "left")
+    out = out.withColumn("lines", F.when(F.col("numbers").isNotNull(), F.split("d.text", "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "numbers"), lambda i: F.get("lines", i))
+    gone = F.col("d.text").isNotNull() & F.col("numbers").isNotNull()
+    text = F.when(gone, F.array_join(kept, "\n")).otherwise(F.col("d.text"))
+    count = F.when(gone, F.size("numbers")).otherwise(0)
+    own = [text.alias(c) if c.lower() == "text" else F.col("d").getField(c).alias(c) for c in docs.columns if c.lower() != "_dropped"]
+    return out.select(*own, count.alias("_dropped"))

@@ -12,17 +12,21 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from roleledger.llm.copies import copy_classes
+from roleledger.llm.tables import bounded, staged
+
 CAPACITY = 2048
 SHARD_ROWS = 16_384
 # Documents of one source that a bin may hold. One would leave bins half empty where a source owns a third of the rows.
 SOURCE_LIMIT = 4
 
 
-def best_fit(items: list[tuple[int, list[int]]], capacity: int) -> list[int]:
+def best_fit(items: Iterable[tuple[int, list[int]]], capacity: int) -> list[int]:
     """The bin of each item (length, choices); the items come longest first.
 
     An item takes up the first of its choices, which are bitmaps, that shares no bit with the bin.
@@ -47,17 +51,18 @@ def best_fit(items: list[tuple[int, list[int]]], capacity: int) -> list[int]:
     return where
 
 
-def choices(sources: list[str | None], clusters: list[int | None], limit: int) -> list[list[int]]:
-    """The bitmaps each item may take up: a slot of its source, with the bit of its cluster if others share that."""
+def choices(sources: list[str | None], clusters: list[int | None], limit: int) -> Iterator[list[int]]:
+    """The bitmaps each item may take up: a slot of its source, with the bit of its cluster if others share that.
+
+    Made one item at a time, since a bitmap may be as long as there are sources and clusters.
+    """
     number = {source: i for i, source in enumerate(dict.fromkeys(sources))}
     counts = Counter(c for c in clusters if c is not None)
     shared = {c: i for i, c in enumerate(c for c, n in counts.items() if n > 1)}
     base = len(number) * limit
-    out = []
     for source, cluster in zip(sources, clusters, strict=True):
         own = 1 << (base + shared[cluster]) if cluster in shared else 0
-        out.append([own | 1 << (number[source] * limit + slot) for slot in range(limit)])
-    return out
+        yield [own | 1 << (number[source] * limit + slot) for slot in range(limit)]
 
 
 def word_count(text: Column) -> Column:
@@ -90,7 +95,9 @@ def pack(
         "doc_id", "source", F.coalesce(length, F.lit(0)).cast("int").alias("total"), cluster.cast("long").alias("cluster")
     )
     shards = max(1, math.ceil(docs.count() / shard_rows))
-    shard = F.pmod(F.xxhash64("doc_id", "cluster", "total"), F.lit(shards)).cast("int")
+    # Equal rows are dealt out as well.
+    place = F.monotonically_increasing_id()
+    shard = F.pmod(F.xxhash64("doc_id", "cluster", "total", place), F.lit(shards)).cast("int")
     pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total") / capacity) - 1, F.lit(0)).cast("int"))
     cut = measured.withColumn("shard", shard).withColumn("piece", F.explode(pieces))
     start = F.col("piece") * capacity
@@ -105,9 +112,21 @@ def pack(
         some = sum(n > 0 for n in lengths)
         bits = choices(table["source"].to_pylist()[:some], table["cluster"].to_pylist()[:some], source_limit)
         first = table["shard"][0].as_py() << 32
-        bins = [first + b for b in best_fit(list(zip(lengths[:some], bits, strict=True)), capacity)]
+        bins = [first + b for b in best_fit(zip(lengths[:some], bits, strict=True), capacity)]
         bins += [None] * (len(lengths) - some)
         return table.select(["doc_id", "piece", "start", "length"]).append_column("bin", pa.array(bins, pa.int64()))
 
     schema = "doc_id long, piece int, start int, length int, bin long"
     return cut.groupBy("shard").applyInArrow(packed, schema)
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """``pack`` of ``docs`` (``doc_id``, ``source``, ``text``; others are ignored) by their words, where copies and
+    near copies are a cluster: the classes of ``copy_classes``. Texts without words conflict with nothing."""
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    docs = docs.select("doc_id", "source", "text", row.alias("row"))
+    classes = copy_classes(docs.where("text is not null").select("row", "text").dropDuplicates(["row"]))
+    # Texts stay behind: what is packed is their lengths.
+    measured = docs.select("doc_id", "source", "row", word_count(F.col("text")).alias("words"))
+    clustered = measured.join(bounded(staged(classes, "classes")), "row", "left")
+    return pack(staged(clustered, "measured"), F.col("words"), F.col("class"))

@@ -274,14 +274,15 @@ def drop_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Null texts and rows without passages stay as they are; a text that was one passage becomes empty.
     """
-    spans = found.groupBy("doc_id").agg(F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends"))
-    spans = bounded(staged(spans, "spans"))
+    spans = found.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    spans = bounded(staged(spans, "spans"), more=2 * F.size("starts"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         rows = zip(text, starts, ends, strict=True)
         return pd.Series([t if s is None or t is None else without(t, list(zip(s, e, strict=True))) for t, s, e in rows], dtype=object)
 
-    joined = docs.join(spans, "doc_id", "left")
-    text = F.when(F.col("_starts").isNull(), F.col("text")).otherwise(cut("text", "_starts", "_ends"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    # The row as one value, so that no name of its columns can meet one of these.
+    joined = docs.select(F.struct("*").alias("d"), "doc_id").join(spans, "doc_id", "left")
+    text = F.when(F.col("starts").isNull(), F.col("d.text")).otherwise(cut("d.text", "starts", "ends"))
+    return joined.select(*[text.alias(c) if c.lower() == "text" else F.col("d").getField(c).alias(c) for c in docs.columns])

@@ -39,7 +39,7 @@ class Settings:
 
 class _Seen(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 50_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

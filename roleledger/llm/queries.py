@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roleledger.llm import byte_bpe, jaccard_join, line_templates, nn_descent, packing, passages, quality
 from roleledger.llm import sharding, toxicity, turns, url_filter, version_sketch, whitening
-from roleledger.llm.tables import bounded, documents, staged
+from roleledger.llm.tables import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -17,7 +17,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(documents(spark, sf_dir))
+    return jaccard_join.jaccard_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +48,7 @@ def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, text = documents(spark, sf_dir), F.col("text")
-    # Rows without an id have a component, but no way to it.
-    groups = jaccard_join.jaccard_join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    clustered = docs.join(bounded(staged(groups, "groups")), "doc_id", "left")
-    return packing.pack(clustered, packing.word_count(text), F.coalesce("component_id", packing.text_cluster(text)))
+    return packing.pack_documents(documents(spark, sf_dir))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from roleledger.scratch import staged
 
@@ -16,9 +16,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def bounded(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """A staged table marked for broadcast when it is small enough by count; else as it is, to be joined by shuffle."""
-    return F.broadcast(df) if df.count() <= limit else df
+def bounded(df: DataFrame, limit: int = MAX_BROADCAST_ROWS, more: Column | None = None) -> DataFrame:
+    """A staged table marked for broadcast when it is small enough by count; else as it is, to be joined by shuffle.
+
+    ``more`` is how many further numbers a row holds, for tables with lists.
+    """
+    count = df.agg(F.count("*") + F.coalesce(F.sum(F.lit(0) if more is None else more), F.lit(0))).first()[0]
+    return F.broadcast(df) if count <= limit else df
 
 
 def members(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:

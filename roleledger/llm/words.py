@@ -12,7 +12,7 @@ SHIFT = np.uint64(29)
 class _WordHashes(dict):
     """64-bit hash of each word seen lately; emptied when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 50_000) -> None:
         super().__init__()
         self.limit = limit
 

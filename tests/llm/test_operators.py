@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roleledger.llm import byte_bpe, jaccard_join, line_templates, nn_descent, packing, passages, quality, queries, toxicity, url_filter, version_sketch
 from roleledger.llm.components import components
+from roleledger.llm.copies import copy_classes
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, least string, lang string"
@@ -91,10 +93,40 @@ def order(rows):
 def test_jaccard_join(spark, docs, share, monkeypatch):
     # With a small count, many shingles are frequent and pairs of them are indexed.
     monkeypatch.setattr(jaccard_join, "MIN_COUNT", 2)
-    rows = [tuple(r) for r in jaccard_join.jaccard_join(docs, share=share).collect()]
+    rows = [tuple(r)[:3] for r in jaccard_join.jaccard_join(docs, share=share).collect()]
     assert order(rows) == order(brute_groups(ROWS))
 
 
+def test_small_buffers_change_nothing(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK", 300)
+    rows = [tuple(r)[:3] for r in jaccard_join.jaccard_join(docs).collect()]
+    assert order(rows) == order(brute_groups(ROWS))
+
+
+def test_one_of_each(spark, docs, none):
+    a, b, c = BASE[:3]
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, BASE[3]), (None, BASE[3]), (8, None), (8, None), (None, ""), (9, " \t")]
+    table = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], DOCS).withColumnRenamed("least", "row_key").withColumnRenamed("lang", "d")
+    kept = jaccard_join.one_of_each(table, jaccard_join.jaccard_join(table))
+    assert kept.columns == table.columns
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    expected = [(1, a), (5, b), (7, c), (None, BASE[3]), (8, None), (8, None), (None, ""), (9, " \t")]
+    assert sorted(found, key=key) == sorted(expected, key=key)
+    assert jaccard_join.one_of_each(none, jaccard_join.jaccard_join(none)).count() == 0
+
+
+def test_clusters_split_no_links(spark):
+    """The classes that packing keeps apart hold every link of the join, on documents of the given tables."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    parts = jaccard_join.jaccard_join(table).where("part is not null").select("row_key", "part")
+    classes = copy_classes(table.select(jaccard_join.row_key().alias("row"), "text").dropDuplicates(["row"]))
+    by_part = defaultdict(set)
+    for r in parts.join(classes, parts.row_key == classes.row).collect():
+        by_part[r["part"]].add(r["class"])
+    assert all(len(found) == 1 for found in by_part.values()) and len(by_part) > 400
+
+
 def test_index_entries_meet():
     pick = np.random.default_rng(3)
     for size in (1, 2, 3, 4, 5, 9, 17, 60, 200):
@@ -326,6 +358,21 @@ def test_line_templates(spark, none):
     assert line_templates.drop_recurring_lines(none).count() == 0
 
 
+def test_long_lines_and_clashing_names(spark):
+    """A line costs in proportion to its words, and columns of any name come through."""
+    took = {}
+    for count in (1000, 16_000):
+        line = prose(1, count).translate(str.maketrans("0123456789", "abcdefghij"))
+        rows = [(i, f"{line}\nown {prose(50 + i, 6)}", "n", "r", "d") for i in range(12)]
+        table = spark.createDataFrame(rows, "doc_id long, text string, _numbers string, _row string, row string")
+        begun = time.monotonic()
+        found = line_templates.drop_recurring_lines(table, min_documents=3).collect()
+        took[count] = time.monotonic() - begun
+        # One class of near copies: nothing recurs.
+        assert all((r["_numbers"], r["_row"], r["row"]) == ("n", "r", "d") and r["_dropped"] == 0 for r in found) and len(found) == 12
+    assert took[16_000] < 5 * took[1000]
+
+
 LETTERS = str.maketrans("0123456789", "abcdefghij")
 
 
