@@ -1,8 +1,10 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns the
-columns of ``documents``; the last returns the pieces and their bins. Rows with a null doc_id pass the
-stages that decide by doc_id unchanged. Texts that lose all their lines or passages stay as empty rows.
+columns of ``documents``; the last returns the pieces and their bins. A repeated doc_id is as many documents as it
+has texts, and a row without one is a document by its text, but for the passages, which are cut by doc_id: rows
+without one stay whole there. Texts that lose all their lines or passages stay as empty rows, and so do rows
+without a text. Very long texts are one row throughout. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roleledger.llm import jaccard_join, line_templates, packing, passages, quality
 from roleledger.llm.labelled import fold, sample
-from roleledger.llm.tables import documents, members, staged
+from roleledger.llm.tables import documents, staged
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +27,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines of recurring templates."""
-    return _measured(line_templates.drop_recurring_lines(docs).drop("_dropped"), docs)
+    return _measured(line_templates.drop_recurring_lines(docs), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of every group of near duplicates."""
-    groups = jaccard_join.jaccard_join(docs)
-    later = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return members(docs, staged(later, "later"), "doc_id", "left_anti")
+    """One document of every group of near duplicates: the one with the smallest doc_id, of equal rows one."""
+    return jaccard_join.one_of_each(docs, jaccard_join.jaccard_join(docs))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
