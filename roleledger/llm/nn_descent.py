@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from roleledger.llm.tables import staged
 
@@ -22,7 +22,9 @@ TABLES = 16
 SIGN_BITS = 16
 BLOCK = 1024
 KEPT_OF_BLOCK = 16
-ROUNDS = 2
+# Rounds go on until fewer than this share of the lists change, or so many are done.
+SETTLED = 0.05
+ROUNDS = 5
 # Neighbours that a node offers each member of its neighbourhood in a round.
 OFFERED = 4
 SEARCH_ROUNDS = 4
@@ -156,15 +158,20 @@ def _offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_graph(codes: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    """``id``, ``near``, ``sims``, ``worst`` for every vector of the staged table ``codes``."""
+    """``id``, ``near``, ``sims``, ``worst`` for every vector of the staged table ``codes``; ``rounds`` at most."""
     graph = staged(_nearest(_start(codes), neighbours), "graph")
+    nodes, changed = graph.count(), 1.0
     for _ in range(rounds):
+        if changed < SETTLED:
+            break
         member = codes.join(graph.select("id", "worst"), "id").select(F.struct("id", "scale", "code", "worst").alias("m"), F.col("id").alias("member"))
         around = _both_ways(graph, neighbours).join(member, "member")
         # At most twice ``neighbours`` members.
         offered = around.groupBy("node").agg(F.collect_list("m").alias("m")).mapInArrow(_offers, "id long, near long, sim float")
         known = graph.select("id", F.explode(F.arrays_zip("near", "sims")).alias("k")).select("id", "k.near", F.col("k.sims").alias("sim"))
-        graph = staged(_nearest(known.unionByName(offered), neighbours), "graph")
+        before, graph = graph, staged(_nearest(known.unionByName(offered), neighbours), "graph")
+        lists = graph.select("id", F.sort_array("near").alias("now")).join(before.select("id", F.sort_array("near").alias("then")), "id")
+        changed = lists.where("now != then").count() / max(nodes, 1)
     return graph
 
 
@@ -220,15 +227,28 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     part; of rows that repeat an id one counts. An empty table gives no rows.
     """
     rows = staged(usable(vectors.select("vec_id", "embedding")), "vectors")
-    codes = staged(rows.mapInArrow(_codes, CODE), "codes")
+    nodes = staged(rows.groupBy("embedding").agg(F.min("vec_id").alias("node")), "nodes")
+    of = staged(rows.join(nodes, "embedding").select("vec_id", "node"), "of")
+    # No query needs more than these ids of a node: one of them may be its own.
+    place = F.row_number().over(W.partitionBy("node").orderBy("vec_id"))
+    ids = staged(of.withColumn("place", place).where(F.col("place") <= top + 1).select("node", "vec_id"), "node-ids")
+    codes = staged(nodes.select(F.col("node").alias("vec_id"), "embedding").mapInArrow(_codes, CODE), "codes")
     graph = build_graph(codes)
-    beams = search(codes, graph, rows.where(is_query).select(F.col("vec_id").alias("id")))
-    found = beams.select(F.col("id").alias("query_id"), F.explode(F.slice(F.col("beam.near"), 1, 3 * top)).alias("vec_id"))
-    found = found.join(rows, "vec_id")
-    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = rows.where(is_query).select("vec_id").join(of, "vec_id").select(F.col("vec_id").alias("query_id"), "node")
+    asked = staged(asked, "asked")
+    wanted = staged(asked.select("node").distinct(), "wanted")
+    beams = search(codes, graph, wanted.select(F.col("node").alias("id")))
+    found = beams.select(F.col("id").alias("node"), F.explode(F.slice(F.col("beam.near"), 1, 3 * top)).alias("near"))
+    found = found.unionByName(wanted.select("node", F.col("node").alias("near"))).join(nodes.withColumnRenamed("node", "near"), "near")
+    own = nodes.select("node", F.col("embedding").alias("query"))
     product = F.zip_with("query", "embedding", lambda a, b: a.cast("double") * b.cast("double"))
     score = F.aggregate(product, F.lit(0.0), lambda total, x: total + x)
-    scored = found.join(queries, "query_id").select("query_id", "vec_id", score.alias("score"))
-    best = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("b"))
-    ranked = best.select("query_id", F.posexplode(F.slice("b", 1, top)).alias("rank", "b"))
+    scored = found.join(own, "node").select("node", "near", score.alias("score"))
+    each = scored.join(ids.withColumnRenamed("node", "near"), "near").select("node", F.struct((-F.col("score")).alias("s"), "vec_id").alias("b"))
+    # At most ``top + 1`` ids of each of some three times ``top`` nodes.
+    best = each.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("b")), 1, top + 1).alias("best"))
+    lists = asked.join(staged(best, "best"), "node").select(
+        "query_id", F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, top).alias("best")
+    )
+    ranked = lists.select("query_id", F.posexplode("best").alias("rank", "b"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))

@@ -284,6 +284,29 @@ def test_nearest(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+def test_nearest_among_copies(spark):
+    """A third of all vectors equal, others in pairs: ties go to the smallest ids, in whatever block they lie."""
+    pick = np.random.default_rng(5)
+    base = pick.normal(size=(3000, 16)).astype(np.float32)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    vectors = np.concatenate([np.repeat(base[:1], 1500, 0), base[1:1500], base[1:1500]])
+    ids = pick.permutation(len(vectors)) * 3
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<float>")
+    found = defaultdict(list)
+    for r in nn_descent.nearest(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    wide = vectors.astype(np.float64)
+    hits = {True: [0, 0], False: [0, 0]}
+    for at in np.flatnonzero(ids % 20 == 0):
+        sims = np.round(wide @ wide[at], 12)
+        near = [int(i) for _, i in sorted(zip(-sims, ids)) if i != ids[at]][:20]
+        assert len(found[int(ids[at])]) == 20 and len(set(found[int(ids[at])])) == 20
+        copied = hits[bool(at < 1500)]
+        copied[0] += len(set(near) & set(found[int(ids[at])]))
+        copied[1] += 20
+    assert hits[True][0] == hits[True][1] and hits[False][0] >= 0.9 * hits[False][1]
+
+
 def test_nearest_on_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [2.0, 0.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (7, [2.0, 0.0]), (8, [1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
