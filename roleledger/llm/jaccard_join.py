@@ -264,16 +264,23 @@ def _compared(pairs: DataFrame, table: DataFrame, column: str, alike: Callable[[
 def _alike_bits(threshold: Fraction) -> Column:
     """Whether bitmaps leave two sets (structs ``x``, ``y``; ``bits``, ``fold`` and those of ``y``) similar: a bit that only one has is a token that only it has."""
 
-    def enough(words: int, one: str, two: str) -> Column:
-        def most(n: Column, own: str, other: str) -> Column:
-            return n - sum(F.bit_count(F.col(own)[i].bitwiseAND(F.bitwise_not(F.col(other)[i]))) for i in range(words))
+    def only(one: Column, other: Column) -> Column:
+        return F.bit_count(one.bitwiseAND(F.bitwise_not(other)))
 
-        least = F.least(most(F.col("x.n"), one, two), most(F.col("y.n"), two, one)).cast("long")
+    def folded(one: str, two: str) -> Column:
+        return sum((only(F.col(one)[i], F.col(two)[i]) for i in range(FOLD // 64)), F.lit(0))
+
+    def whole(one: str, two: str) -> Column:
+        # Over arrays, not spelled out: the code of the join would grow too large to be compiled.
+        return F.aggregate(F.zip_with(one, two, only), F.lit(0), lambda total, n: total + n)
+
+    def enough(of: Callable[[str, str], Column], one: str, two: str) -> Column:
+        least = F.least(F.col("x.n") - of(one, two), F.col("y.n") - of(two, one)).cast("long")
         total = (F.col("x.n") + F.col("y.n")).cast("long")
         return least * (threshold.numerator + threshold.denominator) >= total * threshold.numerator
 
-    # The fold decides most pairs at an eighth of the work.
-    return enough(FOLD // 64, "fold", "y_fold") & enough(BITS // 64, "bits", "y_bits")
+    # The fold decides most pairs, and only what it leaves is looked at whole.
+    return enough(folded, "fold", "y_fold") & enough(whole, "bits", "y_bits")
 
 
 def _first_shared(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:

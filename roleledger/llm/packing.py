@@ -125,7 +125,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     near copies are a cluster: the classes of ``copy_classes``. Texts without words conflict with nothing."""
     row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     docs = docs.select("doc_id", "source", "text", row.alias("row"))
-    classes = copy_classes(docs.where("text is not null").select("row", "text").dropDuplicates(["row"]))
+    classes = copy_classes(docs.where("text is not null").select("row", "text")).dropDuplicates(["row"])
     # Texts stay behind: what is packed is their lengths.
     measured = docs.select("doc_id", "source", "row", word_count(F.col("text")).alias("words"))
     clustered = measured.join(bounded(staged(classes, "classes")), "row", "left")
