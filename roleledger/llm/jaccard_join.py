@@ -46,7 +46,7 @@ PART = 4
 # Index entries of frequent tokens are split among so many tasks.
 SALTS = 16
 # Bits of the bitmap that goes with a set into the last comparison, and of its fold, which is looked at first.
-BITS, FOLD = 2048, 256
+BITS, FOLD = 512, 256
 # Further rounds of comparing the members of an entry with one of them.
 ROUNDS = 1
 
@@ -262,25 +262,18 @@ def _compared(pairs: DataFrame, table: DataFrame, column: str, alike: Callable[[
 
 
 def _alike_bits(threshold: Fraction) -> Column:
-    """Whether bitmaps leave two sets (structs ``x``, ``y``; ``bits``, ``fold`` and those of ``y``) similar: a bit that only one has is a token that only it has."""
+    """Whether bitmaps leave two sets (structs ``x``, ``y``; the columns ``bits``, ``fold`` and those of ``y``) similar: a bit that only one has is a token that only it has."""
 
-    def only(one: Column, other: Column) -> Column:
-        return F.bit_count(one.bitwiseAND(F.bitwise_not(other)))
+    def enough(name: str, words: int) -> Column:
+        def most(n: Column, own: str, other: str) -> Column:
+            return n - sum(F.bit_count(F.col(f"{own}{name}{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}{name}{i}")))) for i in range(words))
 
-    def folded(one: str, two: str) -> Column:
-        return sum((only(F.col(one)[i], F.col(two)[i]) for i in range(FOLD // 64)), F.lit(0))
-
-    def whole(one: str, two: str) -> Column:
-        # Over arrays, not spelled out: the code of the join would grow too large to be compiled.
-        return F.aggregate(F.zip_with(one, two, only), F.lit(0), lambda total, n: total + n)
-
-    def enough(of: Callable[[str, str], Column], one: str, two: str) -> Column:
-        least = F.least(F.col("x.n") - of(one, two), F.col("y.n") - of(two, one)).cast("long")
+        least = F.least(most(F.col("x.n"), "", "y_"), most(F.col("y.n"), "y_", "")).cast("long")
         total = (F.col("x.n") + F.col("y.n")).cast("long")
         return least * (threshold.numerator + threshold.denominator) >= total * threshold.numerator
 
-    # The fold decides most pairs, and only what it leaves is looked at whole.
-    return enough(folded, "fold", "y_fold") & enough(whole, "bits", "y_bits")
+    # The fold decides most pairs. Columns of numbers, so that the code of the join stays small enough to be compiled.
+    return enough("fold", FOLD // 64) & enough("bits", BITS // 64)
 
 
 def _first_shared(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -294,11 +287,11 @@ def _first_shared(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
     kept = rows.groupBy("entry").agg(kept.alias("kept")).where("kept").select("entry")
     # Bytes as numbers, so that the bits of two sets can be compared inside the join.
     words = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(BITS // 64)]
-    bitmaps = bitmaps.dropDuplicates(["set_key"]).select("set_key", F.array(*words).alias("bits"))
+    bitmaps = bitmaps.dropDuplicates(["set_key"]).select("set_key", *(w.alias(f"bits{i}") for i, w in enumerate(words)))
     # Word i of the fold holds the bits of all words that are i modulo its length.
     several = FOLD // 64
-    fold = [reduce(Column.bitwiseOR, [F.col("bits")[i] for i in range(k, BITS // 64, several)]) for k in range(several)]
-    bitmaps = bitmaps.select("set_key", "bits", F.array(*fold).alias("fold"))
+    fold = [reduce(Column.bitwiseOR, [F.col(f"bits{i}") for i in range(k, BITS // 64, several)]) for k in range(several)]
+    bitmaps = bitmaps.select("*", *(f.alias(f"fold{i}") for i, f in enumerate(fold)))
     rows = rows.join(kept, "entry", "left_semi").join(bitmaps, F.col("x.set_key") == F.col("set_key")).drop("set_key")
     return staged(rows, "first_shared")
 
@@ -407,7 +400,8 @@ def jaccard_join(
             across = placed.join(others, "entry").where("x.part != y.part")
         else:
             placed = _first_shared(placed, profile.where("set_key is not null").select("set_key", "bits"))
-            others = placed.select("entry", F.col("x").alias("y"), F.col("before").alias("y_before"), F.col("bits").alias("y_bits"), F.col("fold").alias("y_fold"))
+            bitmap_names = [f"bits{i}" for i in range(BITS // 64)] + [f"fold{i}" for i in range(FOLD // 64)]
+            others = placed.select("entry", F.col("x").alias("y"), F.col("before").alias("y_before"), *(F.col(c).alias(f"y_{c}") for c in bitmap_names))
             across = placed.join(others, "entry").where("x.part < y.part")
             across = across.where("before is null or y_before is null or before != y_before").where(_alike_bits(threshold))
         pairs = staged(pairs_of(across.where(_possible("x", "y", threshold))).join(tried, ["a", "b"], "left_anti"), "across")
