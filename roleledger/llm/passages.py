@@ -6,6 +6,10 @@ which is linear in the number of occurrences however common the seed is. The mat
 one earlier document are chained: a Fenwick tree over the earlier one's positions gives each match the
 best chain that ends before it on both sides, less a cost for the words skipped. Chains are aligned word
 by word, extended at both ends, and kept if they are long and alike enough.
+
+The seeds of one passage may first occur in different documents. So the repeated seeds that no passage
+covers yet go through further rounds, in which runs of three, then eight neighbouring seeds take the place
+of single ones: such a run first occurs where more of the passage stands.
 """
 
 from __future__ import annotations
@@ -21,8 +25,10 @@ from pyspark.sql import DataFrame, functions as F
 from roleledger.llm.tables import bounded, members, staged
 from roleledger.llm.words import mixed, shingles, word_hashes
 
-K = 6
-WINDOW = 12
+K = 4
+WINDOW = 8
+# Neighbouring seeds that make a key, round by round.
+WIDTHS = (1, 3, 8)
 MIN_WORDS = 50
 IDENTITY = 0.8
 # Cost of a skipped word on either side, against K for a seed.
@@ -68,20 +74,45 @@ class Fenwick:
         return found
 
 
-def chains(at: np.ndarray, other: np.ndarray, k: int = K) -> list[np.ndarray]:
-    """Collinear chains of two matches or more, best first, as index arrays; ``at`` is ascending and unique."""
+def runs(
+    at: np.ndarray, values: np.ndarray, fresh: np.ndarray, width: int, window: int = WINDOW
+) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the runs of ``width`` seeds that hold a ``fresh`` one; no gap in them is wider than ``window``."""
+    count = len(at) - width + 1
+    if count < 1:
+        return at[:0], values[:0]
+    keys, whole, some = mixed(values[:count]), np.ones(count, bool), fresh[:count].copy()
+    for i in range(1, width):
+        gap = at[i : i + count] - at[i - 1 : i - 1 + count]
+        whole &= gap <= window
+        some |= fresh[i : i + count]
+        keys = mixed(keys ^ values[i : i + count] ^ gap.astype(np.uint64))
+    whole &= some
+    return at[:count][whole], keys[whole]
+
+
+def uncovered(at: np.ndarray, starts: list[int], ends: list[int], k: int = K) -> np.ndarray:
+    """Which of these seeds lie in none of these passages; ``starts`` and ``ends`` belong together."""
+    order = np.argsort(starts, kind="stable")
+    begin, reach = np.asarray(starts)[order], np.maximum.accumulate(np.asarray(ends)[order])
+    last = np.searchsorted(begin, at, "right") - 1
+    return (last < 0) | (reach[np.maximum(last, 0)] < at + k)
+
+
+def chains(at: np.ndarray, other: np.ndarray, k: int = K, least: int = 2) -> list[np.ndarray]:
+    """Collinear chains of ``least`` matches or more, best first, as index arrays; ``at`` is ascending and unique."""
     if len(at) > 1 and (np.diff(other) == np.diff(at)).all():
         found = [np.arange(len(at))]
     else:
-        found = _chained(at, other, k)
+        found = _chained(at, other, k, least)
     out = []
     for chain in found:
         far = (np.diff(at[chain]) > MAX_GAP) | (np.diff(other[chain]) > MAX_GAP)
-        out += [part for part in np.split(chain, np.flatnonzero(far) + 1) if len(part) > 1]
+        out += [part for part in np.split(chain, np.flatnonzero(far) + 1) if len(part) >= least]
     return out
 
 
-def _chained(at: np.ndarray, other: np.ndarray, k: int) -> list[np.ndarray]:
+def _chained(at: np.ndarray, other: np.ndarray, k: int, least: int) -> list[np.ndarray]:
     places = np.unique(other)
     rank = np.searchsorted(places, other).tolist()
     tree, score, before = Fenwick(len(places)), [0.0] * len(at), [-1] * len(at)
@@ -98,7 +129,7 @@ def _chained(at: np.ndarray, other: np.ndarray, k: int) -> list[np.ndarray]:
             used[j] = True
             chain.append(j)
             j = before[j]
-        if len(chain) > 1:
+        if len(chain) >= least:
             out.append(np.array(chain[::-1]))
     return out
 
@@ -145,29 +176,74 @@ def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, other: np.ndarray, k: in
     return first_a - left, end_a + right, first_b - left, end_b + right, matched
 
 
-def _anchors(docs: DataFrame, k: int, window: int) -> DataFrame:
-    """``doc_id``, ``source_id``, ``matches``: for a document and an earlier place, all seeds they share."""
+def _seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
+    """``doc_id``, ``places``, ``seeds`` of every text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [seeds(text, k, window) for text in batch.column(1).to_pylist()]
-            places = pa.array([at for at, _ in found], pa.list_(pa.int64())).cast(pa.list_(pa.int32()))
-            values = pa.array([value.view(np.int64) for _, value in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), places, values], ["doc_id", "places", "seeds"])
+            yield _listed(batch.column(0), [seeds(text, k, window) for text in batch.column(1).to_pylist()])
+
+    return docs.mapInArrow(rows, _SEEDS)
+
+
+_SEEDS = "doc_id long, places array<int>, seeds array<long>"
+
+
+def _listed(ids: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    places = pa.array([at for at, _ in found], pa.list_(pa.int64())).cast(pa.list_(pa.int32()))
+    values = pa.array([value.view(np.int64) for _, value in found], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([ids, places, values], ["doc_id", "places", "seeds"])
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column without nulls, as views of one array."""
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
 
-    found = staged(docs.mapInArrow(rows, "doc_id long, places array<int>, seeds array<long>"), "seeds")
+def _repeated(found: DataFrame) -> DataFrame:
+    """``doc_id``, ``at``, ``seed``, ``first`` for every occurrence of a seed that occurs more than once."""
     each = found.select("doc_id", F.explode(F.arrays_zip("places", "seeds")).alias("s"))
     each = each.select("doc_id", F.col("s.places").alias("at"), F.col("s.seeds").alias("seed"))
     first = each.groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
     first = staged(first.where("n > 1").select("seed", "first"), "first")
-    shared = each.join(first, "seed").where("doc_id != first.doc_id or at != first.at")
+    return each.join(first, "seed").select("doc_id", "at", "seed", "first")
+
+
+def _anchors(repeated: DataFrame) -> DataFrame:
+    """``doc_id``, ``source_id``, ``matches``: for a document and an earlier place, all seeds they share."""
+    shared = repeated.where("doc_id != first.doc_id or at != first.at")
     # As many matches as the document has seeds at most.
     return shared.groupBy("doc_id", F.col("first.doc_id").alias("source_id")).agg(
         F.sort_array(F.collect_list(F.struct("at", F.col("first.at").alias("other")))).alias("matches")
     )
 
 
-def _chains(anchors: DataFrame, k: int) -> DataFrame:
+def _open(repeated: DataFrame, found: DataFrame, width: int, k: int, window: int) -> DataFrame:
+    """The table of ``_seeds`` for the next round: runs of ``width`` repeated seeds not all covered by passages ``found``."""
+    lists = F.sort_array(F.collect_list(F.struct("at", "seed")))
+    left = repeated.groupBy("doc_id").agg(lists.alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("p"))
+    spans = bounded(staged(spans.select("doc_id", F.col("p.start").alias("starts"), F.col("p.end").alias("ends")), "spans"), more=2 * F.size("starts"))
+    none = F.array().cast("array<long>")
+    left = left.join(spans, "doc_id", "left").select("doc_id", "at", "seed", *[F.coalesce(c, none).alias(c) for c in ("starts", "ends")])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for at, values, starts, ends in zip(*(_lists(batch.column(i)) for i in range(1, 5)), strict=True):
+                at = at.astype(np.int64)
+                # A repeated doc_id may have two texts, and a place in each.
+                one = np.r_[True, np.diff(at) > 0]
+                at, values = at[one], values[one].view(np.uint64)
+                fresh = uncovered(at, starts, ends, k) if len(starts) else np.ones(len(at), bool)
+                out.append(runs(at, values, fresh, width, window))
+            yield _listed(batch.column(0), out)
+
+    return left.mapInArrow(rows, _SEEDS).where("size(places) > 0")
+
+
+def _chains(anchors: DataFrame, k: int, least: int) -> DataFrame:
     """A row per chain: ``doc_id``, ``source_id``, and the positions on both sides."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +255,7 @@ def _chains(anchors: DataFrame, k: int) -> DataFrame:
             for row, (doc_id, source_id) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 part = slice(offsets[row], offsets[row + 1])
                 at, other = ats[part], others[part]
-                for chain in chains(at, other, k):
+                for chain in chains(at, other, k, least):
                     ids.append(doc_id)
                     sources.append(source_id)
                     left.append(at[chain])
@@ -189,7 +265,8 @@ def _chains(anchors: DataFrame, k: int) -> DataFrame:
                 ["doc_id", "source_id", "at", "other"],
             )
 
-    return anchors.where("size(matches) > 1").mapInArrow(rows, "doc_id long, source_id long, at array<long>, other array<long>")
+    many = anchors.where(F.size("matches") >= least)
+    return many.mapInArrow(rows, "doc_id long, source_id long, at array<long>, other array<long>")
 
 
 def _window(text: str, known: list, at: np.ndarray, k: int) -> tuple[np.ndarray, int]:
@@ -207,14 +284,30 @@ def passages(
 
     A row has ``doc_id``, ``start``, ``end`` (words from 0, end excluded), ``source_id``, ``source_start``,
     ``source_end`` and ``matched`` (equal words). Earlier means a smaller doc_id, or the same document
-    further ahead; of all places that share a seed the first is the source, so that n copies give n - 1 rows. Passages have at
-    least ``min_words`` words and this share of equal words; those without ``k + window - 1`` equal words
-    in a row may be missed. Words are compared with A-Z lower-cased. Rows with a null doc_id or text take
+    further ahead; of all places that share a seed the first is the source, so that n copies give n - 1 rows;
+    where the seeds of a passage first occur in several documents, the first place of a run of three or eight
+    seeds is. Passages have at least ``min_words`` words and this share of equal words; one whose changed
+    words leave no two seeds whole is missed. Words are compared with A-Z lower-cased. Rows with a null doc_id or text take
     no part; a doc_id that repeats is one document if the text is the same, and otherwise has the passages
     of each text.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    found = staged(_chains(_anchors(docs, k, window), k), "chains")
+    listed, found = staged(_seeds(docs, k, window), "seeds"), None
+    for width, wider in zip(WIDTHS, (*WIDTHS[1:], None), strict=True):
+        repeated = staged(_repeated(listed), "repeated")
+        # A run of seeds is a chain by itself.
+        chained = staged(_chains(_anchors(repeated), k, 2 if width == 1 else 1), "chains")
+        more = _aligned(docs, chained, min_words, identity, k)
+        found = staged(more if found is None else found.unionByName(more).distinct(), "passages")
+        if width == 1:
+            single = repeated
+        if wider is not None:
+            listed = staged(_open(single, found, wider, k, window), "runs")
+    return found
+
+
+def _aligned(docs: DataFrame, found: DataFrame, min_words: int, identity: float, k: int) -> DataFrame:
+    """The passages around the chains ``found``, as ``passages`` returns them."""
     ids = found.select("doc_id").unionByName(found.select(F.col("source_id").alias("doc_id"))).distinct()
     texts = members(docs, staged(ids, "ids"), "doc_id")
 
