@@ -77,7 +77,10 @@ class Fenwick:
 def runs(
     at: np.ndarray, values: np.ndarray, fresh: np.ndarray, width: int, window: int = WINDOW
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the runs of ``width`` seeds that hold a ``fresh`` one; no gap in them is wider than ``window``."""
+    """Positions and hashes of the runs of ``width`` seeds that hold a ``fresh`` one; no gap in them is wider than ``window``.
+
+    Of equal runs the first stands for all, so that a text that says one thing over and over has few.
+    """
     count = len(at) - width + 1
     if count < 1:
         return at[:0], values[:0]
@@ -88,7 +91,9 @@ def runs(
         some |= fresh[i : i + count]
         keys = mixed(keys ^ values[i : i + count] ^ gap.astype(np.uint64))
     whole &= some
-    return at[:count][whole], keys[whole]
+    at, keys = at[:count][whole], keys[whole]
+    first = np.sort(np.unique(keys, return_index=True)[1])
+    return at[first], keys[first]
 
 
 def uncovered(at: np.ndarray, starts: list[int], ends: list[int], k: int = K) -> np.ndarray:
