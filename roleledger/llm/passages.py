@@ -181,11 +181,18 @@ def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, other: np.ndarray, k: in
     return first_a - left, end_a + right, first_b - left, end_b + right, matched
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, since a row holds a whole text and its lists."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
     """``doc_id``, ``places``, ``seeds`` of every text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             yield _listed(batch.column(0), [seeds(text, k, window) for text in batch.column(1).to_pylist()])
 
     return docs.mapInArrow(rows, _SEEDS)
@@ -234,7 +241,7 @@ def _open(repeated: DataFrame, found: DataFrame, width: int, k: int, window: int
     left = left.join(spans, "doc_id", "left").select("doc_id", "at", "seed", *[F.coalesce(c, none).alias(c) for c in ("starts", "ends")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             out = []
             for at, values, starts, ends in zip(*(_lists(batch.column(i)) for i in range(1, 5)), strict=True):
                 at = at.astype(np.int64)
@@ -252,10 +259,11 @@ def _chains(anchors: DataFrame, k: int, least: int) -> DataFrame:
     """A row per chain: ``doc_id``, ``source_id``, and the positions on both sides."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             ids, sources, left, right = [], [], [], []
             lists = batch.column(2)
-            offsets, flat = lists.offsets.to_numpy(), lists.values
+            offsets, flat = lists.offsets.to_numpy(), lists.flatten()
+            offsets = offsets - offsets[0]
             ats, others = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             for row, (doc_id, source_id) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 part = slice(offsets[row], offsets[row + 1])
@@ -318,7 +326,7 @@ def _aligned(docs: DataFrame, found: DataFrame, min_words: int, identity: float,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list = []
-        for batch in batches:
+        for batch in _pieces(batches):
             ats, begins, parts = batch.column(2).to_pylist(), [], []
             for at, text in zip(ats, batch.column(4).to_pylist(), strict=True):
                 part, begin = _window(text, known, at, k)
@@ -332,7 +340,7 @@ def _aligned(docs: DataFrame, found: DataFrame, min_words: int, identity: float,
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list = []
         names = ["doc_id", "start", "end", "source_id", "source_start", "source_end", "matched"]
-        for batch in batches:
+        for batch in _pieces(batches):
             out: list[tuple] = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 doc_id, source_id, at, other, begin, part, text = row
