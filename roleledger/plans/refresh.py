@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from roleledger.operators.filters import filter_postings, with_reject_reason
+from roleledger.operators.filters import filter_postings, split_by_reason, with_reject_reason
 from roleledger.operators.keys import first_wins, match_by_key, match_known_duplicate, unmatched_incoming, without_key
 from roleledger.operators.merge import (
     append_new,
@@ -20,6 +20,7 @@ from roleledger.operators.merge import (
 )
 from roleledger.operators.normalize import dated
 from roleledger.operators.similarity import best_match
+from roleledger.operators.summary import RunCounts
 from roleledger.schema import DEFAULT_MAX_LISTING_DAYS, MATCH, SIMILARITY_THRESHOLD
 from roleledger.scratch import staged
 from roleledger.sources.snapshots import write_snapshot
@@ -73,10 +74,13 @@ class Refreshed:
 
 
 def find_duplicates(
-    existing: DataFrame, incoming: DataFrame, duplicates: DataFrame, rules: Rules
+    existing: DataFrame, incoming: DataFrame, duplicates: DataFrame, rules: Rules, keys: DataFrame | None = None
 ) -> DataFrame:
-    """All matches of incoming postings: by key, by the duplicates list, and by text for the rest."""
-    keys = staged(existing.select("key_id"), "keys")
+    """All matches of incoming postings: by key, by the duplicates list, and by text for the rest.
+
+    ``keys`` are those of ``existing``, if they are written already.
+    """
+    keys = staged(existing.select("key_id"), "keys") if keys is None else keys
     by_key = match_by_key(incoming, keys)
     known = match_known_duplicate(incoming, keys, duplicates, rules.all_types)
     rest = unmatched_incoming(incoming, keys, duplicates, rules.all_types)
@@ -93,6 +97,7 @@ def refresh_master(
     rules: Rules,
     snapshots: str | None = None,
     version: str = "1",
+    counts: RunCounts | None = None,
 ) -> Refreshed:
     """The tables after a run. ``incoming`` has the columns of a posting and ``ordinal``, a different
     whole number for every row, in the order of collection.
@@ -101,7 +106,8 @@ def refresh_master(
     through the filter, since they may carry news about their original. The master is filtered by the
     same rules, and matching sees what is left of it. Incoming rows without a key are returned as ``rejected``.
     With ``snapshots``, a folder, what was collected is kept there under the day of the rules before any rule
-    is applied, which is what ``recover`` starts from.
+    is applied, which is what ``recover`` starts from. ``counts`` takes those of the rows collected, one a key,
+    rejected, read and matched, while the run writes them; the tables returned are lazy, and their writer may count them.
     """
     rejected = without_key(incoming)
     incoming = first_wins(incoming, ["ordinal"])
@@ -113,7 +119,9 @@ def refresh_master(
     blocked = block_list if master is None else block_list.unionByName(entries)
     # A day's rows are read many times below and cost a shuffle, so they are written once. The master
     # is not: it is stored as Parquet already, and each reader below takes few of its columns.
-    incoming = staged(dated(rules.kept(incoming, blocked)), "incoming")
+    judged = rules.judged(incoming, blocked)
+    judged = judged if counts is None else counts.judged(judged)
+    incoming = staged(dated(split_by_reason(judged, "reject_reason")[0]), "incoming")
     if master is None:
         nothing = incoming.sparkSession.createDataFrame([], MATCH)
         fresh = incoming.drop("ordinal")
@@ -121,7 +129,11 @@ def refresh_master(
         return Refreshed(fresh, blocked, duplicates, nothing, incoming, rejected, changes)
 
     existing = dated(rules.kept(master, block_list))
-    matches = staged(find_duplicates(existing, incoming, duplicates, rules), "matches")
+    known = rules.judged(master, block_list)
+    known = known if counts is None else counts.all_rows(known, "read")
+    keys = staged(split_by_reason(known, "reject_reason")[0].select("key_id"), "keys")
+    found = find_duplicates(existing, incoming, duplicates, rules, keys)
+    matches = staged(found if counts is None else counts.matched(found), "matches")
     updated = update_if_newer(existing, matches, incoming, rules.preserve, rules.rekey)
     changes = {
         "master": _master_changes(master, block_list, existing, matches, incoming, rules),

@@ -78,6 +78,9 @@ LISTING_JSON = T.StructType(
     ]
 )
 
+# Why a rule rejects a posting, in the order of the rules.
+REJECT_REASONS = ["status", "company", "age", "block list", "known duplicate", "remoteness"]
+
 # ---- Fixed values -------------------------------------------------------------------------
 # Header of the master CSV, in file order.
 MASTER_CSV_COLUMNS = [
@@ -97,6 +100,7 @@ REMOTENESS = ["UNKNOWN", "IN_PERSON", "TEMPORARILY_REMOTE", "PARTIALLY_REMOTE",
 PROVIDERS = ["INDEED", "GLASSDOOR", "MONSTER"]
 
 KEY_ID, EXISTING_TFIDF, NEW_TFIDF = "KEY_ID", "EXISTING_TFIDF", "NEW_TFIDF"
+DUPLICATE_TYPES = [KEY_ID, EXISTING_TFIDF, NEW_TFIDF]
 
 DOMAIN_BY_LOCALE = {
     "CANADA_ENGLISH": "ca",

@@ -11,6 +11,7 @@ from roleledger.operators import normalize
 from roleledger.operators.filters import with_invalid_reason
 from roleledger.operators.keys import last_wins
 from roleledger.schema import MASTER_CSV_COLUMNS, POSTING_COLUMNS
+from roleledger.scratch import staged
 
 _NAME = {"date": "post_date", "blurb": "description", "link": "url", "id": "key_id"}
 _TEXT = ["key_id", "title", "company", "location", "description", "short_description", "url", "provider", "query", "wage"]
@@ -32,11 +33,14 @@ def rejected_master_rows(spark: SparkSession, path: str, tag_separator: str = "\
     return with_invalid_reason(_lines(spark, path, tag_separator)).where("invalid_reason is not null").drop("_file", "_line")
 
 
-def _layouts(spark: SparkSession, path: str) -> list[list[str]]:
-    """The files with a header, by header: a table of file names, as listing the folder gives."""
-    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
-    headers = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+def _layouts(spark: SparkSession, path: str) -> list[str | list[str]]:
+    """What to read together, by header: the whole path if there is one header, else lists of file names."""
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0")
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), "value")
+    headers = staged(lines.groupBy("file").agg(F.min_by("value", "place").alias("header")), "headers")
+    number = headers.agg(F.count_distinct("header")).first()[0]
+    if number < 2:
+        return [path] * number
     by_header = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
     # Spark gives names of files as addresses, and wants them as paths.
     return [[unquote(file) for file in row["files"]] for row in by_header.orderBy("header").collect()]

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roleledger.operators.filters import drop_old
 from roleledger.plans.refresh import Rules, empty_block_list, empty_duplicates, refresh_master
+from roleledger.scratch import cleared
 from roleledger.sources.state import RunState
 
 
@@ -26,14 +27,16 @@ def refresh_batch(state: RunState, rules: Rules) -> Callable[[DataFrame, int], N
         before = state.latest_run(before=batch_id)
         block_list = state.read("block_list", before)
         duplicates = state.read("duplicates", before)
-        done = refresh_master(
-            state.read("master", before),
-            batch,
-            empty_block_list(batch) if block_list is None else block_list,
-            empty_duplicates(batch) if duplicates is None else duplicates,
-            rules,
-        )
-        state.commit(batch_id, done.changes)
+        # A stream runs for months: what a batch stages goes when its changes are committed.
+        with cleared(state.spark):
+            done = refresh_master(
+                state.read("master", before),
+                batch,
+                empty_block_list(batch) if block_list is None else block_list,
+                empty_duplicates(batch) if duplicates is None else duplicates,
+                rules,
+            )
+            state.commit(batch_id, done.changes)
 
     return run
 

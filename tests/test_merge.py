@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roleledger.operators import keys, merge
+from roleledger.operators.summary import RunCounts
 from roleledger.plans.recover import recover
 from roleledger.plans.refresh import Rules, empty_block_list, empty_duplicates, refresh_master
 from roleledger.schema import POSTING
@@ -236,3 +237,51 @@ def test_wide_rows_move_for_winners_only(spark):
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         first = [line for line in text.splitlines() if "max(" in line]
         assert first and all("description" not in line for line in first if "max(struct(" in line)
+
+
+def counted(spark, tmp_path, master, new):
+    counts, any_rows = RunCounts(), incoming(spark, new)
+    old = None if master is None else table(spark, master)
+    nothing = empty_block_list(any_rows), empty_duplicates(any_rows)
+    done = refresh_master(old, any_rows, *nothing, Rules(as_of=DAY), counts=counts)
+    counts.all_rows(done.master, "written").write.parquet(str(tmp_path / "master"))
+    return done, {(r["stage"], r["provider"], r["reason"]): r["n_rows"] for r in counts.summary(spark).collect()}
+
+
+def test_a_run_counts_the_rows_it_writes(spark, tmp_path):
+    master = [posting("a"), posting("b", status="DELETE"), posting("c")]
+    new = [
+        posting("a", provider="INDEED"), posting("d", provider="INDEED"), posting("d", provider="MONSTER"),
+        posting("b", provider="MONSTER"), posting("e", "2023-01-01", provider="OTHER"), posting("f", provider=None),
+        posting(None, provider="INDEED"),
+    ]
+    done, found = counted(spark, tmp_path, master, new)
+    # One row a key; "b" is on the block list since its removal, "e" is too old.
+    assert found == {
+        ("collected", "INDEED", ""): 2, ("collected", "MONSTER", ""): 1, ("collected", "OTHER", ""): 1, ("collected", "", ""): 1,
+        ("rejected", "", "block list"): 1, ("rejected", "", "age"): 1,
+        ("read", "", ""): 3, ("duplicate", "", "KEY_ID"): 1, ("written", "", ""): done.master.count(),
+        **{("duplicate", "", t): n for t, n in by_type(done).items() if t != "KEY_ID"},
+    }
+
+
+def by_type(done):
+    return {r["dup_type"]: r["count"] for r in done.matches.groupBy("dup_type").count().collect()}
+
+
+@pytest.mark.parametrize("providers", [300, 6000])
+def test_few_and_many_providers_are_counted(spark, tmp_path, providers):
+    rows = spark.range(20_000).selectExpr(f"concat('p', id % {providers}) AS provider", "IF(id % 4 = 0, 'age', NULL) AS reject_reason")
+    counts = RunCounts()
+    counts.judged(rows).where("reject_reason is null").write.parquet(str(tmp_path / "kept"))
+    found = {(r["stage"], r["provider"] or r["reason"]): r["n_rows"] for r in counts.summary(spark).collect()}
+    expected = {("collected", f"p{i}"): len(range(i, 20_000, providers)) for i in range(providers)}
+    assert found == expected | {("rejected", "age"): 5000}
+
+
+@pytest.mark.parametrize("master, new", [([], []), ([posting("a")], []), ([], [posting("a", provider="INDEED")]), (None, [])])
+def test_counts_of_empty_tables_are_left_out(spark, tmp_path, master, new):
+    _, found = counted(spark, tmp_path, master, new)
+    rows = len(master or []) + len(new)
+    expected = {("read", "", ""): len(master or []), ("written", "", ""): rows, ("collected", "INDEED", ""): len(new)}
+    assert found == {k: n for k, n in expected.items() if n}

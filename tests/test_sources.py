@@ -3,11 +3,13 @@
 import datetime as dt
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from roleledger.plans.refresh import Rules
+from roleledger.scratch import cleared, shared_dir, staged
 from roleledger.sources import keyed_json, master_csv, snapshots
 from roleledger.sources.state import RunState
 from roleledger.streaming import refresh as streaming
@@ -255,3 +257,36 @@ def test_stream_keeps_the_first_of_a_key(spark, tmp_path):
         writer.trigger(availableNow=True).start().awaitTermination()
         seen.append(sorted((r["key_id"], r["wage"]) for r in spark.read.schema(shape).parquet(out).collect()))
     assert seen == [[], [], [("a", "first"), ("a", "next day"), ("b", "only")]]
+
+
+def test_what_a_run_stages_goes_at_its_end(spark):
+    with cleared(spark) as folder:
+        inside = staged(spark.range(3), "numbers")
+        assert inside.count() == 3 and Path(folder).exists()
+    assert not Path(folder).exists()
+    with pytest.raises(ValueError), cleared(spark) as folder:
+        staged(spark.range(3), "numbers")
+        raise ValueError
+    assert not Path(folder).exists()
+    assert staged(spark.range(3), "numbers").count() == 3
+
+
+def test_a_batch_leaves_nothing_staged(spark, tmp_path):
+    shared = Path(shared_dir(spark)) / "roleledger"
+    before = set(shared.iterdir()) if shared.exists() else set()
+    state = RunState(spark, str(tmp_path / "state"))
+    for number in range(2):
+        streaming.refresh_batch(state, Rules(as_of=DAY))(incoming(spark, [posting("a"), posting("b")]), number)
+    assert set(shared.iterdir()) == before
+    assert sorted(r["key_id"] for r in state.read("master", 1).collect()) == ["a", "b"]
+
+
+def test_files_of_one_header_are_read_by_their_folder(spark, tmp_path):
+    line = "\nNEW,One,Co,Here,2024-01-05,a long text,,http://x,{},INDEED,q,UK_ENGLISH,,UNKNOWN\n"
+    for key in ("k1", "k2"):
+        (tmp_path / f"{key}.csv").write_text(HEADER + line.format(key))
+    assert master_csv._layouts(spark, str(tmp_path)) == [str(tmp_path)]
+    assert sorted(r["key_id"] for r in master_csv.read_master(spark, str(tmp_path)).collect()) == ["k1", "k2"]
+    (tmp_path / "k3.csv").write_text("title,id\nT,k3\n")
+    assert len(master_csv._layouts(spark, str(tmp_path))) == 2
+    assert sorted(r["key_id"] for r in master_csv.read_master(spark, str(tmp_path)).collect()) == ["k1", "k2", "k3"]

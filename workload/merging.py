@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roleledger.operators import filters, keys, merge, normalize, summary
+from roleledger.operators import keys, merge, normalize, summary
 from roleledger.plans import recover as recovery, refresh
 from roleledger.scratch import fresh_path
 from roleledger.sources.state import RunState
@@ -90,9 +90,9 @@ def recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(rebuilt)
 
 
-def _run(spark: SparkSession, sf_dir: str) -> refresh.Refreshed:
+def _run(spark: SparkSession, sf_dir: str, counts: summary.RunCounts | None = None) -> refresh.Refreshed:
     return refresh.refresh_master(
-        *_views(spark, sf_dir, "postings_master", "postings_incoming", "block_list", "duplicates"), RULES
+        *_views(spark, sf_dir, "postings_master", "postings_incoming", "block_list", "duplicates"), RULES, counts=counts
     )
 
 
@@ -101,10 +101,11 @@ def refresh_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    incoming, master, block_list = _views(spark, sf_dir, "postings_incoming", "postings_master", "block_list")
-    done = _run(spark, sf_dir)
-    judged = filters.with_reject_reason(incoming, as_of=AS_OF, max_days=60, companies=COMPANIES, block_list=done.block_list)
-    return summary.run_summary(incoming, judged, master, done.master, done.block_list, done.matches)
+    counts = summary.RunCounts()
+    done = _run(spark, sf_dir, counts)
+    for table, name in ((done.master, "written"), (done.block_list, "blocked")):
+        counts.all_rows(table, name).write.parquet(fresh_path(spark, name))
+    return counts.summary(spark)
 
 
 def _landed(spark: SparkSession, sf_dir: str, rows: DataFrame, files: int) -> DataFrame:
