@@ -10,14 +10,11 @@ from __future__ import annotations
 import functools
 import html
 import json
+import zlib
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# ---- Fixed values: the references that most texts use, looked up first ---------------------
-COMMON_REFERENCES = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;"]
-# ---- End of fixed values ------------------------------------------------------------------
-
 SPACE = r"^[\s\x{A0}]+|[\s\x{A0}]+$"
 
 
@@ -25,16 +22,21 @@ SPACE = r"^[\s\x{A0}]+|[\s\x{A0}]+$"
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 # Names that work without a semicolon are no longer than this.
 LONGEST_BARE = max(len(name) for name in html5 if not name.endswith(";"))
+NAME_BUCKETS = 4096
 
 
-def _literal(table: str) -> Column:
+def _literal(table: str, schema: str = "map<string,string>") -> Column:
     # One literal of the plan, rather than a call with thousands of arguments.
-    return F.from_json(F.lit(table), "map<string,string>")
+    return F.from_json(F.lit(table), schema)
 
 
 @functools.cache
 def _names() -> str:
-    return json.dumps({name: html5[name] for name in [*COMMON_REFERENCES, *(n for n in html5 if n not in COMMON_REFERENCES)]})
+    # Few names share a remainder, so one is found without going through all of them.
+    buckets: list[dict[str, str]] = [{} for _ in range(NAME_BUCKETS)]
+    for name, char in html5.items():
+        buckets[zlib.crc32(name.encode()) % NAME_BUCKETS][name] = char
+    return json.dumps(buckets)
 
 
 @functools.cache
@@ -59,14 +61,18 @@ def _named(reference: Column, names: Column) -> Column:
     """By the longest name that the reference begins with; what is no name stays as it is."""
     name = F.substring(reference, 2, 64)
     sizes = F.array(F.length(name), *[F.lit(size) for size in range(LONGEST_BARE, 1, -1)])
-    tried = F.transform(sizes, lambda k: F.struct(F.element_at(names, F.substring(name, F.lit(1), k)).alias("char"), F.substring(name, k + 1, F.lit(64)).alias("rest")))
+
+    def char(begin: Column) -> Column:
+        return F.element_at(F.get(names, F.pmod(F.crc32(begin), F.lit(NAME_BUCKETS)).cast("int")), begin)
+
+    tried = F.transform(sizes, lambda k: F.struct(char(F.substring(name, F.lit(1), k)).alias("char"), F.substring(name, k + 1, F.lit(64)).alias("rest")))
     found = F.get(F.filter(tried, lambda t: t["char"].isNotNull()), F.lit(0))
     return F.coalesce(F.concat(found["char"], found["rest"]), reference)
 
 
 def unescaped(text: Column) -> Column:
     """Character references replaced by what they stand for, in one pass from left to right."""
-    names = _literal(_names())
+    names = _literal(_names(), "array<map<string,string>>")
 
     def replaced(t: Column) -> Column:
         found = F.regexp_extract_all(t, F.lit(f"({REFERENCE})"), F.lit(1))

@@ -1,6 +1,7 @@
 """Extraction from hand-written pages."""
 
 import datetime as dt
+import json
 import random
 from html import unescape
 from html.entities import html5
@@ -314,3 +315,9 @@ def test_a_key_that_two_providers_claim_stops_the_collection(spark):
     both = landed(spark, ("A", "UK_ENGLISH", "q", 1, ""), ("A_B", "UK_ENGLISH", "q", 1, ""))
     with pytest.raises(ValueError, match="two providers"):
         collect(both, dt.datetime(2024, 1, 31), sites=[("A", "UK_ENGLISH"), ("A_B", "UK_ENGLISH")])
+
+
+def test_names_of_references_are_found_without_a_search():
+    """A lookup goes through a handful of names at most."""
+    buckets = json.loads(html._names())
+    assert sum(map(len, buckets)) > 2000 and max(map(len, buckets)) < 10
