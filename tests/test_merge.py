@@ -11,6 +11,7 @@ from roleledger.plans.recover import recover
 from roleledger.plans.refresh import Rules, empty_block_list, empty_duplicates, refresh_master
 from roleledger.schema import POSTING
 from pyspark.sql import types as T
+from workload import merging
 
 DAY = dt.date(2024, 1, 31)
 COLLECTED = T.StructType([*POSTING.fields, T.StructField("ordinal", T.LongType())])
@@ -285,3 +286,12 @@ def test_counts_of_empty_tables_are_left_out(spark, tmp_path, master, new):
     rows = len(master or []) + len(new)
     expected = {("read", "", ""): len(master or []), ("written", "", ""): rows, ("collected", "INDEED", ""): len(new)}
     assert found == {k: n for k, n in expected.items() if n}
+
+
+def test_landing_grows_with_its_tasks(spark, tmp_path, monkeypatch):
+    """No task of the landing gathers a fixed share of the rows."""
+    monkeypatch.setattr(merging, "fresh_path", lambda spark, name: f"{tmp_path}/{name}")
+    rows = spark.range(0, 400, 1, 20).select(F.col("id").cast("string").alias("key_id"))
+    monkeypatch.setattr(merging, "view", lambda *_: rows.withColumn("post_date", F.lit(dt.date(2024, 1, 30))))
+    assert merging.stream_drop_old(spark, "").count() == 400
+    assert len(spark.read.parquet(f"{tmp_path}/landed").inputFiles()) == 20
