@@ -14,15 +14,15 @@ tokens than the smaller of these numbers, and where this falls short the entry n
 Candidates under one index entry are not all paired with each other. Each is compared with the smallest
 of them first, then with others chosen by a hash of entry and round; what the links so found already
 connect needs no further look. After these rounds the members of an entry that are still in different
-components are compared, so that no link between components is missed. Two sets that share a passage share
-many entries: where the entry before, in the order of their tokens, is the same for both, they met there.
+components are compared, so that no link between components is missed: in cells, where all that tells two sets
+apart meets in one task, so that only pairs that may be similar leave it. Two sets that share a passage share
+many entries: where the entry before, in the order of their tokens, is the same for all, they met there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,11 @@ MIN_COUNT = 4
 PART = 4
 # Index entries of frequent tokens are split among so many tasks.
 SALTS = 16
-# Bits of the bitmap that goes with a set into the last comparison, and of its fold, which is looked at first.
-BITS, FOLD = 512, 256
+# Values of the marks that go with a set into the last comparison, and of their fold, which is looked at first.
+MARKS, FOLD = 1 << 16, 512
+# Members of an entry that are compared in one cell, or of either side of one, and pairs looked at together.
+CELL = 1024
+TRIES = 1 << 18
 # Further rounds of comparing the members of an entry with one of them.
 ROUNDS = 1
 
@@ -71,11 +74,9 @@ def histogram(tokens: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """``BITS`` bits, set where the hash of a token falls."""
-    held = np.zeros(BITS, bool)
-    held[(tokens % np.uint64(BITS)).astype(np.int64)] = True
-    return np.packbits(held).tobytes()
+def marks(tokens: np.ndarray) -> bytes:
+    """The different values of the tokens' low bits, sorted."""
+    return np.unique((tokens % np.uint64(MARKS)).astype(np.uint16)).tobytes()
 
 
 def may_share(one: bytes, two: bytes) -> int:
@@ -130,7 +131,7 @@ def index_entries(tokens: np.ndarray, frequent: np.ndarray, threshold: Fraction)
 
 def _profile(width: int, share: float):
     """A row per document with its set, and rows with shingles that many documents of a chunk hold."""
-    names = ["doc_id", "row_key", "n_shingles", "set_key", "buckets", "bits", "shingle", "docs"]
+    names = ["doc_id", "row_key", "n_shingles", "set_key", "buckets", "marks", "shingle", "docs"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One buffer a task, sorted where it lies.
@@ -149,13 +150,13 @@ def _profile(width: int, share: float):
             )
 
         for batch in batches:
-            sizes, keys, buckets, bits = [], [], [], []
+            sizes, keys, buckets, low = [], [], [], []
             for text in batch.column(2):
                 tokens = shingle_set(text.as_py(), width)
                 sizes.append(len(tokens))
                 keys.append(set_key(tokens) if len(tokens) else None)
                 buckets.append(histogram(tokens))
-                bits.append(bitmap(tokens))
+                low.append(marks(tokens))
                 if size + len(tokens) > CHUNK and size:
                     yield counted()
                     size, held = 0, 0
@@ -164,7 +165,7 @@ def _profile(width: int, share: float):
                 chunk[size : size + len(part)] = part
                 size, held = size + len(part), held + 1
             none = pa.nulls(len(sizes), pa.int64())
-            numbers, raw = (pa.array(x, pa.int64()) for x in (sizes, keys)), (pa.array(x, pa.binary()) for x in (buckets, bits))
+            numbers, raw = (pa.array(x, pa.int64()) for x in (sizes, keys)), (pa.array(x, pa.binary()) for x in (buckets, low))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *raw, none, none], names)
         if size:
             yield counted()
@@ -261,39 +262,106 @@ def _compared(pairs: DataFrame, table: DataFrame, column: str, alike: Callable[[
     return both.mapInArrow(rows, "a long, b long")
 
 
-def _alike_bits(threshold: Fraction) -> Column:
-    """Whether bitmaps leave two sets (structs ``x``, ``y``; the columns ``bits``, ``fold`` and those of ``y``) similar: a bit that only one has is a token that only it has."""
+def _cells(placed: DataFrame, low: DataFrame) -> DataFrame:
+    """Rows ``cell``, ``side``, ``key``, ``n``, ``room``, ``part``, ``marks``: the members of entries, dealt into cells.
 
-    def enough(name: str, words: int) -> Column:
-        def most(n: Column, own: str, other: str) -> Column:
-            return n - sum(F.bit_count(F.col(f"{own}{name}{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}{name}{i}")))) for i in range(words))
-
-        least = F.least(most(F.col("x.n"), "", "y_"), most(F.col("y.n"), "y_", "")).cast("long")
-        total = (F.col("x.n") + F.col("y.n")).cast("long")
-        return least * (threshold.numerator + threshold.denominator) >= total * threshold.numerator
-
-    # The fold decides most pairs. Columns of numbers, so that the code of the join stays small enough to be compiled.
-    return enough("fold", FOLD // 64) & enough("bits", BITS // 64)
-
-
-def _first_shared(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The rows ``entry``, ``x`` with the entry ``before`` of the same set and its ``bits``, without entries that only repeat the one before.
-
-    ``room`` falls along the order, so two sets that may be similar by an entry may be so by an earlier one they share.
+    Entries whose members all have the same entry before are left out: as ``room`` falls along the order, two sets
+    that may be similar by an entry may be so by an earlier one they share. Sets that meet once often meet again, so
+    entries with the same smallest member are one cell, where a set comes once. A cell with more than ``CELL``
+    members is dealt into blocks, and each pair of blocks is a cell; ``side`` is the block, or null in a cell of one block.
     """
     before = F.lag("entry").over(W.partitionBy("x.set_key").orderBy(F.desc("x.room"), "entry"))
     rows = staged(placed.select("entry", "x", before.alias("before")), "before")
     kept = (F.count("before") < F.count("*")) | (F.min("before") != F.max("before"))
-    kept = rows.groupBy("entry").agg(kept.alias("kept")).where("kept").select("entry")
-    # Bytes as numbers, so that the bits of two sets can be compared inside the join.
-    words = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(BITS // 64)]
-    bitmaps = bitmaps.dropDuplicates(["set_key"]).select("set_key", *(w.alias(f"bits{i}") for i, w in enumerate(words)))
-    # Word i of the fold holds the bits of all words that are i modulo its length.
-    several = FOLD // 64
-    fold = [reduce(Column.bitwiseOR, [F.col(f"bits{i}") for i in range(k, BITS // 64, several)]) for k in range(several)]
-    bitmaps = bitmaps.select("*", *(f.alias(f"fold{i}") for i, f in enumerate(fold)))
-    rows = rows.join(kept, "entry", "left_semi").join(bitmaps, F.col("x.set_key") == F.col("set_key")).drop("set_key")
-    return staged(rows, "first_shared")
+    hubs = rows.groupBy("entry").agg(kept.alias("kept"), F.min("x.set_key").alias("hub")).where("kept").select("entry", "hub")
+    rows = rows.join(hubs, "entry").select("hub", F.col("x.set_key").alias("key"), "x.n", "x.room", "x.part")
+    rows = rows.groupBy("hub", "key").agg(F.first("n").alias("n"), F.max("room").alias("room"), F.first("part").alias("part"))
+    rows = staged(rows, "members")
+    rows = rows.join(rows.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")), "hub")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own")
+    rows = rows.select("*", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cell = F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other")).alias("cell")
+    rows = staged(rows.select(cell, F.when(F.col("own") != F.col("other"), F.col("own")).alias("side"), "key", "n", "room", "part"), "cells")
+    wanted = staged(rows.select(F.col("key").alias("set_key")).distinct(), "wanted")
+    low = members(low, wanted, "set_key").dropDuplicates(["set_key"])
+    return rows.join(low.withColumnRenamed("set_key", "key"), "key")
+
+
+def _cell_pairs(table: pa.Table, threshold: Fraction) -> pa.RecordBatch:
+    """The pairs ``a``, ``b`` of whole cells, which lie together, that the marks leave similar: a value that only one set has is a token that only it has."""
+    cell, key, n, room, part = (table[c].to_numpy() for c in ("cell", "key", "n", "room", "part"))
+    side, whole = table["side"].fill_null(0).to_numpy(), table["side"].is_null().to_numpy()
+    held = [np.frombuffer(x, np.uint16) for x in table["marks"].to_pylist()]
+    sizes = np.array([len(x) for x in held])
+    starts, values = np.cumsum(sizes) - sizes, np.concatenate(held)
+    fold = np.zeros((len(cell), FOLD), bool)
+    fold[np.repeat(np.arange(len(cell)), sizes), values % FOLD] = True
+    fold = np.packbits(fold, axis=1).view(np.uint64)
+    seen = np.zeros(MARKS, bool)
+
+    def enough(most: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return most * (threshold.numerator + threshold.denominator) >= (n[i] + n[j]) * threshold.numerator
+
+    def only(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(fold[i, k] & ~fold[j, k]).astype(np.int64) for k in range(fold.shape[1]))
+
+    def hits(i: int, others: np.ndarray) -> np.ndarray:
+        """How many values of each of ``others`` the set ``i`` has."""
+        ends = np.cumsum(sizes[others])
+        places = np.arange(ends[-1]) + np.repeat(starts[others] - ends + sizes[others], sizes[others])
+        seen[held[i]] = True
+        found = np.add.reduceat(seen[values[places]], ends - sizes[others], dtype=np.int64)
+        seen[held[i]] = False
+        return found
+
+    later = np.searchsorted(cell, cell, "right") - np.arange(len(cell)) - 1
+    tries, at, found = np.cumsum(later), 0, []
+    while at < len(cell):
+        done = tries[at] - later[at]
+        end = max(at + 1, int(np.searchsorted(tries, done + TRIES, "right")))
+        i = np.repeat(np.arange(at, end), later[at:end])
+        j = i + 1 + np.arange(len(i)) - (tries[i] - later[i] - done)
+        kept = (part[i] != part[j]) & (whole[i] | (side[i] != side[j]))
+        i, j = i[kept], j[kept]
+        kept = enough(np.minimum(room[i], room[j]), i, j)
+        i, j = i[kept], j[kept]
+        kept = enough(np.minimum(n[i] - only(i, j), n[j] - only(j, i)), i, j)
+        i, j = i[kept], j[kept]
+        for x in np.unique(i):
+            every = j[np.searchsorted(i, x) : np.searchsorted(i, x, "right")]
+            step = max(1, 8 * TRIES // int(sizes[every].max()))
+            for k in range(0, len(every), step):
+                others = every[k : k + step]
+                most = np.minimum(n[x] - sizes[x], n[others] - sizes[others]) + hits(x, others)
+                others = others[enough(most, np.full(len(others), x), others)]
+                found.append(np.stack([np.full(len(others), key[x]), key[others]]))
+        at = end
+    pairs = np.concatenate([np.empty((2, 0), np.int64), *found], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+
+
+def _compared_in_cells(cells: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs ``a``, ``b`` of members of a cell, in different components, that may be similar.
+
+    What they are compared by meets in the task of the cell, so only pairs that pass leave it.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            # The last cell may go on in the next batch.
+            end = int(np.searchsorted(table["cell"].to_numpy(), table["cell"][-1].as_py())) if len(table) else 0
+            if end:
+                yield _cell_pairs(table.slice(0, end), threshold)
+            rest = table.slice(end)
+        if rest is not None and len(rest):
+            yield _cell_pairs(rest, threshold)
+
+    numbers = [F.col(c).cast("long").alias(c) for c in ("key", "n", "room", "part")]
+    dealt = cells.select("cell", "side", *numbers, "marks").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(rows, "a long, b long").distinct()
 
 
 def jaccard_join(
@@ -313,7 +381,7 @@ def jaccard_join(
     profile = staged(
         docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(
             _profile(width, share),
-            "doc_id long, row_key long, n_shingles long, set_key long, buckets binary, bits binary, shingle long, docs long",
+            "doc_id long, row_key long, n_shingles long, set_key long, buckets binary, marks binary, shingle long, docs long",
         ),
         "profile",
     )
@@ -397,14 +465,11 @@ def jaccard_join(
         if number < ROUNDS:
             order = F.xxhash64("entry", F.lit(number), "x.set_key")
             others = placed.groupBy("entry").agg(F.min_by("x", order).alias("y"))
-            across = placed.join(others, "entry").where("x.part != y.part")
+            across = pairs_of(placed.join(others, "entry").where("x.part != y.part"))
         else:
-            placed = _first_shared(placed, profile.where("set_key is not null").select("set_key", "bits"))
-            bitmap_names = [f"bits{i}" for i in range(BITS // 64)] + [f"fold{i}" for i in range(FOLD // 64)]
-            others = placed.select("entry", F.col("x").alias("y"), F.col("before").alias("y_before"), *(F.col(c).alias(f"y_{c}") for c in bitmap_names))
-            across = placed.join(others, "entry").where("x.part < y.part")
-            across = across.where("before is null or y_before is null or before != y_before").where(_alike_bits(threshold))
-        pairs = staged(pairs_of(across.where(_possible("x", "y", threshold))).join(tried, ["a", "b"], "left_anti"), "across")
+            low = profile.where("set_key is not null").select("set_key", "marks")
+            across = _compared_in_cells(_cells(placed, low), threshold)
+        pairs = staged(across.join(tried, ["a", "b"], "left_anti"), "across")
         tried = tried.unionByName(pairs)
         new = linked(pairs)
         if not new.isEmpty():

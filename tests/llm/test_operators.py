@@ -103,6 +103,36 @@ def test_small_buffers_change_nothing(spark, docs, monkeypatch):
     assert order(rows) == order(brute_groups(ROWS))
 
 
+def test_members_of_an_entry_are_compared_in_cells(spark, monkeypatch, tmp_path):
+    # Two families of texts with a common half each; within a family most pairs fall short of a link and some reach it.
+    pick, rows = random.Random(3), []
+    for family in range(2):
+        common = [f"f{family}c{i}" for i in range(60)]
+        for i in range(60):
+            own = [f"f{family}o{i // 2}w{k}" for k in range(20)]
+            own[pick.randrange(20)] = f"x{family}y{i}"
+            rows.append((100 * family + i, " ".join(common + own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    written, staged = {}, jaccard_join.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    # No shingle is frequent, so that texts meet by the common half.
+    monkeypatch.setattr(jaccard_join, "MIN_COUNT", 1000)
+    for cell, tries in ((1024, 1 << 18), (7, 5)):
+        monkeypatch.setattr(jaccard_join, "CELL", cell)
+        monkeypatch.setattr(jaccard_join, "TRIES", tries)
+        written.clear()
+        found = [tuple(r)[:3] for r in jaccard_join.jaccard_join(table).collect()]
+        assert order(found) == order(brute_groups(rows))
+        # Of some 3,500 pairs in a family that share much and stay apart, none leaves the last comparison.
+        assert written["cells"][-1] > 50 and written["across"][-1] < 100
+
+
 def test_one_of_each(spark, docs, none):
     a, b, c = BASE[:3]
     rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, BASE[3]), (None, BASE[3]), (8, None), (8, None), (None, ""), (9, " \t")]
