@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from roleledger.llm.components import components
 from roleledger.llm.tables import bounded, staged
 
+SPACE = " \t\n\r\f\x0B"
 SHINGLE = 3
 SKETCH = 32
 # Hashes kept before sorting, on average: three times the sketch, so that hardly ever too few are left.
@@ -21,17 +22,19 @@ SHARED = 1 / 3
 
 
 def copy_classes(docs: DataFrame) -> DataFrame:
-    """``row``, ``class`` for the rows of ``docs`` (``row``, ``text``) whose text has words."""
-    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-    texts = docs.select("row", words.alias("words")).where("size(words) > 0").select("row", F.xxhash64("words").alias("t"), "words")
-    rows = staged(texts.select("row", "t"), "rows")
+    """``row``, ``class``, ``words`` (how many) for the rows of ``docs`` (``row``, ``text``) whose text has words."""
+    # Blank ends are cut off first and rows chosen by their raw text, so that a text is cut into words once.
+    words = F.split(F.btrim(F.lower("text"), F.lit(SPACE)), f"[{SPACE}]+")
+    texts = docs.where(F.col("text").rlike(f"[^{SPACE}]")).select("row", words.alias("words"))
     places = F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
     grams = F.transform(places, lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(SHINGLE))))
-    hashes = texts.select("t", F.array_distinct(grams).alias("h"))
+    hashes = texts.select("row", F.xxhash64("words").alias("t"), F.size("words").alias("count"), F.array_distinct(grams).alias("h"))
     top = F.lit(-(2.0**63)) + 2.0**64 * F.least(F.lit(1.0), F.lit(float(SIFTED)) / F.size("h"))
     low = F.filter("h", lambda x: x.cast("double") <= F.col("top"))
     # Staged, as the filter that comes with explode would repeat all this for every hash.
-    sketch = staged(hashes.withColumn("top", top).select("t", F.slice(F.sort_array(low), 1, SKETCH).alias("h")), "sketches")
+    sketch = hashes.withColumn("top", top).select("row", "t", "count", F.slice(F.sort_array(low), 1, SKETCH).alias("h"))
+    sketch = staged(sketch, "sketches")
+    rows = sketch.select("row", "t", F.col("count").alias("words"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1)))
     keyed = sketch.select("t", F.when(F.size("h") > 1, pairs).otherwise(F.col("h")).alias("keys"))
     need = F.ceil(F.size("keys") * SHARED).alias("need")
@@ -40,4 +43,4 @@ def copy_classes(docs: DataFrame) -> DataFrame:
     met = keys.join(bounded(staged(first, "first")), "key").where("t != first")
     links = met.groupBy("t", "first").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
     found = components(links.select(F.col("t").alias("a"), F.col("first").alias("b"))).withColumnRenamed("node", "t")
-    return rows.join(bounded(found), "t", "left").select("row", F.coalesce("component", "t").alias("class"))
+    return rows.join(bounded(found), "t", "left").select("row", F.coalesce("component", "t").alias("class"), "words")

@@ -126,7 +126,6 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     docs = docs.select("doc_id", "source", "text", row.alias("row"))
     classes = copy_classes(docs.where("text is not null").select("row", "text")).dropDuplicates(["row"])
-    # Texts stay behind: what is packed is their lengths.
-    measured = docs.select("doc_id", "source", "row", word_count(F.col("text")).alias("words"))
-    clustered = measured.join(bounded(staged(classes, "classes")), "row", "left")
+    # Texts stay behind: what is packed is their lengths, which were counted with the classes.
+    clustered = docs.select("doc_id", "source", "row").join(bounded(staged(classes, "classes")), "row", "left")
     return pack(staged(clustered, "measured"), F.col("words"), F.col("class"))
