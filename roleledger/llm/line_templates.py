@@ -24,7 +24,8 @@ MIN_DOCUMENTS = 10
 SIMILARITY = 0.6
 # Neighbouring common words that may be one variable field.
 FIELD = 3
-SPACE = r"[ \t\r\f\x0B]+"
+BLANKS = " \t\r\f\x0B"
+SPACE = f"[{BLANKS}]+"
 
 
 # Digits of words without letters; other words with digits are names, which differ or not as they are.
@@ -41,8 +42,10 @@ def _lead(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row per line: document, number, masked line, words and path."""
+    """A row per line that is not blank: document, number, masked line, words and path."""
     found = docs.select("row", F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    # Blank lines go by their raw text, or the filter would mask every line once more.
+    found = found.where(F.btrim("line", F.lit(BLANKS)) != "")
     found = found.select("row", "number", _masked(F.col("line")).alias("line"))
     words = F.size(F.split("line", " "))
     # Short lines are their own template, and lines of numbers have none.
@@ -91,7 +94,8 @@ def templates(lines: DataFrame, min_documents: int, similarity: float = SIMILARI
 
 def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, similarity: float = SIMILARITY) -> DataFrame:
     """``row``, ``number``: the lines of ``docs`` (``row``, ``text``) that follow a recurring template."""
-    lines = _lines(docs).where("line != ''")
+    # Staged, so that lines are cut and masked once.
+    lines = staged(_lines(docs), "all-lines")
     leaves = lines.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("path")
     held = staged(lines.join(bounded(staged(leaves, "leaves")), "path", "left_semi"), "lines")
     known = staged(templates(held, min_documents, similarity), "templates")

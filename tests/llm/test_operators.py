@@ -11,7 +11,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from roleledger.llm import byte_bpe, jaccard_join, line_templates, nn_descent, packing, passages, quality, queries, toxicity, url_filter, version_sketch
+from roleledger import scratch
+from roleledger.llm import byte_bpe, copies, jaccard_join, line_templates, nn_descent, packing, passages, quality, queries, toxicity, url_filter, version_sketch
 from roleledger.llm.components import components
 from roleledger.llm.copies import copy_classes
 
@@ -157,6 +158,19 @@ def test_clusters_split_no_links(spark):
     assert all(len(found) == 1 for found in by_part.values()) and len(by_part) > 400
 
 
+def test_texts_are_cut_into_words_once(spark, docs, monkeypatch):
+    plans = []
+    keep = lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or scratch.staged(df, name)
+    for module in (copies, packing, line_templates):
+        monkeypatch.setattr(module, "staged", keep)
+    for operator in (packing.pack_documents, line_templates.drop_recurring_lines):
+        plans.clear()
+        operator(docs).count()
+        assert [(name, plan.count("lower(")) for name, plan in plans if "lower(" in plan] == [("sketches", 1)]
+    # Lines are cut and masked in one plan.
+    assert [name for name, plan in plans if "posexplode" in plan and "regexp_replace" in plan] == ["all-lines"]
+
+
 def test_index_entries_meet():
     pick = np.random.default_rng(3)
     for size in (1, 2, 3, 4, 5, 9, 17, 60, 200):
