@@ -13,9 +13,9 @@ tokens than the smaller of these numbers, and where this falls short the entry n
 
 Candidates under one index entry are not all paired with each other. Each is compared with the smallest
 of them first, then with others chosen by a hash of entry and round; what the links so found already
-connect needs no further look. After these rounds the members of an entry that are still in different
-components are compared, so that no link between components is missed: in cells, where all that tells two sets
-apart meets in one task, so that only pairs that may be similar leave it. Two sets that share a passage share
+connect needs no further look, and who was compared with all others leaves the entry. After these rounds the
+members of an entry that are still in different components are compared, so that no link between components is
+missed: in cells, where bitmaps of the sets meet in one task, so that only pairs that may be similar leave it. Two sets that share a passage share
 many entries: where the entry before, in the order of their tokens, is the same for all, they met there.
 """
 
@@ -45,9 +45,11 @@ MIN_COUNT = 4
 PART = 4
 # Index entries of frequent tokens are split among so many tasks.
 SALTS = 16
-# Values of the marks that go with a set into the last comparison, and of their fold, which is looked at first.
-MARKS, FOLD = 1 << 16, 512
-# Members of an entry that are compared in one cell, or of either side of one, and pairs looked at together.
+# Tokens that are kept of a set for its index entries, beyond those it needs if all were rare.
+SPARE = 8
+# The bitmap that goes with a set into the last comparison has at least so many bits a token.
+BITS = 2
+# Members of an entry that are compared in one cell, or of either side of one, and pairs and words of bitmaps looked at together.
 CELL = 1024
 TRIES = 1 << 18
 # Further rounds of comparing the members of an entry with one of them.
@@ -60,7 +62,8 @@ def row_key() -> Column:
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingles(word_hashes(text), width))
+    tokens = np.sort(shingles(word_hashes(text), width))
+    return tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])] if len(tokens) else tokens
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -70,13 +73,16 @@ def set_key(tokens: np.ndarray) -> int:
 def histogram(tokens: np.ndarray) -> bytes:
     """Number of tokens (at most 255) in each bucket of their hash; a power of two of buckets, about half as many as tokens."""
     buckets = 1 << max(len(tokens) // 2, 1).bit_length()
-    counts = np.bincount((tokens % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+    counts = np.bincount((tokens & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def marks(tokens: np.ndarray) -> bytes:
-    """The different values of the tokens' low bits, sorted."""
-    return np.unique((tokens % np.uint64(MARKS)).astype(np.uint16)).tobytes()
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each value of the tokens' middle bits, set if one has it; 64 times a power of two of bits."""
+    size = 64 << max(0, (BITS * len(tokens) - 1).bit_length() - 6)
+    held = np.zeros(size, bool)
+    held[(tokens >> np.uint64(32)) & np.uint64(size - 1)] = True
+    return np.packbits(held).tobytes()
 
 
 def may_share(one: bytes, two: bytes) -> int:
@@ -95,14 +101,29 @@ def size_classes(largest: int, threshold: Fraction) -> list[int]:
     return starts
 
 
+def prefix(n: int, threshold: Fraction) -> int:
+    """How many tokens of a set of ``n`` are indexed, if all are rare."""
+    return n - -(-n * threshold.numerator // threshold.denominator) + 1
+
+
+def head(n: int, threshold: Fraction) -> int:
+    """How many tokens of a set of ``n`` are kept for its index entries."""
+    return prefix(n, threshold) * 5 // 4 + SPARE
+
+
+def frequent_among(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which of the tokens are in the sorted list of frequent ones."""
+    found = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
+    return frequent[found] == tokens if len(frequent) else np.zeros(len(tokens), bool)
+
+
 def index_entries(tokens: np.ndarray, frequent: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, int]:
     """Entries of a sorted token set: of rare tokens, and of frequent tokens or their pairs; how many are frequent."""
     n = len(tokens)
-    needed = n - -(-n * threshold.numerator // threshold.denominator) + 1
+    needed = prefix(n, threshold)
     if n == 0:
         return tokens, tokens, 0
-    found = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
-    common = frequent[found] == tokens if len(frequent) else np.zeros(n, bool)
+    common = frequent_among(tokens, frequent)
     rare, usual = tokens[~common], tokens[common]
     if len(rare) >= needed:
         return rare[:needed], tokens[:0], len(usual)
@@ -129,9 +150,12 @@ def index_entries(tokens: np.ndarray, frequent: np.ndarray, threshold: Fraction)
     return rare, np.unique(np.concatenate(entries)), len(usual)
 
 
-def _profile(width: int, share: float):
-    """A row per document with its set, and rows with shingles that many documents of a chunk hold."""
-    names = ["doc_id", "row_key", "n_shingles", "set_key", "buckets", "marks", "shingle", "docs"]
+def _profile(width: int, share: float, threshold: Fraction):
+    """A row per document with its set, and rows with shingles that many documents of a chunk hold.
+
+    ``head`` are the first tokens of the set, so that most texts are cut into shingles once.
+    """
+    names = ["doc_id", "row_key", "n_shingles", "set_key", "buckets", "bits", "head", "shingle", "docs"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One buffer a task, sorted where it lies.
@@ -146,17 +170,18 @@ def _profile(width: int, share: float):
             none = pa.nulls(int(many.sum()), pa.int64())
             values = own[starts[many]].view(np.int64)
             return pa.RecordBatch.from_arrays(
-                [none, none, none, none, *[pa.nulls(len(none), pa.binary())] * 2, pa.array(values), pa.array(counts[many])], names
+                [none, none, none, none, *[pa.nulls(len(none), pa.binary())] * 3, pa.array(values), pa.array(counts[many])], names
             )
 
         for batch in batches:
-            sizes, keys, buckets, low = [], [], [], []
+            sizes, keys, buckets, bits, heads = [], [], [], [], []
             for text in batch.column(2):
                 tokens = shingle_set(text.as_py(), width)
                 sizes.append(len(tokens))
                 keys.append(set_key(tokens) if len(tokens) else None)
                 buckets.append(histogram(tokens))
-                low.append(marks(tokens))
+                bits.append(bitmap(tokens))
+                heads.append(tokens[: head(len(tokens), threshold)].tobytes())
                 if size + len(tokens) > CHUNK and size:
                     yield counted()
                     size, held = 0, 0
@@ -165,7 +190,7 @@ def _profile(width: int, share: float):
                 chunk[size : size + len(part)] = part
                 size, held = size + len(part), held + 1
             none = pa.nulls(len(sizes), pa.int64())
-            numbers, raw = (pa.array(x, pa.int64()) for x in (sizes, keys)), (pa.array(x, pa.binary()) for x in (buckets, low))
+            numbers, raw = (pa.array(x, pa.int64()) for x in (sizes, keys)), (pa.array(x, pa.binary()) for x in (buckets, bits, heads))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *raw, none, none], names)
         if size:
             yield counted()
@@ -185,39 +210,60 @@ def _frequent(profile: DataFrame, share: float) -> np.ndarray:
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def _index(docs: DataFrame, width: int, threshold: Fraction, frequent: np.ndarray) -> DataFrame:
+def _index(sets: DataFrame, docs: DataFrame, width: int, threshold: Fraction, frequent: np.ndarray) -> DataFrame:
     """``entry``, ``salt``, ``set_key``, ``n``, ``room`` for all sets.
 
     ``salt`` is 0 if the entry is one of a rare token; ``room`` is how many tokens don't come before it.
     A set with other entries has all its rare tokens indexed, so these need only pair sets that share
-    none of them, and ``room`` is the number of its frequent tokens.
+    none of them, and ``room`` is the number of its frequent tokens. ``sets`` are rows ``doc_id``, ``set_key``,
+    ``n_shingles``, ``head``; where too few tokens of the head are rare, the set is made again from the text in ``docs``.
     """
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lacking(tokens: np.ndarray, n: int) -> bool:
+        """Whether the entries take tokens beyond the head."""
+        first = tokens[: head(n, threshold)]
+        return len(first) < n and len(first) - int(frequent_among(first, held.value).sum()) < prefix(n, threshold)
+
+    def entries(sets: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        keys, sizes, commons, rare, usual = [], [], [], [], []
+        for key, n, tokens in sets:
+            if len(tokens) < n:
+                one, two, common = tokens[~frequent_among(tokens, held.value)][: prefix(n, threshold)], tokens[:0], 0
+            else:
+                one, two, common = index_entries(tokens, held.value, threshold)
+            keys.append(key)
+            sizes.append(n)
+            commons.append(common)
+            rare.append(one.view(np.int64))
+            usual.append(two.view(np.int64))
+        numbers = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(commons, pa.int32())]
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (rare, usual)]
+        return pa.RecordBatch.from_arrays([*numbers, *lists], ["set_key", "n", "common", "rare", "usual"])
+
+    def heads(batch: pa.RecordBatch) -> list[tuple[int, int, np.ndarray]]:
+        key, n, first = (batch.column(c).to_pylist() for c in ("set_key", "n_shingles", "head"))
+        return [(k, size, np.frombuffer(x, np.uint64)) for k, size, x in zip(key, n, first, strict=True)]
+
+    def of_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, commons, rare, usual = [], [], [], [], []
-            for text in batch.column(0).to_pylist():
-                tokens = shingle_set(text, width)
-                if len(tokens):
-                    one, two, common = index_entries(tokens, held.value, threshold)
-                    commons.append(common)
-                    keys.append(set_key(tokens))
-                    sizes.append(len(tokens))
-                    rare.append(one.view(np.int64))
-                    usual.append(two.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, pa.int64()),
-                    pa.array(sizes, pa.int32()),
-                    pa.array(commons, pa.int32()),
-                    pa.array(rare, pa.list_(pa.int64())),
-                    pa.array(usual, pa.list_(pa.int64())),
-                ],
-                ["set_key", "n", "common", "rare", "usual"],
-            )
+            yield entries([(key, n, tokens) for key, n, tokens in heads(batch) if not lacking(tokens, n)])
 
-    found = docs.mapInArrow(rows, "set_key long, n int, common int, rare array<long>, usual array<long>")
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["doc_id"]).filter(pa.array([lacking(tokens, n) for _, n, tokens in heads(batch)], pa.bool_()))
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [shingle_set(text, width) for text in batch.column(0).to_pylist()]
+            yield entries([(set_key(tokens), len(tokens), tokens) for tokens in whole if lacking(tokens, len(tokens))])
+
+    wanted = staged(sets.mapInArrow(short, "doc_id long").distinct(), "short")
+    texts = members(docs, wanted, "doc_id").select("text")
+    if not wanted.where("doc_id is null").isEmpty():
+        texts = texts.unionByName(docs.where("doc_id is null").select("text"))
+    schema = "set_key long, n int, common int, rare array<long>, usual array<long>"
+    found = sets.mapInArrow(of_heads, schema).unionByName(texts.mapInArrow(of_texts, schema))
     salt = 1 + F.pmod(F.hash("set_key"), F.lit(SALTS))
     split = F.concat(
         F.transform("rare", lambda e, i: F.struct(e.alias("entry"), F.lit(0).alias("salt"), (F.col("n") - i).alias("room"))),
@@ -262,19 +308,19 @@ def _compared(pairs: DataFrame, table: DataFrame, column: str, alike: Callable[[
     return both.mapInArrow(rows, "a long, b long")
 
 
-def _cells(placed: DataFrame, low: DataFrame) -> DataFrame:
-    """Rows ``cell``, ``side``, ``key``, ``n``, ``room``, ``part``, ``marks``: the members of entries, dealt into cells.
+def _cells(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Rows ``cell``, ``side``, ``key``, ``n``, ``room``, ``part``, ``bits``: the members of entries, dealt into cells.
 
     Entries whose members all have the same entry before are left out: as ``room`` falls along the order, two sets
     that may be similar by an entry may be so by an earlier one they share. Sets that meet once often meet again, so
-    entries with the same smallest member are one cell, where a set comes once. A cell with more than ``CELL``
+    entries with the same ``hub`` are one cell, where a set comes once. A cell with more than ``CELL``
     members is dealt into blocks, and each pair of blocks is a cell; ``side`` is the block, or null in a cell of one block.
     """
     before = F.lag("entry").over(W.partitionBy("x.set_key").orderBy(F.desc("x.room"), "entry"))
-    rows = staged(placed.select("entry", "x", before.alias("before")), "before")
+    rows = staged(placed.select("entry", "x", "hub", before.alias("before")), "before")
     kept = (F.count("before") < F.count("*")) | (F.min("before") != F.max("before"))
-    hubs = rows.groupBy("entry").agg(kept.alias("kept"), F.min("x.set_key").alias("hub")).where("kept").select("entry", "hub")
-    rows = rows.join(hubs, "entry").select("hub", F.col("x.set_key").alias("key"), "x.n", "x.room", "x.part")
+    hubs = rows.groupBy("entry").agg(kept.alias("kept"), F.min("hub").alias("hub")).where("kept").select("entry", "hub")
+    rows = rows.drop("hub").join(hubs, "entry").select("hub", F.col("x.set_key").alias("key"), "x.n", "x.room", "x.part")
     rows = rows.groupBy("hub", "key").agg(F.first("n").alias("n"), F.max("room").alias("room"), F.first("part").alias("part"))
     rows = staged(rows, "members")
     rows = rows.join(rows.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")), "hub")
@@ -283,36 +329,31 @@ def _cells(placed: DataFrame, low: DataFrame) -> DataFrame:
     cell = F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other")).alias("cell")
     rows = staged(rows.select(cell, F.when(F.col("own") != F.col("other"), F.col("own")).alias("side"), "key", "n", "room", "part"), "cells")
     wanted = staged(rows.select(F.col("key").alias("set_key")).distinct(), "wanted")
-    low = members(low, wanted, "set_key").dropDuplicates(["set_key"])
-    return rows.join(low.withColumnRenamed("set_key", "key"), "key")
+    bitmaps = members(bitmaps, wanted, "set_key").dropDuplicates(["set_key"])
+    return rows.join(bitmaps.withColumnRenamed("set_key", "key"), "key")
 
 
 def _cell_pairs(table: pa.Table, threshold: Fraction) -> pa.RecordBatch:
-    """The pairs ``a``, ``b`` of whole cells, which lie together, that the marks leave similar: a value that only one set has is a token that only it has."""
+    """The pairs ``a``, ``b`` of whole cells, which lie together, that the bitmaps leave similar: a bit that only one set has is a token that only it has."""
     cell, key, n, room, part = (table[c].to_numpy() for c in ("cell", "key", "n", "room", "part"))
     side, whole = table["side"].fill_null(0).to_numpy(), table["side"].is_null().to_numpy()
-    held = [np.frombuffer(x, np.uint16) for x in table["marks"].to_pylist()]
-    sizes = np.array([len(x) for x in held])
-    starts, values = np.cumsum(sizes) - sizes, np.concatenate(held)
-    fold = np.zeros((len(cell), FOLD), bool)
-    fold[np.repeat(np.arange(len(cell)), sizes), values % FOLD] = True
-    fold = np.packbits(fold, axis=1).view(np.uint64)
-    seen = np.zeros(MARKS, bool)
+    held = [np.frombuffer(x, np.uint64) for x in table["bits"].to_pylist()]
+    width = np.array([len(x) for x in held])
+    # For each width, the bitmaps that have it or are folded to it, and their places.
+    place, folded = {}, {}
+    for size in np.unique(width).tolist():
+        wide = np.flatnonzero(width >= size)
+        place[size] = np.cumsum(width >= size) - 1
+        folded[size] = np.stack([np.bitwise_or.reduce(held[x].reshape(-1, size)) for x in wide])
 
     def enough(most: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return most * (threshold.numerator + threshold.denominator) >= (n[i] + n[j]) * threshold.numerator
 
-    def only(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(fold[i, k] & ~fold[j, k]).astype(np.int64) for k in range(fold.shape[1]))
-
-    def hits(i: int, others: np.ndarray) -> np.ndarray:
-        """How many values of each of ``others`` the set ``i`` has."""
-        ends = np.cumsum(sizes[others])
-        places = np.arange(ends[-1]) + np.repeat(starts[others] - ends + sizes[others], sizes[others])
-        seen[held[i]] = True
-        found = np.add.reduceat(seen[values[places]], ends - sizes[others], dtype=np.int64)
-        seen[held[i]] = False
-        return found
+    def most(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+        """How many tokens the pairs may share."""
+        one, two = folded[size][place[size][i]], folded[size][place[size][j]]
+        only = [np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((one, two), (two, one))]
+        return np.minimum(n[i] - only[0], n[j] - only[1])
 
     later = np.searchsorted(cell, cell, "right") - np.arange(len(cell)) - 1
     tries, at, found = np.cumsum(later), 0, []
@@ -325,16 +366,14 @@ def _cell_pairs(table: pa.Table, threshold: Fraction) -> pa.RecordBatch:
         i, j = i[kept], j[kept]
         kept = enough(np.minimum(room[i], room[j]), i, j)
         i, j = i[kept], j[kept]
-        kept = enough(np.minimum(n[i] - only(i, j), n[j] - only(j, i)), i, j)
-        i, j = i[kept], j[kept]
-        for x in np.unique(i):
-            every = j[np.searchsorted(i, x) : np.searchsorted(i, x, "right")]
-            step = max(1, 8 * TRIES // int(sizes[every].max()))
+        narrow = np.minimum(width[i], width[j])
+        for size in np.unique(narrow).tolist():
+            every = np.flatnonzero(narrow == size)
+            step = max(1, TRIES // size)
             for k in range(0, len(every), step):
-                others = every[k : k + step]
-                most = np.minimum(n[x] - sizes[x], n[others] - sizes[others]) + hits(x, others)
-                others = others[enough(most, np.full(len(others), x), others)]
-                found.append(np.stack([np.full(len(others), key[x]), key[others]]))
+                x, y = i[every[k : k + step]], j[every[k : k + step]]
+                kept = enough(most(x, y, size), x, y)
+                found.append(np.stack([key[x[kept]], key[y[kept]]]))
         at = end
     pairs = np.concatenate([np.empty((2, 0), np.int64), *found], axis=1)
     return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
@@ -360,7 +399,7 @@ def _compared_in_cells(cells: DataFrame, threshold: Fraction) -> DataFrame:
             yield _cell_pairs(rest, threshold)
 
     numbers = [F.col(c).cast("long").alias(c) for c in ("key", "n", "room", "part")]
-    dealt = cells.select("cell", "side", *numbers, "marks").repartition("cell").sortWithinPartitions("cell")
+    dealt = cells.select("cell", "side", *numbers, "bits").repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(rows, "a long, b long").distinct()
 
 
@@ -380,8 +419,8 @@ def jaccard_join(
     docs = docs.select("doc_id", "text")
     profile = staged(
         docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(
-            _profile(width, share),
-            "doc_id long, row_key long, n_shingles long, set_key long, buckets binary, marks binary, shingle long, docs long",
+            _profile(width, share, threshold),
+            "doc_id long, row_key long, n_shingles long, set_key long, buckets binary, bits binary, head binary, shingle long, docs long",
         ),
         "profile",
     )
@@ -394,7 +433,8 @@ def jaccard_join(
     )
     # A repeated doc_id may be a copy in one row and not in the other.
     copies = staged(members(copies, classes.select(F.col("first_id").alias("doc_id")), "doc_id", "left_anti"), "copies")
-    index = _index(members(docs, copies, "doc_id", "left_anti").select("text"), width, threshold, _frequent(profile, share))
+    sets = profile.where("set_key is not null").select("doc_id", "set_key", "n_shingles", "head")
+    index = _index(members(sets, copies, "doc_id", "left_anti"), docs, width, threshold, _frequent(profile, share))
 
     entry = W.partitionBy("entry", "salt")
     own = F.struct("set_key", "n", "room").alias("own")
@@ -453,22 +493,26 @@ def jaccard_join(
             sets = sets.unionByName(_sets(zero, docs.sparkSession.range(1).toDF("doc_id"), width))
         return staged(_compared(pairs, staged(sets, "sets"), "tokens", links_in).distinct(), "links")
 
-    links, tried, open_rows = linked(pairs), pairs, shared.select("entry", "own")
+    links, tried = linked(pairs), pairs
+    # The smallest member of an entry of a rare token was compared with all others.
+    met = (F.col("salt") == 0) & (F.col("own.set_key") == F.col("least.set_key"))
+    open_rows = shared.where(~met).select("entry", "own", F.col("least.set_key").alias("hub"))
     found = components(links)
     for number in range(ROUNDS + 1):
         # What the links so far left apart though it shares an entry.
         part = F.coalesce("component", "own.set_key").alias("part")
-        placed = open_rows.join(found, F.col("own.set_key") == F.col("node"), "left").select("entry", F.struct("own.*", part).alias("x"))
+        placed = open_rows.join(found, F.col("own.set_key") == F.col("node"), "left").select("entry", F.struct("own.*", part).alias("x"), "hub")
         parts = placed.groupBy("entry").agg(F.min("x.part").alias("low"), F.max("x.part").alias("high"))
         placed = staged(placed.join(parts.where("low != high").select("entry"), "entry"), "open")
-        open_rows = placed.select("entry", F.struct("x.set_key", "x.n", "x.room").alias("own"))
         if number < ROUNDS:
             order = F.xxhash64("entry", F.lit(number), "x.set_key")
             others = placed.groupBy("entry").agg(F.min_by("x", order).alias("y"))
-            across = pairs_of(placed.join(others, "entry").where("x.part != y.part"))
+            placed = staged(placed.join(others, "entry").where("x.set_key != y.set_key"), "met")
+            across = pairs_of(placed.where("x.part != y.part"))
+            open_rows = placed.select("entry", F.struct("x.set_key", "x.n", "x.room").alias("own"), "hub")
         else:
-            low = profile.where("set_key is not null").select("set_key", "marks")
-            across = _compared_in_cells(_cells(placed, low), threshold)
+            bitmaps = profile.where("set_key is not null").select("set_key", "bits")
+            across = _compared_in_cells(_cells(placed, bitmaps), threshold)
         pairs = staged(across.join(tried, ["a", "b"], "left_anti"), "across")
         tried = tried.unionByName(pairs)
         new = linked(pairs)

@@ -9,28 +9,11 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(29)
 
 
-class _WordHashes(dict):
-    """64-bit hash of each word seen lately; emptied when it holds ``limit`` words."""
-
-    def __init__(self, limit: int = 50_000) -> None:
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
 def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
     """Hashes of the words of a text: ``[^\\x20\\x09-\\x0D]+``, with A-Z lower-cased if asked for."""
     words = (text or "").encode()
     words = (words.lower() if lower else words).split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

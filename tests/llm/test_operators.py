@@ -134,6 +134,43 @@ def test_members_of_an_entry_are_compared_in_cells(spark, monkeypatch, tmp_path)
         assert written["cells"][-1] > 50 and written["across"][-1] < 100
 
 
+def test_members_compared_with_all_others_leave_their_entry(spark, monkeypatch):
+    # Texts in twos and threes that share half of their words: none needs the cells, and what goes there is small.
+    rows = [(i, " ".join([f"c{i // (2 + i // 30)}w{k}" for k in range(60)] + [f"o{i}w{k}" for k in range(40)])) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    written, staged = {}, jaccard_join.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    monkeypatch.setattr(jaccard_join, "MIN_COUNT", 1000)
+    found = [tuple(r)[:3] for r in jaccard_join.jaccard_join(table).collect()]
+    assert order(found) == order(brute_groups(rows))
+    assert written["shared"] > 0 and written["cells"] == 0
+    tokens = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1500).astype(np.uint64))
+    assert len(jaccard_join.bitmap(tokens)) <= len(tokens) / 2
+
+
+def test_sets_with_few_rare_tokens_in_their_head(spark, docs, monkeypatch):
+    written, staged = {}, jaccard_join.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    monkeypatch.setattr(jaccard_join, "MIN_COUNT", 2)
+    # With fewer tokens than entries need, every set is made again from its text.
+    monkeypatch.setattr(jaccard_join, "head", lambda n, threshold: 0)
+    rows = [tuple(r)[:3] for r in jaccard_join.jaccard_join(docs, share=0.05).collect()]
+    assert order(rows) == order(brute_groups(ROWS))
+    assert written["short"] > 10
+
+
 def test_one_of_each(spark, docs, none):
     a, b, c = BASE[:3]
     rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, BASE[3]), (None, BASE[3]), (8, None), (8, None), (None, ""), (9, " \t")]
