@@ -136,7 +136,7 @@ def test_members_of_an_entry_are_compared_in_cells(spark, monkeypatch, tmp_path)
 
 def test_members_compared_with_all_others_leave_their_entry(spark, monkeypatch):
     # Texts in twos and threes that share half of their words: none needs the cells, and what goes there is small.
-    rows = [(i, " ".join([f"c{i // (2 + i // 30)}w{k}" for k in range(60)] + [f"o{i}w{k}" for k in range(40)])) for i in range(60)]
+    rows = [(i, " ".join([f"s{2 + i // 30}g{i // (2 + i // 30)}w{k}" for k in range(60)] + [f"o{i}w{k}" for k in range(40)])) for i in range(60)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     written, staged = {}, jaccard_join.staged
 
