@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from roleledger.llm.copies import copy_classes
-from roleledger.llm.tables import bounded, members, staged
+from roleledger.llm.tables import bounded, members, settled, staged
 
 LEAD = 3
 # Classes of documents that hold a recurring template.
@@ -120,8 +120,11 @@ def drop_recurring_lines(docs: DataFrame, **settings: float) -> DataFrame:
     """
     row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     keyed = docs.select("doc_id", "text").where("text is not null").select(row.alias("row"), "text")
-    found = recurring_lines(keyed, **settings)
-    dropped = staged(found.groupBy("row").agg(F.collect_set("number").alias("numbers")), "dropped")
+
+    def numbers() -> DataFrame:
+        return recurring_lines(keyed, **settings).groupBy("row").agg(F.collect_set("number").alias("numbers"))
+
+    dropped = settled(docs.sparkSession, "dropped", numbers)
     # The row as one value, so that no name of its columns can meet one of these.
     out = docs.select(F.struct("*").alias("d"), row.alias("row")).join(bounded(dropped, more=F.size("numbers")), "row", "left")
     out = out.withColumn("lines", F.when(F.col("numbers").isNotNull(), F.split("d.text", "\n")))

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from roleledger.llm.tables import bounded, members, staged
+from roleledger.llm.tables import bounded, members, settled, staged
 from roleledger.llm.words import mixed, shingles, word_hashes
 
 K = 4
@@ -305,6 +305,10 @@ def passages(
     of each text.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    return settled(docs.sparkSession, "found", lambda: _passages(docs, min_words, identity, k, window))
+
+
+def _passages(docs: DataFrame, min_words: int, identity: float, k: int, window: int) -> DataFrame:
     listed, found = staged(_seeds(docs, k, window), "seeds"), None
     for width, wider in zip(WIDTHS, (*WIDTHS[1:], None), strict=True):
         repeated = staged(_repeated(listed), "repeated")

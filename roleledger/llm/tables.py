@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from roleledger.scratch import staged
+from roleledger.scratch import settled, staged
 
 # Row counts up to which a table of one or two numbers a row is broadcast: some tens of MB on each executor.
 MAX_BROADCAST_ROWS = 1_000_000
 
-__all__ = ["bounded", "documents", "members", "staged"]
+__all__ = ["bounded", "documents", "members", "settled", "staged"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

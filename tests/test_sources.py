@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -286,6 +287,19 @@ def test_what_a_run_stages_goes_at_its_end(spark):
     assert staged(spark.range(3), "numbers").count() == 3
 
 
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    folders = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in d.rglob("shuffle_*")}
+    before = files()
+    assert staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts").count() == 7
+    # The count after it is one more shuffle, which is not staged and small.
+    until = time.time() + 20
+    while (left := {f.name.split("_")[1] for f in files() - before}) and len(left) > 1 and time.time() < until:
+        time.sleep(0.2)
+    assert len(left) <= 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_a_batch_leaves_nothing_staged(spark, tmp_path):
     shared = Path(shared_dir(spark)) / "roleledger"
     before = set(shared.iterdir()) if shared.exists() else set()
