@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from roleledger.llm.components import components
-from roleledger.llm.tables import bounded, members, staged
+from roleledger.llm.tables import MAX_BROADCAST_ROWS, bounded, members, settled, staged
 from roleledger.llm.words import mixed, shingles, word_hashes
 
 THRESHOLD = Fraction(75, 100)
@@ -322,7 +322,6 @@ def _cells(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
     hubs = rows.groupBy("entry").agg(kept.alias("kept"), F.min("hub").alias("hub")).where("kept").select("entry", "hub")
     rows = rows.drop("hub").join(hubs, "entry").select("hub", F.col("x.set_key").alias("key"), "x.n", "x.room", "x.part")
     rows = rows.groupBy("hub", "key").agg(F.first("n").alias("n"), F.max("room").alias("room"), F.first("part").alias("part"))
-    rows = staged(rows, "members")
     rows = rows.join(rows.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")), "hub")
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own")
     rows = rows.select("*", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -416,7 +415,10 @@ def jaccard_join(
     ``row_key()``, equal for rows of equal id and text only; ``part`` names the component, whether or not its rows
     have ids, and is null for rows without shingles.
     """
-    docs = docs.select("doc_id", "text")
+    return settled(docs.sparkSession, "groups", lambda: _joined(docs.select("doc_id", "text"), width, threshold, share))
+
+
+def _joined(docs: DataFrame, width: int, threshold: Fraction, share: float) -> DataFrame:
     profile = staged(
         docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(
             _profile(width, share, threshold),
@@ -473,31 +475,38 @@ def jaccard_join(
         return enough(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right))
 
     def wanted(pairs: DataFrame) -> DataFrame:
+        """The sets of staged pairs; each once, if they are too many for a broadcast as they are."""
         sides = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key")))
-        return staged(sides.distinct(), "wanted")
+        return sides if 2 * pairs.count() <= MAX_BROADCAST_ROWS else staged(sides.distinct(), "wanted")
 
     buckets = profile.where("set_key is not null").select("set_key", "doc_id", "buckets")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        firsts = classes.select("set_key", F.col("first_id").alias("doc_id"))
-        known = members(firsts, wanted(pairs), "set_key")
+    firsts = classes.select("set_key", F.col("first_id").alias("doc_id"))
+    nameless = staged(classes.where("first_id is null").select("set_key"), "nameless")
+    unnamed = not nameless.isEmpty()
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        """The pairs that may link by their histograms."""
+        keys = wanted(pairs)
+        known = members(firsts, keys, "set_key")
         near = buckets.join(bounded(staged(known, "firsts")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key"])
-        nameless = members(classes.where("first_id is null").select("set_key"), wanted(pairs), "set_key")
-        if not nameless.isEmpty():
-            near = near.unionByName(buckets.join(nameless, "set_key", "left_semi").dropDuplicates(["set_key"]))
-        pairs = staged(_compared(pairs, staged(near, "buckets"), "buckets", may_link), "pairs")
+        if unnamed:
+            near = near.unionByName(buckets.join(members(nameless, keys, "set_key"), "set_key", "left_semi").dropDuplicates(["set_key"]))
+        return staged(_compared(pairs, staged(near, "buckets"), "buckets", may_link), "pairs")
+
+    def linked(pairs: DataFrame) -> DataFrame:
         ids = staged(members(firsts, wanted(pairs), "set_key").select("doc_id").where("doc_id is not null"), "ids")
         sets = _sets(docs, ids, width)
-        if not nameless.isEmpty():
+        if unnamed:
             zero = docs.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("long"))
             sets = sets.unionByName(_sets(zero, docs.sparkSession.range(1).toDF("doc_id"), width))
         return staged(_compared(pairs, staged(sets, "sets"), "tokens", links_in).distinct(), "links")
 
-    links, tried = linked(pairs), pairs
+    tried = pairs
     # The smallest member of an entry of a rare token was compared with all others.
     met = (F.col("salt") == 0) & (F.col("own.set_key") == F.col("least.set_key"))
     open_rows = shared.where(~met).select("entry", "own", F.col("least.set_key").alias("hub"))
-    found = components(links)
+    found = components(linked(sifted(pairs)))
     for number in range(ROUNDS + 1):
         # What the links so far left apart though it shares an entry.
         part = F.coalesce("component", "own.set_key").alias("part")
@@ -515,10 +524,11 @@ def jaccard_join(
             across = _compared_in_cells(_cells(placed, bitmaps), threshold)
         pairs = staged(across.join(tried, ["a", "b"], "left_anti"), "across")
         tried = tried.unionByName(pairs)
-        new = linked(pairs)
+        # Those from the cells were sifted by bitmaps there.
+        new = linked(sifted(pairs) if number < ROUNDS else pairs)
         if not new.isEmpty():
-            links = links.unionByName(new)
-            found = components(links)
+            # What was found so far stands for the links it came of.
+            found = components(new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     named = classes.join(found, classes.set_key == found.node, "left")
     named = named.select("set_key", "first_id", F.coalesce("component", "set_key").alias("part"))

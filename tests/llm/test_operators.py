@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roleledger import scratch
 from roleledger.llm import byte_bpe, copies, jaccard_join, line_templates, nn_descent, packing, passages, quality, queries, toxicity, url_filter, version_sketch
+from roleledger.llm import components as components_module
 from roleledger.llm.components import components
 from roleledger.llm.copies import copy_classes
 
@@ -62,6 +63,30 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
 
 
+def test_components_shuffle_once_a_round(spark, monkeypatch):
+    # A large centre takes two rounds, since its small neighbours have no smaller one; the others hang together at random.
+    pick = random.Random(5)
+    links = [(1000, i) for i in range(1, 30)] + [(pick.randrange(2000, 2300), pick.randrange(2000, 2300)) for _ in range(200)]
+    top = {x: x for link in links for x in link}
+    for _ in top:
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    plans = []
+    keep = lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or scratch.staged(df, name)
+    monkeypatch.setattr(components_module, "staged", keep)
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {node: least for node, least in top.items() if node != least}
+    assert 2 <= sum("Exchange hashpartitioning" in p for p in plans) and sum(p.count("Exchange hashpartitioning") for p in plans) <= 4
+
+
+def test_operators_leave_their_result_only(spark, docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: str(tmp_path))
+    for name, job in (("groups", lambda: jaccard_join.jaccard_join(docs)), ("found", lambda: passages.passages(docs))):
+        rows = job().count()
+        left = [p.name.split("-")[0] for p in (tmp_path / "roleledger").iterdir()]
+        assert left.count(name) == 1 and set(left) <= {"groups", "found"} and (rows or name == "found")
+
+
 def brute_groups(rows):
     def shingle_set(text):
         words = (text or "").lower().split()
